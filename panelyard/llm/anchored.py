@@ -223,7 +223,7 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, m: Method, chunk_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, m: Method, chunk_bytes: int = 2 << 20) -> DataFrame:
     """Run ``m`` over all rows of ``docs(doc_id, text)``; see the module's text."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from . import anchored
 from ._common import mix, shared_dir
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 GRAM = 16
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -112,7 +112,7 @@ class _Nothing:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
-    size = 1 << max(12, n.bit_length())
+    size = 1 << max(12, (n - 1).bit_length())
     if size not in _POWERS:
         _POWERS.clear()
         out = []
@@ -193,7 +193,7 @@ def _anchors(k: int):
 #: Bytes beyond an anchor that decide, with it, where a piece goes.
 NEAR = 5
 #: Bytes of pieces that one transform takes; more are dealt into several, by route.
-COLLECTION = 6 << 20
+COLLECTION = 2 << 20
 
 
 def _content(k: int):
