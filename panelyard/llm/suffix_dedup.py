@@ -181,7 +181,8 @@ def _anchors(k: int):
                 side[has] = (ranges(x[has], y[has]) % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
                 sides.append(side)
             doc = np.searchsorted(bounds, first + s, "right") - 1
-            out.append(anchored.Anchors(h[p], context, *sides, p + s, doc, first + s, last + s))
+            # least hashes are small ones: mixed again, they spread
+            out.append(anchored.Anchors(mix(h[p], np.uint64(5)), context, *sides, p + s, doc, first + s, last + s))
         if not out:
             z = np.zeros(0, np.int64)
             return anchored.Anchors(z.astype(np.uint64), z.astype(np.uint32), z.astype(np.uint16), z.astype(np.uint16), z, z, z, z)
