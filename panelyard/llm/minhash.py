@@ -44,10 +44,13 @@ def shingle_sets(texts, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(h: np.ndarray, offsets: np.ndarray, hashes: int, seed: int = 6) -> np.ndarray:
-    """MinHash matrix (texts x hashes, 32 bits); rows of empty sets are all ones."""
+    """MinHash matrix (texts x hashes); rows of empty sets are all ones.
+
+    Each cell is 16 bits of the least hash: others agree with it by chance once in 65,536.
+    """
     rng = np.random.default_rng(seed)
     factors, terms = (rng.integers(0, 1 << 64, hashes, np.uint64) for _ in range(2))
-    out = np.full((len(offsets) - 1, hashes), np.uint32(0xFFFFFFFF))
+    out = np.full((len(offsets) - 1, hashes), np.uint16(0xFFFF))
     rows = np.flatnonzero(np.diff(offsets))
     at = 0
     while at < len(rows):  # blocks that stay in the processor's cache
@@ -56,7 +59,7 @@ def signatures(h: np.ndarray, offsets: np.ndarray, hashes: int, seed: int = 6) -
         x = h[offsets[own[0]] : offsets[own[-1] + 1]]
         begins = offsets[own] - offsets[own[0]]
         for i in range(hashes):
-            out[own, i] = np.minimum.reduceat(x * (factors[i] | np.uint64(1)) + terms[i], begins) >> np.uint64(32)
+            out[own, i] = (np.minimum.reduceat(x * (factors[i] | np.uint64(1)) + terms[i], begins) >> np.uint64(32)) & np.uint64(0xFFFF)
         at = to
     return out
 
@@ -98,7 +101,7 @@ def survivors(one: np.ndarray, many: np.ndarray, fewest: dict[int, int]) -> np.n
     return alive
 
 
-def links(cluster: list[str], label: list[str], matrix: np.ndarray, sets: list[np.ndarray], percent: int, fewest: dict[int, int]) -> list[tuple[str, str]]:
+def links(cluster: list[int], label: list[int], matrix: np.ndarray, sets: list[np.ndarray], percent: int, fewest: dict[int, int]) -> list[tuple[int, int]]:
     """Links that join the labels of a cluster, exactly verified.
 
     Each node meets all nodes that are not yet joined with it; signatures rule pairs out in
@@ -161,7 +164,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
                 h, offsets = shingle_sets(part.column("text"), size)
                 matrix = signatures(h, offsets, hashes)
                 raw = [m.tobytes() for m in matrix]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(fingerprints(h, offsets), pa.string()), pa.array(raw, pa.binary())], names=["doc_id", "n", "node", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(fingerprints(h, offsets), pa.string()), pa.array(raw, pa.binary())], names=["doc_id", "n", "set", "signature"])
 
     def full(batches):
         import pyarrow as pa
@@ -169,7 +172,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         for batch in batches:
             for part in byte_slices(batch):
                 h, offsets = shingle_sets(part.column("text"), size)
-                keep = [i for i, (f, g) in enumerate(zip(fingerprints(h, offsets), part.column("node").to_pylist(), strict=True)) if f == g]
+                keep = [i for i, (f, g) in enumerate(zip(fingerprints(h, offsets), part.column("set").to_pylist(), strict=True)) if f == g]
                 raw = [h[offsets[i] : offsets[i + 1]].tobytes() for i in keep]
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(keep, pa.int64())), pa.array(raw, pa.binary())], names=["node", "members"])
 
@@ -177,18 +180,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         import pyarrow as pa
 
         for batch in batches:
-            matrix = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, hashes)
+            matrix = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(batch.num_rows, hashes)
             keys = band_keys(matrix[:, : bands * rows], rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "keys"])
 
-    sketches = cut(rows_in.mapInArrow(sketch, "doc_id long, n long, node string, signature binary"))
-    nodes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
-    nodes = cut(nodes)
-    banded = cut(nodes.select("node", "signature").mapInArrow(to_bands, "node string, keys array<long>").select("node", F.explode("keys").alias("key")))
+    sketches = cut(rows_in.mapInArrow(sketch, "doc_id long, n long, set string, signature binary"))
+    nodes = sketches.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    every = nodes.select("node", "signature").mapInArrow(to_bands, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     # only buckets with two nodes or more go on
-    leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
-    banded = cut(banded.join(leaders, "key"))
+    leaders = every.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
+    banded = cut(every.join(leaders, "key"))
     stars = banded.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     signs = nodes.select("node", "signature")
 
@@ -196,7 +199,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         import pyarrow as pa
 
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, hashes) for c in ("su", "sv"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, hashes) for c in ("su", "sv"))
             alive = np.ones(batch.num_rows, bool)
             equal = np.zeros(batch.num_rows, np.int64)
             for n, least in fewest.items():
@@ -217,11 +220,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
             pairs = pairs.join(side.select(F.col("node").alias(end), F.col(column).alias(column[0] + end)), end)
         return pairs
 
-    likely_pairs = cut(with_both(stars, signs, "signature").mapInArrow(likely, "u string, v string"))
+    likely_pairs = cut(with_both(stars, signs, "signature").mapInArrow(likely, "u long, v long"))
     # full sets of all nodes that may be needed: those of shared buckets
-    needed = banded.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = cut(rows_in.join(needed, "doc_id").mapInArrow(full, "node string, members binary"))
-    linked = cut(with_both(likely_pairs, sets, "members").mapInArrow(sure, "u string, v string"))
+    needed = banded.select("node").distinct().join(nodes.select("node", "doc_id", "set"), "node")
+    sets = cut(rows_in.join(needed, "doc_id").mapInArrow(full, "node long, members binary"))
+    linked = cut(with_both(likely_pairs, sets, "members").mapInArrow(sure, "u long, v long"))
     first = connected_components(linked)
 
     # buckets that are still in parts, without those of two nodes, which have met
@@ -239,20 +242,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     def join_up(key, group):
         import pyarrow as pa
 
-        matrix = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(group.num_rows, hashes)
+        matrix = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(group.num_rows, hashes)
         sets = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
         found = links(group.column("node").to_pylist(), group.column("label").to_pylist(), matrix, sets, percent, fewest)
-        return pa.Table.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["u", "v"])
+        return pa.Table.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    met = dealt.join(signs, "node").join(sets, "node").groupBy("cluster", "a", "b").applyInArrow(join_up, "u string, v string")
+    met = dealt.join(signs, "node").join(sets, "node").groupBy("cluster", "a", "b").applyInArrow(join_up, "u long, v long")
     more = cut(met)
     final = connected_components(linked.unionByName(more))
 
-    named = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = cut(named)
+    named = nodes.select("set", "node", "doc_id").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = cut(named.drop("node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classes = named.join(smallest, "label").select("node", "component_id")
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "node").join(classes, "node", "left")
+    classes = named.join(smallest, "label").select("set", "component_id")
+    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set").join(classes, "set", "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
