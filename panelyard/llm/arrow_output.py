@@ -27,19 +27,20 @@ class ShardWriter:
     """One shard: ``<name>.arrow`` with rows of ``width`` ids and a mask, ``<name>.docs.arrow`` as index.
 
     Both are Arrow IPC files: equal-length rows lie back to back in each batch, so row ``i`` of a
-    memory-mapped file is a slice without a copy. The mask is 1 for ids and 0 for the padding of
-    the last row. A shard is written under a name of the attempt and renamed at its end, so a
+    memory-mapped file is a slice without a copy. Ids take 16 bits if the vocabulary fits, else 32.
+    The mask, a bit each, is true for ids and false for the padding of the last row. A shard is written under a name of the attempt and renamed at its end, so a
     repeated or lost task leaves either a whole shard or none.
     """
 
-    def __init__(self, folder: str, name: str, width: int, rows: int, attempt: str):
+    def __init__(self, folder: str, name: str, width: int, rows: int, attempt: str, kind: str = "uint32"):
         import pyarrow as pa
 
         self.fs, root = _open(folder)
         self.fs.create_dir(root, recursive=True)
         self.final, self.width, self.rows = f"{root}/{name}", width, rows
         self.names = [f"{root}/_{name}-{attempt}{x}" for x in (".arrow", ".docs.arrow")]
-        self.sequences = pa.schema([("ids", pa.list_(pa.uint32(), width)), ("mask", pa.list_(pa.uint8(), width))])
+        self.kind = np.dtype(kind)
+        self.sequences = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), width)), ("mask", pa.list_(pa.bool_(), width))])
         self.index = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [self.fs.open_output_stream(n) for n in self.names]
         self.out, self.docs = (pa.ipc.new_file(s, x) for s, x in zip(self.sinks, (self.sequences, self.index), strict=True))
@@ -65,8 +66,8 @@ class ShardWriter:
         step = self.width * self.rows
         for a in range(0, len(flat), step):
             ids = flat[a : a + step]
-            mask = (np.arange(a, a + len(ids)) < valid).astype(np.uint8)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (ids.astype(np.uint32), mask)]
+            mask = np.arange(a, a + len(ids)) < valid
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (ids.astype(self.kind), mask)]
             self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.sequences))
 
     def close(self) -> None:
@@ -98,7 +99,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, width: int = 2
         for batch in batches:
             for part in byte_slices(batch):
                 if writer is None:
-                    writer = ShardWriter(folder, f"shard-{shard:06d}", width, batch_rows, str(task.taskAttemptId()))
+                    writer = ShardWriter(folder, f"shard-{shard:06d}", width, batch_rows, str(task.taskAttemptId()), "uint16" if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "uint32")
                 writer.add(part.column("doc_id").to_pylist(), *with_end(*encoder(path).encode(part.column("text").to_pylist()), end_id))
         if writer is not None:
             writer.close()
@@ -134,7 +135,8 @@ def document_checks(batches):
             crcs, at, k, crc = np.zeros(len(starts), np.int64), 0, 0, 0
             for b in range(reader.num_record_batches):
                 part = reader.get_batch(b)
-                ids = part.column("ids").flatten().to_numpy()[part.column("mask").flatten().to_numpy() > 0].astype("<u4", copy=False)
+                mask = part.column("mask").flatten()
+                ids = part.column("ids").flatten().to_numpy()[: mask.true_count].astype("<u4")  # padding comes last
                 while k < len(starts) and starts[k] < at + len(ids):
                     a, z = max(int(starts[k]), at), min(int(starts[k] + sizes[k]), at + len(ids))
                     crc = zlib.crc32(memoryview(ids[a - at : z - at]).cast("B"), crc)
@@ -153,11 +155,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def training_batches(path: str):
-    """(ids, mask) matrices of a shard, batch by batch, as views into the mapped file."""
+    """(ids as a matrix, mask as Arrow lists) of a shard, batch by batch, both views into the mapped file."""
     reader, _ = read_shard(path)
     for b in range(reader.num_record_batches):
         part = reader.get_batch(b)
         width = part.schema.field("ids").type.list_size
-        yield tuple(part.column(c).flatten().to_numpy(zero_copy_only=True).reshape(-1, width) for c in ("ids", "mask"))
+        yield part.column("ids").flatten().to_numpy(zero_copy_only=True).reshape(-1, width), part.column("mask")
 
 

@@ -8,7 +8,8 @@ from itertools import chain, repeat
 import numpy as np
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-_ODD_SPACE = re.compile(r" (?=\s|\Z)")
+_ODD_SPACE = re.compile(r"[ \n](?=\s|\Z)")
+_OTHER_SPACE = re.compile(r"[^\S\n ]")
 _ENCODERS: dict[tuple[str, int], CachedEncoder] = {}
 
 
@@ -21,13 +22,15 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 class CachedEncoder:
     """Byte-level BPE by the tokenizers library.
 
-    A byte-level pre-tokenizer starts a token at any space that a non-space follows, and what comes
-    after does not depend on what came before. So a text is cut there, and the library encodes each
-    distinct part once while it stays in the cache. Texts with spaces before other white space or
-    at their end go to the library whole. ``capacity`` bounds the cached parts.
+    A byte-level pre-tokenizer starts a token at any space or line feed that a non-space follows, and
+    what comes after does not depend on what came before. So a text is cut there, and the library
+    encodes each distinct part once while it stays in the cache. Texts with spaces or line feeds
+    before other white space or at their end go to the library whole. New parts go to it many in a
+    line, apart by line feeds, which are tokens of their own there. ``capacity`` bounds the
+    parts of the cache, which keeps one full table beside the one it fills.
     """
 
-    def __init__(self, path: str, capacity: int = 600_000):
+    def __init__(self, path: str, capacity: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -35,16 +38,19 @@ class CachedEncoder:
         # each part comes here once while it is cached, so the library's own cache would only cost
         self.tokenizer.model._resize_cache(0)
         self.capacity = capacity
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
-        #: Parts that follow a space, without it; what begins a text is encoded each time.
+        #: Parts that follow a space, without it, or that begin with a line feed.
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
         self.rows = 0
+        #: The table before this one; what is found there comes over.
+        self.old = {}, self.flat, self.starts, self.sizes
 
     def _learn(self, texts: list[str]) -> int:
         """Encode texts into the table; the row of the first."""
@@ -52,23 +58,59 @@ class CachedEncoder:
         for at in range(0, len(texts), 20_000):
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(sizes.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.rows + len(ids) > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-            self.starts[self.rows : self.rows + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[self.rows : self.rows + len(ids)] = sizes
-            self.used += total
-            self.rows += len(ids)
+            self._add(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes)
         return first
 
+    def _add(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Rows of the table: ranges of ``ids``."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.rows + len(sizes) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.rows : self.rows + len(sizes)] = self.used + starts
+        self.sizes[self.rows : self.rows + len(sizes)] = sizes
+        self.used += len(ids)
+        self.rows += len(sizes)
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Encode new parts and remember them."""
+        if len(self.feed) != 1:
+            odd = parts
+        elif _OTHER_SPACE.search("".join(parts)):
+            odd = [p for p in parts if _OTHER_SPACE.search(p)]
+        else:
+            odd = []
+        if odd:
+            first = self._learn([p if p[:1] == "\n" else " " + p for p in odd])
+            self.known.update(zip(odd, range(first, first + len(odd)), strict=True))
+            gone = set(odd)
+            parts = [p for p in parts if p not in gone]
+        feed = np.uint32(self.feed[0])
+        for starts_line in (False, True):
+            some = [p for p in parts if (p[0] == "\n") == starts_line]
+            # after a space: " a", "\n", " b"; after a line feed: "\na", "\nb"
+            lines = ["".join(some[i : i + 50]) if starts_line else "\n " + "\n ".join(some[i : i + 50]) for i in range(0, len(some), 50)]
+            for at in range(0, len(lines), 400):
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(lines[at : at + 400], add_special_tokens=False)]
+                flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+                marks = np.flatnonzero(flat == feed)
+                own = some[50 * at : 50 * (at + 400)]
+                if len(marks) != len(own):
+                    raise AssertionError("line feeds did not come out as tokens of their own")
+                ends = np.append(marks[1:], len(flat))
+                skip = 0 if starts_line else 1
+                first = self.rows
+                self._add(flat, marks + skip, ends - marks - skip)
+                self.known.update(zip(own, range(first, first + len(own)), strict=True))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and offsets (one more than texts). Null: empty."""
         if self.rows > self.capacity or self.used > 16 * self.capacity:
+            old = self.known, self.flat, self.starts, self.sizes
             self._clear()
+            self.old = old
         heads, parts, counts = [], [], []
         for text in texts:
             if not text:
@@ -78,7 +120,7 @@ class CachedEncoder:
                 heads.append(text)
                 counts.append(1)
             else:
-                split = text.split(" ")
+                split = text.replace("\n", " \n").split(" ")
                 heads.append(split[0])
                 counts.append(len(split))
                 parts += split[1:]
@@ -87,8 +129,18 @@ class CachedEncoder:
         lost = np.flatnonzero(rest < 0)
         if len(lost):
             new = list(dict.fromkeys(map(parts.__getitem__, lost.tolist())))
-            first = self._learn(list(map(" ".__add__, new)))
-            known.update(zip(new, range(first, first + len(new)), strict=True))
+            was, flat, starts, lengths = self.old
+            if was:
+                again = [p for p in new if p in was]
+                if again:
+                    rows = np.fromiter(map(was.__getitem__, again), np.int64, len(again))
+                    size = lengths[rows]
+                    begins = np.cumsum(size) - size
+                    known.update(zip(again, range(self.rows, self.rows + len(again)), strict=True))
+                    self._add(flat[np.repeat(starts[rows] - begins, size) + np.arange(int(size.sum()))], begins, size)
+                    new = [p for p in new if p not in was]
+            if new:
+                self._learn_parts(new)
             rest[lost] = np.fromiter((known[parts[i]] for i in lost.tolist()), np.int64, len(lost))
         at = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
         rows = np.empty(int(at[-1]), np.int64)
@@ -102,7 +154,7 @@ class CachedEncoder:
         return ids, np.concatenate([[0], ends])[at]
 
 
-def encoder(path: str, capacity: int = 600_000) -> CachedEncoder:
+def encoder(path: str, capacity: int = 450_000) -> CachedEncoder:
     """The worker process's encoder for a vocabulary file."""
     if (path, capacity) not in _ENCODERS:
         _ENCODERS[path, capacity] = CachedEncoder(path, capacity)
