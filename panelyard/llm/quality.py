@@ -7,7 +7,7 @@ from math import exp, lgamma, log, log1p
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CLASS
+from ._common import SPACE_CLASS, cut
 
 WINDOW = 5
 #: Rules: measure, and cutoffs from the strictest to the mildest; a greater value rejects.
@@ -135,11 +135,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
     document don't count, and each repeated row does. A null lang is a stratum of its own.
     Empty tables work: without labels nothing but the base rule rejects.
     """
-    measured = measures(docs).withColumn("base_failed", base_failed())
+    # measured once, as labels and verdicts both need it; only the numbers are kept, not the texts
+    measured = cut(measures(docs).withColumn("base_failed", base_failed()))
     held = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int")).where("label_id is not null and quality is not null")
-    ids = docs.select(F.col("doc_id").cast("long"), F.col("text"), *(["lang"] if "lang" in docs.columns else []))
-    labelled = measures(ids.join(held, F.col("doc_id") == F.col("label_id"), "left_semi")).withColumn("base_failed", base_failed())
-    labelled = labelled.join(held, F.col("doc_id") == F.col("label_id"))
+    labelled = measured.join(held, F.col("doc_id") == F.col("label_id"))
     cutoffs = certified_cutoffs(labelled, **options)
     rejected = F.lit(False)
     for lang, found in cutoffs.items():
