@@ -249,9 +249,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
 
     met = dealt.join(signs, "node").join(sets, "node").groupBy("cluster", "a", "b").applyInArrow(join_up, "u long, v long")
     more = cut(met)
-    final = connected_components(linked.unionByName(more))
+    # what the clusters add joins whole components of before
+    ends = more.join(first.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
+    joined = connected_components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
 
-    named = nodes.select("set", "node", "doc_id").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.select("set", "node", "doc_id").join(first, "node", "left").withColumn("old", F.coalesce("label", "node")).drop("label")
+    named = named.join(joined.select(F.col("node").alias("old"), "label"), "old", "left").withColumn("label", F.coalesce("label", "old")).drop("old")
     named = cut(named.drop("node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(smallest, "label").select("set", "component_id")
