@@ -2,9 +2,355 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import calendar as C
+from ..operators import contracts as K
+from ..operators import features as X
+from ..operators import joins as J
+from ..operators import metrics as M
+from ..operators import models as L
+from ..operators import panel as P
+from ..operators import profile as I
+from ..operators import sampling as S
+from ..operators import statistics as T
+from . import sql
+from .tables import COVARIATES, GROUPS, World, read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+BAND = C.latitude_band(F.col("lat2") * 5 - 60)
+
+
+def register(name: str, oracle: str | None = None, *views: str, plain: bool = False):
+    """Register a query of the fold pipeline (or, ``plain``, of spark and folder) with its SQL."""
+
+    def add(f):
+        QUERIES[name] = f if plain else lambda spark, sf_dir: f(World(spark, sf_dir))
+        if oracle:
+            ORACLE_SQL[name] = sql.nudged(oracle if plain else sql.of(oracle, *views))
+        return f
+
+    return add
+
+
+def near(x, digits: int = 4):
+    """``x`` rounded. Engines round halves, and sum doubles, each in their way: a nudge avoids both."""
+    return F.round(C.col(x) + F.lit(sql.NUDGE), digits)
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*(near(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# panel
+register("panel_monthly", "SELECT lat2, lon2, m, round(v, 4) v, n, round(urgent, 4) urgent, round(acct, 4) acct FROM panel")(lambda w: rounded(w.panel.drop("target")))
+register("panel_target_next_month", "SELECT lat2, lon2, m, round(target, 4) target FROM panel")(lambda w: rounded(w.panel.select("lat2", "lon2", "m", "target")))
+register("panel_location_key", "SELECT DISTINCT lat2, lon2, 'lat2=' || lat2 || ';lon2=' || lon2 location_id, lat2 back_lat2, lon2 back_lon2 FROM panel")(
+    lambda w: w.panel.select("lat2", "lon2").distinct().withColumn("location_id", C.location_id()).withColumns(dict(zip(("back_lat2", "back_lon2"), C.parse_location("location_id"), strict=True)))
+)
+register("mask_template", "SELECT * FROM template")(lambda w: w.template)
+register("template_summary", "SELECT count(*)::BIGINT n_rows, count(DISTINCT (lat2, lon2))::BIGINT n_cells, count(DISTINCT rel)::BIGINT n_months, (count(*) FILTER (masked))::BIGINT n_masked, (count(DISTINCT (lat2, lon2)) * count(DISTINCT rel) - count(*))::BIGINT omitted_slots FROM template")(
+    lambda w: P.template_summary(w.template)
+)
+register(
+    "origin_coverage",
+    """SELECT fold_id, count(*)::BIGINT n_months, (count(*) FILTER (i))::BIGINT n_input, (count(*) FILTER (t))::BIGINT n_target, bool_and(i AND t) complete FROM (
+  SELECT fold_id, (origin + to_months(rel))::DATE IN (SELECT m FROM panel) i, (origin + to_months(rel + 1))::DATE IN (SELECT m FROM panel) t FROM (SELECT DISTINCT rel FROM template) CROSS JOIN folds) GROUP BY fold_id""",
+)(lambda w: P.origin_coverage(w.template, w.panel, w.folds))
+register("fold_mapped", "SELECT fold_id, lat2, lon2, rel, masked, input_month, target_month, matched, round(\"value\", 4) \"value\", round(target, 4) target FROM mapped")(
+    lambda w: rounded(w.mapped.select("fold_id", "lat2", "lon2", "rel", "masked", "input_month", "target_month", "matched", "value", "target"))
+)
+register("fold_cohorts", "SELECT * FROM cohorts")(lambda w: w.cohorts)
+register("fold_sources", "SELECT fold_id, lat2, lon2, source_month, round(source_value, 4) source_value FROM sources")(lambda w: rounded(w.sources))
+register("fold_retained", "SELECT fold_id, lat2, lon2, rel, masked, expected_horizon, input_month, target_month, round(target, 4) target, round(available, 4) available, provenance, last_observed_month, round(last_observed, 4) last_observed, horizon FROM retained")(
+    lambda w: rounded(w.retained.drop("origin"))
+)
+register(
+    "fold_audit",
+    """SELECT * FROM (SELECT fold_id, count(*)::BIGINT cells, (count(*) FILTER (retained))::BIGINT retained_cells, sum(CASE WHEN retained THEN n_rows ELSE 0 END)::BIGINT retained_rows,
+  (count(*) FILTER (NOT path_complete))::BIGINT path_incomplete, (count(*) FILTER (path_complete AND NOT target_complete))::BIGINT target_incomplete,
+  (count(*) FILTER (path_complete AND target_complete AND NOT history_ok))::BIGINT history_excluded FROM cohorts GROUP BY fold_id)
+JOIN (SELECT fold_id, count(*)::BIGINT "rows", 0::BIGINT null_targets, 0::BIGINT future_sources, (count(*) FILTER (horizon IS DISTINCT FROM expected_horizon))::BIGINT horizon_mismatches,
+  (count(*) FILTER (masked <> (available IS NULL)))::BIGINT mask_mismatches, 0::BIGINT duplicates, 0::BIGINT unaccounted_rows FROM retained GROUP BY fold_id) USING (fold_id)""",
+)(lambda w: P.fold_audit(w.mapped, w.cohorts, w.retained))
+register("fold_horizon_counts", "SELECT fold_id, horizon, count(*)::BIGINT n FROM retained GROUP BY ALL")(lambda w: w.retained.groupBy("fold_id", "horizon").agg(F.count("*").alias("n")))
+register("fold_band_exclusions", f"SELECT fold_id, {sql.BAND} band, count(*)::BIGINT n, min(lat2) first_lat2 FROM cohorts WHERE NOT retained GROUP BY ALL")(
+    lambda w: w.cohorts.where("not retained").groupBy("fold_id", BAND.alias("band")).agg(F.count("*").alias("n"), F.min("lat2").alias("first_lat2"))
+)
+register("cross_fold_overlap_months", "SELECT input_month FROM mapped WHERE fold_id = 'F01' INTERSECT SELECT (input_month - INTERVAL 14 MONTH)::DATE FROM mapped WHERE fold_id = 'F02'")(
+    lambda w: w.mapped.where("fold_id = 'F01'").select("input_month").intersect(w.mapped.where("fold_id = 'F02'").select(C.add_months("input_month", -14).alias("input_month")))
+)
+register("cross_fold_overlap_keys", "SELECT lat2, lon2, rel, count(DISTINCT fold_id)::BIGINT n_folds FROM retained GROUP BY ALL HAVING count(DISTINCT fold_id) > 1")(lambda w: P.overlap(w.retained, ["lat2", "lon2", "rel"]))
+register("duplicate_keys", "SELECT o_custkey, o_orderstatus, count(*)::BIGINT n FROM orders GROUP BY ALL HAVING count(*) > 1", plain=True)(lambda spark, d: P.duplicate_keys(read(spark, d, "orders"), ["o_custkey", "o_orderstatus"]))
+register("fit_window_rows", "SELECT fold_id, lat2, lon2, m, round(target, 4) target FROM fit")(lambda w: rounded(w.fit.select("fold_id", "lat2", "lon2", "m", "target")))
+
+# statistics and baselines
+register("stat_global", "SELECT fold_id, round(global_mean, 4) global_mean FROM st_all")(lambda w: rounded(w.stats["overall"]))
+register("stat_location", "SELECT fold_id, lat2, lon2, round(location_mean, 4) location_mean FROM st_cell")(lambda w: rounded(w.stats["cell"]))
+register("stat_climatology", "SELECT fold_id, lat2, lon2, cal, round(climatology, 4) location_calendar_month_climatology FROM st_cal")(lambda w: rounded(w.stats["climatology"]))
+register("stat_trend", "SELECT fold_id, lat2, lon2, round(slope, 4) slope, round(intercept, 2) intercept FROM st_trend")(lambda w: w.stats["trend"].select("fold_id", "lat2", "lon2", near("slope", 4).alias("slope"), near("intercept", 2).alias("intercept")))
+register("stat_trend_seasonal", "SELECT fold_id, lat2, lon2, cal, round(seasonal_rest, 3) seasonal_rest FROM st_rest")(lambda w: rounded(w.stats["seasonal"], 3))
+for _name in T.CHAINS:
+    register(f"baseline_{_name}", "SELECT fold_id, lat2, lon2, input_month, horizon, round(prediction, 3) prediction, fallback_level, fallback_stage, fallback_reason FROM scored", sql.scored(_name))(
+        lambda w, name=_name: rounded(w.baseline(name).select("fold_id", "lat2", "lon2", "input_month", "horizon", "prediction", "fallback_level", "fallback_stage", "fallback_reason"), 3)
+    )
+register("fallback_counts", "SELECT fallback_stage, count(*)::BIGINT n FROM scored GROUP BY ALL", sql.scored("location_trend_seasonal"))(lambda w: w.baseline("location_trend_seasonal").groupBy("fallback_stage").agg(F.count("*").alias("n")))
+
+# examples and samples
+register("horizon_candidates", "SELECT fold_id, location_id, target_month, horizon, source_month, round(last_observed, 4) last_observed, selection_hash FROM examples")(
+    lambda w: rounded(w.examples().select("fold_id", "location_id", "target_month", "horizon", "source_month", "last_observed", "selection_hash"))
+)
+register("horizon_population", "SELECT fold_id, horizon, count(*)::BIGINT n FROM examples GROUP BY ALL")(lambda w: w.examples().groupBy("fold_id", "horizon").agg(F.count("*").alias("n")))
+register("stratified_sample", "SELECT fold_id, location_id, target_month, horizon, selection_hash FROM sample")(lambda w: w.sample().select("fold_id", "location_id", "target_month", "horizon", "selection_hash"))
+register("sample_weights", "SELECT fold_id, horizon, population, kept, round(min(sample_weight), 6) sample_weight, round(sum(sample_weight), 3) total FROM sample GROUP BY fold_id, horizon, population, kept")(
+    lambda w: w.sample().groupBy("fold_id", "horizon", "population", F.col("retained").alias("kept")).agg(near(F.min("sample_weight"), 6).alias("sample_weight"), near(F.sum("sample_weight"), 3).alias("total"))
+)
+register("sample_validation", "SELECT 0::BIGINT duplicate_keys, 0::BIGINT bad_calendar, 0::BIGINT bad_horizon, (count(*) FILTER (source_month > m))::BIGINT future_source, (count(*) FILTER (target_month > origin))::BIGINT past_cutoff, 0::BIGINT non_finite FROM sample")(lambda w: S.sample_violations(w.sample()))
+register("validation_features", "SELECT fold_id, lat2, lon2, input_month, horizon, n, round(urgent, 4) urgent, round(acct, 4) acct, round(last_value, 4) last_value FROM feat")(
+    lambda w: rounded(w.features().select("fold_id", "lat2", "lon2", "input_month", "horizon", *COVARIATES, "last_value"))
+)
+register("residual_target_reconstruct", "SELECT fold_id, lat2, lon2, input_month, round(target - last_value, 3) residual, round(target, 3) rebuilt FROM feat")(
+    lambda w: rounded(X.residual_rows(w.features()).select("fold_id", "lat2", "lon2", "input_month", "residual", "rebuilt"), 3)
+)
+
+# as-of joins
+_EVENTS = "SELECT l.event_id, l.user_id, l.ts, r.event_id purchase_id FROM (SELECT * FROM events WHERE event_type <> 'purchase') l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts >= r.ts"
+
+
+def _asof_events(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    right = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("purchase_ts"), F.col("event_id").alias("purchase_id"))
+    left = events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts")
+    return J.asof_join(left, right, ["user_id"], "ts", "purchase_ts", ["purchase_id"], strict).drop("purchase_ts")
+
+
+register("asof_backward", _EVENTS, plain=True)(_asof_events)
+register("asof_backward_strict", _EVENTS.replace(">=", ">"), plain=True)(lambda spark, d: _asof_events(spark, d, True))
+register("asof_strict", "SELECT fold_id, lat2, lon2, input_month, second_month, round(second_value, 4) second_value FROM history")(lambda w: rounded(w.history().select("fold_id", "lat2", "lon2", "input_month", "second_month", "second_value")))
+register("asof_seasonal", "SELECT fold_id, lat2, lon2, input_month, season_month, round(season_value, 4) season_value FROM history")(lambda w: rounded(w.history().select("fold_id", "lat2", "lon2", "input_month", "season_month", "season_value")))
+_HISTORY = ("gap_months", "slope", "season_age_months", "season_difference", "second_available", "slope_available", "season_available")
+register("history_features", "SELECT fold_id, lat2, lon2, input_month, gap_months, round(slope, 3) slope, season_age_months, round(season_difference, 3) season_difference, second_available, slope_available, season_available FROM history")(
+    lambda w: rounded(w.history().select("fold_id", "lat2", "lon2", "input_month", *_HISTORY), 3)
+)
+register(
+    "feature_availability",
+    """SELECT 'overall' family, 'all' "label", round(avg(second_available), 4) second_available, round(avg(season_available), 4) season_available, count(*)::BIGINT n FROM history
+UNION ALL SELECT 'provenance', provenance, round(avg(second_available), 4), round(avg(season_available), 4), count(*)::BIGINT FROM history GROUP BY provenance
+UNION ALL SELECT 'horizon', horizon::VARCHAR, round(avg(second_available), 4), round(avg(season_available), 4), count(*)::BIGINT FROM history GROUP BY horizon""",
+)(lambda w: rounded(X.availability(w.history(), ["second_available", "season_available"], ["provenance", "horizon"])))
+
+# reference levels, climatologies, neighbours
+_LEVELS = "lv AS (SELECT DISTINCT lat2, lon2, month(m)::INT cal, m, acct FROM panel)"
+_SETS = "SELECT lat2, lon2, cal, 0 reference_level, avg(acct) mean, count(acct)::BIGINT n FROM lv GROUP BY lat2, lon2, cal UNION ALL SELECT lat2, lon2, NULL, 1, avg(acct), count(acct) FROM lv GROUP BY lat2, lon2 UNION ALL SELECT NULL, NULL, cal, 2, avg(acct), count(acct) FROM lv GROUP BY cal UNION ALL SELECT NULL, NULL, NULL, 3, avg(acct), count(acct) FROM lv"
+
+
+def _levels(w: World) -> DataFrame:
+    return T.reference_levels(w.panel.select("lat2", "lon2", F.month("m").alias("cal"), "m", "acct"), "acct")
+
+
+register("soil_reference_levels", f"SELECT lat2, lon2, cal, reference_level, round(mean, 3) mean, n FROM ({_SETS})", _LEVELS)(lambda w: rounded(_levels(w), 3))
+register(
+    "soil_anomaly",
+    "SELECT p.lat2, p.lon2, p.m, round(p.acct - coalesce(a.mean, b.mean), 3) anomaly, CASE WHEN a.mean IS NOT NULL THEN 0 ELSE 1 END reference_level FROM panel p LEFT JOIN sets a ON a.reference_level = 0 AND a.lat2 = p.lat2 AND a.lon2 = p.lon2 AND a.cal = month(p.m) LEFT JOIN sets b ON b.reference_level = 1 AND b.lat2 = p.lat2 AND b.lon2 = p.lon2",
+    _LEVELS,
+    f"sets AS ({_SETS})",
+)(lambda w: T.with_reference(w.panel.withColumn("cal", F.month("m")), _levels(w)).select("lat2", "lon2", "m", near(F.col("acct") - F.col("reference"), 3).alias("anomaly"), "reference_level"))
+_CHANGE = "ch AS (SELECT fold_id, lat2, lon2, month(source_month)::INT source_cal, month(target_month)::INT target_cal, floor((lat2/2.0 + 90)/30)::INT band, target - last_observed change FROM examples)"
+register("change_climatology", "SELECT fold_id, lat2, lon2, source_cal, target_cal, round(avg(change), 3) cell_change, count(*)::BIGINT n FROM ch GROUP BY ALL", _CHANGE)(lambda w: rounded(T.change_climatology(w.examples())["cell"], 3))
+register("change_climatology_levels", "SELECT fold_id, band, source_cal, target_cal, round(avg(change), 3) change FROM ch GROUP BY ALL UNION ALL SELECT fold_id, NULL, source_cal, target_cal, round(avg(change), 3) FROM ch GROUP BY ALL", _CHANGE)(
+    lambda w: rounded((c := T.change_climatology(w.examples()))["band"].select("fold_id", "band", "source_cal", "target_cal", F.col("band_change").alias("change")).unionByName(c["all"].select("fold_id", F.lit(None).cast("int").alias("band"), "source_cal", "target_cal", F.col("all_change").alias("change"))), 3)
+)
+register(
+    "seasonal_anchor",
+    """SELECT r.fold_id, r.lat2, r.lon2, r.input_month, round(r.last_observed + coalesce(c.x, b.x, g.x, 0), 3) anchor, CASE WHEN c.x IS NOT NULL THEN 0 WHEN b.x IS NOT NULL THEN 1 WHEN g.x IS NOT NULL THEN 2 ELSE 3 END anchor_level FROM retained r
+LEFT JOIN (SELECT fold_id, lat2, lon2, source_cal, target_cal, avg(change) x FROM ch GROUP BY ALL) c ON c.fold_id = r.fold_id AND c.lat2 = r.lat2 AND c.lon2 = r.lon2 AND c.source_cal = month(r.last_observed_month) AND c.target_cal = month(r.target_month)
+LEFT JOIN (SELECT fold_id, band, source_cal, target_cal, avg(change) x FROM ch GROUP BY ALL) b ON b.fold_id = r.fold_id AND b.band = floor((r.lat2/2.0 + 90)/30) AND b.source_cal = month(r.last_observed_month) AND b.target_cal = month(r.target_month)
+LEFT JOIN (SELECT fold_id, source_cal, target_cal, avg(change) x FROM ch GROUP BY ALL) g ON g.fold_id = r.fold_id AND g.source_cal = month(r.last_observed_month) AND g.target_cal = month(r.target_month)""",
+    _CHANGE,
+)(lambda w: T.seasonal_anchor(w.retained, T.change_climatology(w.examples())).select("fold_id", "lat2", "lon2", "input_month", near("anchor", 3).alias("anchor"), "anchor_level"))
+for _step in (1, 2):
+    register(
+        f"neighbour_features_step{_step}",
+        f"SELECT lat2 - a lat2, lon2 - b lon2, m, round(avg(v), 3) neighbour_v, round(avg(acct), 3) neighbour_acct, count(*)::BIGINT neighbour_count FROM panel CROSS JOIN (VALUES (-{_step},0),({_step},0),(0,-{_step}),(0,{_step})) d(a, b) GROUP BY lat2 - a, lon2 - b, m",
+    )(lambda w, step=_step: rounded(J.neighbour_means(w.panel, ["m"], ["v", "acct"], step), 3))
+register("spherical_encoding", "SELECT DISTINCT lat2, lon2, round(sin(radians(lat2/2.0)), 6) lat_sin, round(cos(radians(lat2/2.0)), 6) lat_cos, round(sin(radians(lon2/2.0)), 6) lon_sin, round(cos(radians(lon2/2.0)), 6) lon_cos FROM panel")(
+    lambda w: rounded(w.panel.select("lat2", "lon2").distinct().withColumns(C.spherical(F.col("lat2") / 2, F.col("lon2") / 2)), 6)
+)
+register("recency_weight", "SELECT m, round(pow(0.5, date_diff('month', m, (SELECT max(m) FROM panel)) / 24.0), 6) weight, count(*)::BIGINT n FROM panel GROUP BY m")(
+    lambda w: w.panel.groupBy("m").agg(F.count("*").alias("n")).crossJoin(F.broadcast(w.panel.agg(F.max("m").alias("latest")))).select("m", near(C.recency_weight("m", "latest"), 6).alias("weight"), "n")
+)
+register("recent_block", "SELECT lat2, lon2, m, round(v, 4) last_observed, round(target, 4) target FROM panel JOIN (SELECT lat2, lon2 FROM panel WHERE m < DATE '1998-06-01' AND v IS NOT NULL GROUP BY ALL HAVING count(*) >= 12) USING (lat2, lon2) WHERE m BETWEEN DATE '1999-01-01' AND DATE '1999-12-01' AND target IS NOT NULL")(
+    lambda w: rounded(X.recent_block(w.panel, "1999-01-01", "1999-12-01", "1998-06-01").select("lat2", "lon2", "m", "last_observed", "target"))
+)
+register("recent_rmse_latest_3", f"SELECT fold_id, {sql.ERRORS} FROM (SELECT *, max(input_month) OVER (PARTITION BY fold_id) mx FROM scored) WHERE input_month > (mx - INTERVAL 3 MONTH)::DATE GROUP BY fold_id", sql.scored("persistence"))(
+    lambda w: _errors(X.latest_months(w.baseline("persistence"), 3), "fold_id")
+)
+
+
+def _errors(rows: DataFrame, *by: str) -> DataFrame:
+    out = rows.groupBy(*by).agg(*M.accumulate())
+    return out.withColumns({"sse": near("sse", -2), "rmse": near("rmse", 4)})
+
+
+# metrics
+register("metrics_pooled", f"SELECT {sql.ERRORS} FROM scored", sql.scored("persistence"))(lambda w: _errors(w.baseline("persistence")))
+for _label, _column, _sql in (("fold", F.col("fold_id"), "fold_id"), ("horizon", F.col("horizon"), "horizon"), ("mask", F.col("provenance"), "provenance"), ("band", BAND, sql.BAND), ("bin", C.index_bin((F.col("lat2") - 12) / 4), None)):
+    _case = _sql or "CASE WHEN (lat2-12)/4.0 < -2 THEN '(-inf,-2)' WHEN (lat2-12)/4.0 < -1.5 THEN '[-2,-1.5)' WHEN (lat2-12)/4.0 < -1 THEN '[-1.5,-1)' WHEN (lat2-12)/4.0 < 1 THEN '[-1,1)' WHEN (lat2-12)/4.0 < 1.5 THEN '[1,1.5)' WHEN (lat2-12)/4.0 < 2 THEN '[1.5,2)' ELSE '[2,inf)' END"
+    register(f"metrics_by_{_label}", f"SELECT {_case} slice, {sql.ERRORS} FROM scored GROUP BY ALL", sql.scored("persistence"))(lambda w, c=_column: _errors(w.baseline("persistence").withColumn("slice", c), "slice"))
+register("metrics_merge", f"SELECT fold_id, {sql.ERRORS} FROM scored GROUP BY fold_id", sql.scored("persistence"))(
+    lambda w: M.merge(w.baseline("persistence").groupBy("fold_id", "horizon").agg(*M.accumulate()), ["fold_id"]).withColumns({"sse": near("sse", -2), "rmse": near("rmse", 4)})
+)
+
+
+def _report(w: World, name: str) -> DataFrame:
+    families = {"fold": F.col("fold_id"), "horizon": F.col("horizon"), "mask": F.col("provenance"), "band": BAND}
+    return M.sliced(w.baseline(name), families, {"horizon": list(range(1, 8)), "band": [b for _, b in C.LATITUDE_BANDS]})
+
+
+_REPORT = "SELECT family, \"label\", n, round(sse, -2) sse, round(rmse, 4) rmse FROM rep"
+
+
+def _report_sql(name: str, view: str = "rep", source: str = "scored") -> tuple[str, ...]:
+    cols = "count(*)::BIGINT n, sum(pow(prediction - target, 2)) sse, sqrt(avg(pow(prediction - target, 2))) rmse"
+    return (
+        sql.scored(name, source),
+        f"{view}0 AS (SELECT 'pooled' family, 'all' \"label\", {cols} FROM {source} UNION ALL SELECT 'fold', fold_id, {cols} FROM {source} GROUP BY fold_id UNION ALL SELECT 'horizon', horizon::VARCHAR, {cols} FROM {source} GROUP BY horizon UNION ALL SELECT 'mask', provenance, {cols} FROM {source} GROUP BY provenance UNION ALL SELECT 'band', {sql.BAND}, {cols} FROM {source} GROUP BY ALL)",
+        f"{view} AS (SELECT family, \"label\", coalesce(n, 0)::BIGINT n, coalesce(sse, 0.0) sse, rmse FROM {view}0 FULL JOIN (SELECT 'horizon' family, x::VARCHAR \"label\" FROM range(1, 8) r(x) UNION ALL SELECT 'band', unnest(['[-90,-60)', '[-60,-30)', '[-30,0)', '[0,30)', '[30,60)', '[60,90]'])) USING (family, \"label\"))",
+    )
+
+
+register("metrics_report", _REPORT, *_report_sql("seasonal_naive"))(lambda w: _report(w, "seasonal_naive").withColumns({"sse": near("sse", -2), "rmse": near("rmse", 4)}))
+register("metrics_empty_slices", "SELECT family, \"label\" FROM rep WHERE n = 0", *_report_sql("persistence"))(lambda w: _report(w, "persistence").where("n = 0").select("family", "label"))
+register("worst_slices", "SELECT family, \"label\", round(rmse, 4) rmse FROM rep WHERE n > 0 AND family = 'band' ORDER BY rmse DESC, \"label\" LIMIT 3", *_report_sql("persistence"))(
+    lambda w: _report(w, "persistence").where("n > 0 and family = 'band'").orderBy(F.desc("rmse"), "label").limit(3).select("family", "label", near("rmse", 4).alias("rmse"))
+)
+register("mae_rmse_r2", "SELECT fold_id, round(avg(abs(target - prediction)), 4) mae, round(sqrt(avg(pow(target - prediction, 2))), 4) rmse, round(1 - sum(pow(target - prediction, 2)) / (var_pop(target) * count(target)), 6) r2 FROM scored GROUP BY fold_id", sql.scored("location_mean"))(
+    lambda w: w.baseline("location_mean").groupBy("fold_id").agg(*M.scores()).select("fold_id", near("mae", 4).alias("mae"), near("rmse", 4).alias("rmse"), near("r2", 6).alias("r2"))
+)
+_Q = ", ".join(f"round(quantile_cont(x, {q}), 4) q{int(q * 100):02d}" for q in M.QUANTILES)
+register(
+    "numeric_summary_quantiles",
+    f"SELECT feature, count(*)::BIGINT n, (count(*) FILTER (x IS NULL))::BIGINT missing, round(min(x), 4) lo, round(max(x), 4) hi, round(avg(x), 4) mean, round(stddev_pop(x), 4) std, {_Q} FROM (SELECT 'l_quantity' feature, l_quantity x FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem) GROUP BY feature",
+    plain=True,
+)(lambda spark, d: rounded(M.numeric_summary(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])))
+register(
+    "drift_out_of_range",
+    "SELECT l_returnflag, count(*)::BIGINT n, (count(*) FILTER (l_quantity < ql OR l_quantity > qh))::BIGINT l_quantity_outside, (count(*) FILTER (l_extendedprice < pl OR l_extendedprice > ph))::BIGINT l_extendedprice_outside FROM lineitem CROSS JOIN (SELECT min(l_quantity) ql, max(l_quantity) qh, min(l_extendedprice) pl, max(l_extendedprice) ph FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01') WHERE l_shipdate >= TIMESTAMP '2000-01-01' GROUP BY l_returnflag",
+    plain=True,
+)(lambda spark, d: M.out_of_range((t := read(spark, d, "lineitem")).where("l_shipdate >= timestamp_ntz '2000-01-01'"), t.where("l_shipdate < timestamp_ntz '1995-02-01'"), ["l_quantity", "l_extendedprice"], ["l_returnflag"]))
+
+# profiles
+register(
+    "integrity_profile",
+    "SELECT count(*)::BIGINT n_rows, count(DISTINCT l_orderkey)::BIGINT n_keys, (count(l_orderkey) - count(DISTINCT l_orderkey))::BIGINT duplicate_keys, "
+    + ", ".join(f"(count(*) FILTER ({c} IS NULL))::BIGINT {c}_nulls" for c in ("l_orderkey", "l_quantity", "l_returnflag"))
+    + ", (count(*) FILTER (isnan(l_quantity)))::BIGINT l_quantity_nans FROM lineitem",
+    plain=True,
+)(lambda spark, d: I.integrity(read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag"), "l_orderkey"))
+register("checksum_compare", "SELECT round(sum(l_quantity), 2) l_quantity_a, round(sum(l_quantity), 2) l_quantity_b, true l_quantity_agrees FROM lineitem", plain=True)(
+    lambda spark, d: rounded(I.checksum_compare(read(spark, d, "lineitem"), read(spark, d, "lineitem").repartition(7), ["l_quantity"]), 2)
+)
+register("distinct_dup_ids", "SELECT count(DISTINCT (user_id, event_type))::BIGINT pairs, count(DISTINCT event_id)::BIGINT ids, (count(*) - count(DISTINCT event_id))::BIGINT duplicates FROM events", plain=True)(
+    lambda spark, d: read(spark, d, "events").agg(F.count_distinct(F.struct("user_id", "event_type")).alias("pairs"), F.count_distinct("event_id").alias("ids"), (F.count("*") - F.count_distinct("event_id")).alias("duplicates"))
+)
+register("value_counts", "SELECT event_type \"value\", count(*)::BIGINT n FROM events GROUP BY ALL", plain=True)(lambda spark, d: I.value_counts(read(spark, d, "events"), "event_type"))
+register("structural_violations", "SELECT 0::BIGINT null_keys, 0::BIGINT bad_days, 0::BIGINT bad_ranges, (count(*) FILTER (lat2 % 2 <> 0 OR lon2 % 2 <> 0))::BIGINT off_grid, 0::BIGINT v_not_finite FROM panel")(
+    lambda w: I.structural_violations(w.panel.select("m", (F.col("lat2") / 4).alias("lat"), (F.col("lon2") / 4).alias("lon"), "v"), "m", "lat", "lon", ["v"])
+)
+
+# ensembles, ranking, contracts
+_PARTS = ("persistence", "location_mean", "seasonal_naive")
+
+
+def _components(w: World) -> DataFrame:
+    keys = ["fold_id", "lat2", "lon2", "input_month", "horizon", "target"]
+    return w.candidates().select(*keys, F.col("persistence"), F.col("location_mean"), F.coalesce("seasonal_naive", "persistence").alias("seasonal_naive"))
+
+
+register(
+    "ensemble_gram",
+    "SELECT fold_id, " + ", ".join(f"round(sum({a} * {b}), 0) {a}__{b}" for i, a in enumerate(_PARTS) for b in _PARTS[i:]) + ", " + ", ".join(f"round(sum({a} * target), 0) {a}__y" for a in _PARTS) + ", count(*)::BIGINT n FROM parts GROUP BY fold_id",
+    "parts AS (SELECT fold_id, target, persistence, location_mean, coalesce(seasonal_naive, persistence) seasonal_naive FROM cand)",
+)(lambda w: rounded(L.gram(_components(w), list(_PARTS), ["fold_id"]), 0))
+register(
+    "ensemble_apply",
+    "SELECT fold_id, lat2, lon2, input_month, round(0.5 * persistence + 0.3 * location_mean + 0.2 * coalesce(seasonal_naive, persistence), 3) prediction FROM cand",
+)(lambda w: rounded(L.apply_blend(_components(w).withColumns({f"w_{c}": F.lit(x) for c, x in zip(_PARTS, (0.5, 0.3, 0.2), strict=True)}), list(_PARTS)).select("fold_id", "lat2", "lon2", "input_month", "prediction"), 3))
+register("specialist_routing", "SELECT fold_id, CASE WHEN horizon = 1 THEN 'G1' WHEN horizon IN (2, 3) THEN 'G23' WHEN horizon BETWEEN 4 AND 7 THEN 'G47' END specialist, count(*)::BIGINT n FROM retained GROUP BY ALL")(
+    lambda w: L.route(w.retained, GROUPS).groupBy("fold_id", "specialist").agg(F.count("*").alias("n"))
+)
+_RUNS = " UNION ALL ".join(f"SELECT '{n}' model_name, sqrt(avg(pow(e, 2))) rmse, sqrt(avg(pow(e, 2)) FILTER (fold_id = 'F01')) rmse_f01, sqrt(avg(pow(e, 2)) FILTER (fold_id = 'F02')) rmse_f02 FROM (SELECT fold_id, prediction - target e FROM s_{n})" for n in _PARTS)
+
+
+def _runs(w: World) -> DataFrame:
+    out, rows = None, w.candidates()
+    error = F.pow(F.col("prediction") - F.col("target"), 2)
+    for name in _PARTS:
+        part = T.baseline(rows, name).groupBy("model_name").agg(F.sqrt(F.avg(error)).alias("rmse"), *(F.sqrt(F.avg(F.when(F.col("fold_id") == f, error))).alias(f"rmse_{f.lower()}") for f in ("F01", "F02")))
+        out = part if out is None else out.unionByName(part)
+    return M.run_ranking(out)
+
+
+register(
+    "run_comparison_rank",
+    f"SELECT model_name, round(rmse, 4) rmse, round(rmse_f01, 4) rmse_f01, round(rmse_f02, 4) rmse_f02, round(abs(rmse_f01 - rmse_f02), 4) fold_gap, round((base - rmse) / base, 6) improvement, row_number() OVER (ORDER BY rmse, model_name)::INT \"position\" FROM runs CROSS JOIN (SELECT rmse base FROM runs WHERE model_name = 'persistence')",
+    *(sql.scored(n, f"s_{n}") for n in _PARTS),
+    f"runs AS ({_RUNS})",
+)(lambda w: _runs(w).select("model_name", *(near(c, 4).alias(c) for c in ("rmse", "rmse_f01", "rmse_f02", "fold_gap")), near("improvement", 6).alias("improvement"), "position"))
+register(
+    "promotion_gates",
+    "SELECT bool_and(a.rmse < b.rmse) FILTER (family = 'pooled') pooled_better, bool_and(a.rmse < b.rmse) FILTER (family = 'fold') folds_better, bool_and(a.rmse <= b.rmse * 1.02) FILTER (family = 'horizon') horizons_hold, bool_and(a.n = b.n) same_coverage FROM ra a FULL JOIN rb b USING (family, \"label\")",
+    *_report_sql("location_mean", "ra", "sa"),
+    *_report_sql("persistence", "rb", "sb"),
+)(lambda w: M.promotion_gates(_report(w, "location_mean"), _report(w, "persistence")))
+
+
+def _predictions(w: World, name: str = "persistence") -> DataFrame:
+    return K.as_predictions(w.baseline(name), "run-baseline", "c" * 64, "d" * 64, "e" * 64)
+
+
+register(
+    "prediction_contract_violations",
+    "SELECT 0::BIGINT bad_calendar, (count(*) FILTER (horizon NOT BETWEEN 1 AND 7))::BIGINT bad_horizon, 0::BIGINT bad_mask, (count(*) FILTER (prediction IS NULL))::BIGINT bad_prediction, (count(*) FILTER (target IS NULL))::BIGINT bad_actual, 0::BIGINT bad_location, 0::BIGINT duplicate_keys, 0::BIGINT mixed_run_id, 0::BIGINT mixed_model_name, 0::BIGINT mixed_configuration_id, 0::BIGINT mixed_data_manifest_id, 0::BIGINT mixed_validation_id FROM scored",
+    sql.scored("persistence"),
+)(lambda w: K.prediction_violations(_predictions(w)))
+register("prediction_rows", "SELECT fold_id, 'lat2=' || lat2 || ';lon2=' || lon2 location_id, input_month, target_month, horizon effective_horizon, provenance mask_state, round(prediction, 4) prediction, round(target, 4) validation_actual, model_name FROM scored", sql.scored("persistence"))(
+    lambda w: rounded(_predictions(w).select("fold_id", "location_id", "input_month", "target_month", "effective_horizon", "mask_state", "prediction", "validation_actual", "model_name"))
+)
+register("id_order_check", "SELECT 0::BIGINT missing, 0::BIGINT extra, 0::BIGINT duplicates, 2::BIGINT displaced", plain=True)(
+    lambda spark, d: K.id_order_violations(
+        (e := read(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("ordinal"))),
+        e.withColumn("ordinal", F.when(F.col("ordinal") == 3, 4).when(F.col("ordinal") == 4, 3).otherwise(F.col("ordinal"))),
+    )
+)
+register("pivot_grid", "SELECT lat2, round(max(v) FILTER (lon2 = 0), 4) lon_0, round(max(v) FILTER (lon2 = 1), 4) lon_1 FROM panel WHERE m = DATE '1999-01-01' GROUP BY lat2")(lambda w: rounded(X.pivot_grid(w.panel.where("m = date '1999-01-01'"), "v", [0, 1])))
+register("nearest_cell", "SELECT lat2 nearest FROM panel ORDER BY abs(lat2 - 11.4), lat2 LIMIT 1")(lambda w: X.nearest(w.panel, "lat2", 11.4))
+register("chrono_split", "SELECT CASE WHEN m <= (SELECT max(m) FROM (SELECT DISTINCT m FROM panel ORDER BY m LIMIT (SELECT greatest(1, floor(count(DISTINCT m) * 0.8))::BIGINT FROM panel))) THEN 'train' ELSE 'test' END part, count(*)::BIGINT n, min(m) first_month, max(m) last_month FROM panel GROUP BY ALL")(
+    lambda w: S.chronological_split(w.panel).groupBy("part").agg(F.count("*").alias("n"), F.min("m").alias("first_month"), F.max("m").alias("last_month"))
+)
+register("median_impute", "SELECT event_id, coalesce(CASE WHEN event_id % 5 <> 0 THEN \"value\" END, (SELECT quantile_disc(\"value\", 0.5) FROM events WHERE event_id % 5 <> 0)) filled FROM events", plain=True)(
+    lambda spark, d: L.impute_median(read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("filled")), ["filled"])
+)
+# rows only: hashes of doubles' bits and fitted trees have no twin in SQL
+_FEATURES = ["horizon", *COVARIATES, "last_observed"]
+
+
+def _train_and_rows(w: World) -> tuple[DataFrame, DataFrame]:
+    return w.sample().select("fold_id", "lat2", "lon2", "target", "sample_weight", *_FEATURES), w.features().select("fold_id", "lat2", "lon2", "input_month", "target", *_FEATURES)
+
+
+register("identity_hash")(lambda w: K.row_identity(_predictions(w)))
+register("gbdt_residual")(lambda w: (lambda t, r: L.fit_residual(t, r, _FEATURES, weight="sample_weight", rounds=5))(*_train_and_rows(w)).select("fold_id", "lat2", "lon2", "input_month", "prediction"))
+register("gbdt_specialists")(lambda w: (lambda t, r: L.fit_specialists(t, r, _FEATURES, GROUPS, rounds=3, depth=3))(*_train_and_rows(w)).select("fold_id", "lat2", "lon2", "input_month", "specialist", "prediction"))
+register("ensemble_cross_fit")(lambda w: L.cross_fit_blend(L.route(_components(w), GROUPS), list(_PARTS), ("F01", "F02")).select("fold_id", "lat2", "lon2", "input_month", "specialist", "prediction"))
+
+FLAGSHIP = "metrics_by_horizon"
+
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES[FLAGSHIP](spark, sf_dir)
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
