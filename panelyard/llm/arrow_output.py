@@ -100,7 +100,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, width: int = 2
             for part in byte_slices(batch):
                 if writer is None:
                     writer = ShardWriter(folder, f"shard-{shard:06d}", width, batch_rows, str(task.taskAttemptId()), "uint16" if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "uint32")
-                writer.add(part.column("doc_id").to_pylist(), *with_end(*encoder(path).encode(part.column("text").to_pylist()), end_id))
+                writer.add(part.column("doc_id").to_pylist(), *with_end(*encoder(path).encode(part.column("text")), end_id))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/shard-{shard:06d}", "documents": writer.documents, "tokens": writer.tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))

@@ -7,9 +7,15 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from ._common import string_bytes
+from .suffix_dedup import _RANDOM, RangeHash
+
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-_ODD_SPACE = re.compile(r"[ \n](?=\s|\Z)")
-_OTHER_SPACE = re.compile(r"[^\S\n ]")
+_ODD_AFTER = np.zeros(256, bool)
+_ODD_AFTER[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: White space but blanks and line feeds, or bytes that may begin some.
+_ANY_SPACE = re.compile(rb"[\t-\r\x1c- \xc2\xe1\xe2\xe3]")
+_OTHER_SPACE = re.compile(rb"[\t\x0b-\r\x1c-\x1f\xc2\xe1\xe2\xe3]")
 _ENCODERS: dict[tuple[str, int], CachedEncoder] = {}
 
 
@@ -42,8 +48,7 @@ class CachedEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        #: Parts that follow a space, without it, or that begin with a line feed.
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
@@ -52,15 +57,6 @@ class CachedEncoder:
         #: The table before this one; what is found there comes over.
         self.old = {}, self.flat, self.starts, self.sizes
 
-    def _learn(self, texts: list[str]) -> int:
-        """Encode texts into the table; the row of the first."""
-        first = self.rows
-        for at in range(0, len(texts), 20_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._add(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes)
-        return first
-
     def _add(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Rows of the table: ranges of ``ids``."""
         while self.used + len(ids) > len(self.flat):
@@ -74,84 +70,94 @@ class CachedEncoder:
         self.used += len(ids)
         self.rows += len(sizes)
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _learn_parts(self, parts: list[bytes]) -> None:
         """Encode new parts and remember them."""
-        if len(self.feed) != 1:
-            odd = parts
-        elif _OTHER_SPACE.search("".join(parts)):
-            odd = [p for p in parts if _OTHER_SPACE.search(p)]
-        else:
-            odd = []
-        if odd:
-            first = self._learn([p if p[:1] == "\n" else " " + p for p in odd])
-            self.known.update(zip(odd, range(first, first + len(odd)), strict=True))
-            gone = set(odd)
-            parts = [p for p in parts if p not in gone]
-        feed = np.uint32(self.feed[0])
-        for starts_line in (False, True):
-            some = [p for p in parts if (p[0] == "\n") == starts_line]
-            # after a space: " a", "\n", " b"; after a line feed: "\na", "\nb"
-            lines = ["".join(some[i : i + 50]) if starts_line else "\n " + "\n ".join(some[i : i + 50]) for i in range(0, len(some), 50)]
-            for at in range(0, len(lines), 400):
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast(lines[at : at + 400], add_special_tokens=False)]
-                flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
-                marks = np.flatnonzero(flat == feed)
-                own = some[50 * at : 50 * (at + 400)]
-                if len(marks) != len(own):
+        lines: dict[bytes, list[bytes]] = {b" ": [], b"\n": [], b"": []}
+        flat = b"".join(parts)
+        marks = [p[:1] for p in parts]
+        inner = _OTHER_SPACE.search(flat) or flat.count(b" ") + flat.count(b"\n") > marks.count(b" ") + marks.count(b"\n") or len(self.feed) != 1
+        for p, mark in zip(parts, marks, strict=True):
+            plain = mark in (b" ", b"\n") and len(p) > 1 and not (inner and (len(self.feed) != 1 or _ANY_SPACE.search(p, 1)))
+            lines[mark if plain else b""].append(p)
+        for mark, some in lines.items():
+            width = 50 if mark else 1
+            # a line of parts: "\n", " a", "\n", " b", or "\na", "\nb"
+            joined = [(b"" if mark != b" " else b"\n") + (b"\n" if mark == b" " else b"").join(some[i : i + width]) for i in range(0, len(some), width)]
+            for at in range(0, len(joined), 20_000 // width):
+                texts = [x.decode() for x in joined[at : at + 20_000 // width]]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+                own = some[width * at : width * at + width * (20_000 // width)]
+                starts = np.cumsum(sizes) - sizes if not mark else np.flatnonzero(flat == np.uint32(self.feed[0]))
+                if len(starts) != len(own):
                     raise AssertionError("line feeds did not come out as tokens of their own")
-                ends = np.append(marks[1:], len(flat))
-                skip = 0 if starts_line else 1
+                skip = 1 if mark == b" " else 0
                 first = self.rows
-                self._add(flat, marks + skip, ends - marks - skip)
+                self._add(flat, starts + skip, np.append(starts[1:], len(flat)) - starts - skip)
                 self.known.update(zip(own, range(first, first + len(own)), strict=True))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and offsets (one more than texts). Null: empty."""
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow column in a row, and offsets (one more than texts). Null: empty.
+
+        Parts are told apart by 64-bit hashes of their bytes, checked by length and first bytes;
+        each distinct one is looked up once a call, by its bytes.
+        """
         if self.rows > self.capacity or self.used > 16 * self.capacity:
             old = self.known, self.flat, self.starts, self.sizes
             self._clear()
             self.old = old
-        heads, parts, counts = [], [], []
-        for text in texts:
-            if not text:
-                heads.append("")
-                counts.append(1)
-            elif _ODD_SPACE.search(text):
-                heads.append(text)
-                counts.append(1)
-            else:
-                split = text.replace("\n", " \n").split(" ")
-                heads.append(split[0])
-                counts.append(len(split))
-                parts += split[1:]
-        known = self.known
-        rest = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
-        lost = np.flatnonzero(rest < 0)
-        if len(lost):
-            new = list(dict.fromkeys(map(parts.__getitem__, lost.tolist())))
+        data, offsets = string_bytes(texts)
+        begins, ends, first = _parts(data, offsets)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        h = RangeHash(_RANDOM[data])(begins, ends)
+        _, index, which = np.unique(h, return_index=True, return_inverse=True)
+        start8 = np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), 0, (1,))[begins]
+        size = ends - begins
+        if not ((size == size[index][which]) & ((start8 == start8[index][which]) | (size < 8))).all():
+            index = which = np.arange(len(begins))  # two parts share a hash: look all up
+        raw, known = data.tobytes(), self.known
+        parts = [raw[x:y] for x, y in zip(begins[index].tolist(), ends[index].tolist(), strict=True)]
+        found = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
+        lost = np.flatnonzero(found < 0).tolist()
+        if lost:
+            new = [parts[i] for i in lost]
             was, flat, starts, lengths = self.old
-            if was:
-                again = [p for p in new if p in was]
-                if again:
-                    rows = np.fromiter(map(was.__getitem__, again), np.int64, len(again))
-                    size = lengths[rows]
-                    begins = np.cumsum(size) - size
-                    known.update(zip(again, range(self.rows, self.rows + len(again)), strict=True))
-                    self._add(flat[np.repeat(starts[rows] - begins, size) + np.arange(int(size.sum()))], begins, size)
-                    new = [p for p in new if p not in was]
+            again = [p for p in new if p in was]
+            if again:
+                rows = np.fromiter(map(was.__getitem__, again), np.int64, len(again))
+                n = lengths[rows]
+                at = np.cumsum(n) - n
+                known.update(zip(again, range(self.rows, self.rows + len(again)), strict=True))
+                self._add(flat[np.repeat(starts[rows] - at, n) + np.arange(int(n.sum()))], at, n)
+                new = [p for p in new if p not in was]
             if new:
-                self._learn_parts(new)
-            rest[lost] = np.fromiter((known[parts[i]] for i in lost.tolist()), np.int64, len(lost))
-        at = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
-        rows = np.empty(int(at[-1]), np.int64)
-        is_head = np.zeros(len(rows), bool)
-        is_head[at[:-1]] = True
-        rows[is_head] = self._learn(heads) + np.arange(len(heads))
-        rows[~is_head] = rest
+                self._learn_parts(list(dict.fromkeys(new)))
+            found[lost] = np.fromiter((known[parts[i]] for i in lost), np.int64, len(lost))
+        rows = found[which]
         sizes = self.sizes[rows]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[at]
+        to = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[rows] - (to - sizes), sizes) + np.arange(int(to[-1]) if len(to) else 0)]
+        return ids, np.concatenate([[0], to])[first]
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of all texts: where they begin and end, and how many lie before each text.
+
+    Cuts lie before blanks and line feeds. A text where one of them is followed by white space (or
+    by a byte that may begin some beyond ASCII), or stands at its end, is one part.
+    """
+    n = len(data)
+    blank = np.flatnonzero((data == 32) | (data == 10))
+    doc = np.searchsorted(offsets, blank, "right") - 1
+    after = data[np.minimum(blank + 1, max(n - 1, 0))]
+    odd = np.zeros(len(offsets) - 1, bool)
+    odd[doc[_ODD_AFTER[after] | (blank + 1 >= offsets[doc + 1])]] = True
+    cuts = blank[~odd[doc] & (blank > offsets[doc])]
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins = np.sort(np.concatenate([heads, cuts]))
+    ends = np.append(begins[1:], n)[: len(begins)]
+    return begins, ends, np.searchsorted(begins, offsets)
 
 
 def encoder(path: str, capacity: int = 450_000) -> CachedEncoder:

@@ -30,7 +30,7 @@ def token_pieces(docs: DataFrame, max_tokens: int = 2048, vocabulary: str | None
         names = ("doc_id", "piece", "start", "length", "ids_crc32")
         for batch in batches:
             for part in byte_slices(batch):
-                ids, offsets = with_end(*encoder(path).encode(part.column("text").to_pylist()), end_id)
+                ids, offsets = with_end(*encoder(path).encode(part.column("text")), end_id)
                 rows = []
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     first = (b - a - 1) % max_tokens + 1
