@@ -22,7 +22,6 @@ from .tables import COVARIATES, GROUPS, World, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-BAND = C.latitude_band(F.col("lat2") * 5 - 60)
 
 
 def register(name: str, oracle: str | None = None, *views: str, plain: bool = False):
@@ -37,6 +36,10 @@ def register(name: str, oracle: str | None = None, *views: str, plain: bool = Fa
     return add
 
 
+def band():
+    return C.latitude_band(F.col("lat2") * 5 - 60)
+
+
 def near(x, digits: int = 4):
     """``x`` rounded. Engines round halves, and sum doubles, each in their way: a nudge avoids both."""
     return F.round(C.col(x) + F.lit(sql.NUDGE), digits)
@@ -79,7 +82,7 @@ JOIN (SELECT fold_id, count(*)::BIGINT "rows", 0::BIGINT null_targets, 0::BIGINT
 )(lambda w: P.fold_audit(w.mapped, w.cohorts, w.retained))
 register("fold_horizon_counts", "SELECT fold_id, horizon, count(*)::BIGINT n FROM retained GROUP BY ALL")(lambda w: w.retained.groupBy("fold_id", "horizon").agg(F.count("*").alias("n")))
 register("fold_band_exclusions", f"SELECT fold_id, {sql.BAND} band, count(*)::BIGINT n, min(lat2) first_lat2 FROM cohorts WHERE NOT retained GROUP BY ALL")(
-    lambda w: w.cohorts.where("not retained").groupBy("fold_id", BAND.alias("band")).agg(F.count("*").alias("n"), F.min("lat2").alias("first_lat2"))
+    lambda w: w.cohorts.where("not retained").groupBy("fold_id", band().alias("band")).agg(F.count("*").alias("n"), F.min("lat2").alias("first_lat2"))
 )
 register("cross_fold_overlap_months", "SELECT input_month FROM mapped WHERE fold_id = 'F01' INTERSECT SELECT (input_month - INTERVAL 14 MONTH)::DATE FROM mapped WHERE fold_id = 'F02'")(
     lambda w: w.mapped.where("fold_id = 'F01'").select("input_month").intersect(w.mapped.where("fold_id = 'F02'").select(C.add_months("input_month", -14).alias("input_month")))
@@ -198,16 +201,16 @@ def _errors(rows: DataFrame, *by: str) -> DataFrame:
 
 # metrics
 register("metrics_pooled", f"SELECT {sql.ERRORS} FROM scored", sql.scored("persistence"))(lambda w: _errors(w.baseline("persistence")))
-for _label, _column, _sql in (("fold", F.col("fold_id"), "fold_id"), ("horizon", F.col("horizon"), "horizon"), ("mask", F.col("provenance"), "provenance"), ("band", BAND, sql.BAND), ("bin", C.index_bin((F.col("lat2") - 12) / 4), None)):
+for _label, _column, _sql in (("fold", lambda: F.col("fold_id"), "fold_id"), ("horizon", lambda: F.col("horizon"), "horizon"), ("mask", lambda: F.col("provenance"), "provenance"), ("band", band, sql.BAND), ("bin", lambda: C.index_bin((F.col("lat2") - 12) / 4), None)):
     _case = _sql or "CASE WHEN (lat2-12)/4.0 < -2 THEN '(-inf,-2)' WHEN (lat2-12)/4.0 < -1.5 THEN '[-2,-1.5)' WHEN (lat2-12)/4.0 < -1 THEN '[-1.5,-1)' WHEN (lat2-12)/4.0 < 1 THEN '[-1,1)' WHEN (lat2-12)/4.0 < 1.5 THEN '[1,1.5)' WHEN (lat2-12)/4.0 < 2 THEN '[1.5,2)' ELSE '[2,inf)' END"
-    register(f"metrics_by_{_label}", f"SELECT {_case} slice, {sql.ERRORS} FROM scored GROUP BY ALL", sql.scored("persistence"))(lambda w, c=_column: _errors(w.baseline("persistence").withColumn("slice", c), "slice"))
+    register(f"metrics_by_{_label}", f"SELECT {_case} slice, {sql.ERRORS} FROM scored GROUP BY ALL", sql.scored("persistence"))(lambda w, c=_column: _errors(w.baseline("persistence").withColumn("slice", c()), "slice"))
 register("metrics_merge", f"SELECT fold_id, {sql.ERRORS} FROM scored GROUP BY fold_id", sql.scored("persistence"))(
     lambda w: M.merge(w.baseline("persistence").groupBy("fold_id", "horizon").agg(*M.accumulate()), ["fold_id"]).withColumns({"sse": near("sse", -2), "rmse": near("rmse", 4)})
 )
 
 
 def _report(w: World, name: str) -> DataFrame:
-    families = {"fold": F.col("fold_id"), "horizon": F.col("horizon"), "mask": F.col("provenance"), "band": BAND}
+    families = {"fold": F.col("fold_id"), "horizon": F.col("horizon"), "mask": F.col("provenance"), "band": band()}
     return M.sliced(w.baseline(name), families, {"horizon": list(range(1, 8)), "band": [b for _, b in C.LATITUDE_BANDS]})
 
 
