@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,11 @@ WORD = rf"[^{SPACE_CLASS}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` below ``sf_dir``."""
+    """Table ``name`` below ``sf_dir``; Python workers started from here on find this package too."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([x for x in (root, known) if x])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
