@@ -9,6 +9,8 @@ from math import log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import byte_slices
+
 #: Kinds in the order that ties follow.
 KINDS = ("assign", "access", "hex", "guess")
 # fixed values: the base patterns, letters of the first in either case
@@ -140,7 +142,7 @@ def scan(docs: DataFrame, least_bits: float = 36.0) -> DataFrame:
     def search(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole)):
             rows = [find_spans(t, least_bits) for t in batch.column("text").to_pylist()]
             counts = [pa.array([sum(s[2] == k for s in r) for r in rows], pa.int64()) for k in KINDS]
             base = pa.array([hashlib.sha256(written(r, KINDS[:3]).encode()).hexdigest() for r in rows])
@@ -161,7 +163,7 @@ def redact_documents(docs: DataFrame, least_bits: float = 36.0, mark: str = "[SE
         import pyarrow as pa
 
         at = names.index("text")
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole)):
             texts = [redact(t, least_bits, mark) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import byte_slices, cut
 
 # fixed values: pronouns of the second person in the corpus's languages
 YOU = frozenset("you your yours yourself u du dich dir dein deine ihr euch euer sie ihnen tu te toi ton ta vous votre vos tú ti tuyo usted vosotros vuestro".split())
@@ -232,7 +232,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(model.value(batch.column("text").to_pylist()))], names=["doc_id", "held_out", "score"])
+            for part in byte_slices(batch, 2 << 20):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(model.value(part.column("text").to_pylist()))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (fold() == 0).alias("held_out"), F.col("text").cast("string"))
     scored = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
@@ -247,6 +248,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array(model.value(batch.column("text").to_pylist()) < 0.5))
+            for part in byte_slices(batch, 2 << 20):
+                yield part.filter(pa.array(model.value(part.column("text").to_pylist()) < 0.5))
 
     return docs.mapInArrow(clean, docs.schema)
