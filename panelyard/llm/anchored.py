@@ -264,7 +264,7 @@ def remove_repeats(docs: DataFrame, m: Method, chunk_bytes: int = 2 << 20) -> Da
         mask = covered(int(symbols.bounds[-1]), np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)]))
         columns = m.output(chunk, symbols, mask)
         ids = pa.array(chunk.ids, mask=~chunk.known)
-        return pa.Table.from_arrays([ids, *map(pa.array, columns)], names=[x.split()[0] for x in m.schema.split(", ")])
+        return pa.Table.from_arrays([ids, *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names=[x.split()[0] for x in m.schema.split(", ")])
 
     by_chunk = dealt.groupBy("key")
     entries = by_chunk.applyInArrow(send, BLOB)
@@ -278,3 +278,16 @@ def runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     """Maximal runs of True as (start, end)."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
+
+
+def strings(values):
+    import pyarrow as pa
+
+    return pa.array(list(values), pa.string())
+
+
+def text_columns(texts: list[str], spans: list[list[dict]]):
+    """What is kept, and the spans cut."""
+    import pyarrow as pa
+
+    return strings(texts), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))

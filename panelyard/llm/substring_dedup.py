@@ -116,12 +116,12 @@ def _kept(chunk, words, mask):
 def _output(chunk, words, mask):
     rows = [(n, gone, hashlib.sha256(text).hexdigest()) for n, gone, text in _kept(chunk, words, mask)]
     n, gone, digest = zip(*rows, strict=True) if rows else ((), (), ())
-    return np.array(n, np.int64), np.array(gone, np.int64), list(digest)
+    return np.array(n, np.int64), np.array(gone, np.int64), anchored.strings(digest)
 
 
 def _texts(chunk, words, mask):
     spans = [[{"start": x, "end": y} for x, y in anchored.runs(mask[a:b])] for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
-    return [text.decode() for _, _, text in _kept(chunk, words, mask)], spans
+    return anchored.text_columns([text.decode() for _, _, text in _kept(chunk, words, mask)], spans)
 
 
 def remove_repeated_words(docs: DataFrame, length: int = 20, period: int = 13, output=_output, schema: str | None = None, **options) -> DataFrame:

@@ -307,7 +307,7 @@ def _output(chunk, symbols, mask):
         removed.append(gone)
         spans.append(int(np.count_nonzero(own[1:] & ~own[:-1])) + int(own[0]) if gone else 0)
         digest.append(hashlib.sha256(part[~own].tobytes() if gone else part.tobytes()).hexdigest())
-    return np.array(n, np.int64), np.array(removed, np.int64), np.array(spans, np.int64), digest
+    return np.array(n, np.int64), np.array(removed, np.int64), np.array(spans, np.int64), anchored.strings(digest)
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 50, output=_output, schema: str | None = None, **options) -> DataFrame:
@@ -342,7 +342,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, output=_output, sch
 def _texts(chunk, symbols, mask):
     parts = [chunk.data[a:b][~mask[a:b]].tobytes().decode("utf-8", "replace") for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True)]
     spans = [[{"start": x, "end": y} for x, y in anchored.runs(mask[a:b])] for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True)]
-    return parts, spans
+    return anchored.text_columns(parts, spans)
 
 
 def kept_texts(docs: DataFrame, length: int = 50, **options) -> DataFrame:
