@@ -100,5 +100,8 @@ def byte_slices(batch, size: int = 4 << 20):
 
 def give_back() -> None:
     """Return freed memory to the system: workers live on, and the next stage needs it elsewhere."""
+    from .suffix_dedup import _POWERS
+
+    _POWERS.clear()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL(None).malloc_trim(0)

@@ -8,7 +8,7 @@ from itertools import chain, repeat
 import numpy as np
 
 from ._common import string_bytes
-from .suffix_dedup import _RANDOM, RangeHash
+from .suffix_dedup import byte_hashes
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 _ODD_AFTER = np.zeros(256, bool)
@@ -110,7 +110,7 @@ class CachedEncoder:
         data, offsets = string_bytes(texts)
         begins, ends, first = _parts(data, offsets)
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        h = RangeHash(_RANDOM[data])(begins, ends)
+        h = byte_hashes(data, begins, ends)
         _, index, which = np.unique(h, return_index=True, return_inverse=True)
         start8 = np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), 0, (1,))[begins]
         size = ends - begins

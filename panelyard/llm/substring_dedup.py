@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from . import anchored
 from ._common import mix
-from .suffix_dedup import _RANDOM, RangeHash
+from .suffix_dedup import RangeHash, byte_hashes
 
 #: Perfect difference covers: every difference modulo the period is one of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -33,7 +33,7 @@ class Words:
         last[tails] = inside[tails]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.start, offsets)
-        self.hash = RangeHash(_RANDOM[data])(self.start, self.end)
+        self.hash = byte_hashes(data, self.start, self.end)
 
 
 def _anchors(k: int, period: int):

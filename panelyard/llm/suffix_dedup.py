@@ -136,6 +136,17 @@ class RangeHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start], (end - start).astype(np.uint64))
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 900_000) -> np.ndarray:
+    """Hashes of ascending, disjoint byte ranges, in blocks that bound the memory for sums and powers."""
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + block, "right")))
+        low = start[at]
+        out[at:to] = RangeHash(_RANDOM[data[low : end[to - 1]]])(start[at:to] - low, end[at:to] - low)
+        at = to
+    return out
+
+
 class _Bytes:
     def __init__(self, chunk):
         self.bounds = chunk.offsets
