@@ -77,3 +77,18 @@ def pivot_grid(rows: DataFrame, value: str, columns: list[int]) -> DataFrame:
 def nearest(rows: DataFrame, column: str, wanted: float) -> DataFrame:
     """The distinct value nearest to ``wanted``; the smaller of two."""
     return rows.agg(F.min_by(column, F.struct(F.abs(F.col(column) - wanted), F.col(column))).alias("nearest"))
+
+
+def scoring_features(template: DataFrame, rows: DataFrame, origin, covariates: list[str]) -> DataFrame:
+    """Rows to predict for a masked panel: covariates of the input month, value of the last unmasked one.
+
+    ``rows`` is the masked panel itself (lat2, lon2, m, v, covariates). Only unmasked rows are
+    sources, at the exact month that the template's horizon says; rows without one drop out.
+    """
+    slots = template.withColumn("input_month", C.add_months(F.lit(origin).cast("date"), F.col("rel")))
+    slots = slots.withColumns({"target_month": C.target_month("input_month"), "source_month": C.add_months("input_month", 1 - F.col("horizon"))})
+    shown = slots.where("not masked").select(*CELL, F.col("input_month").alias("source_month"))
+    values = rows.where("v is not null").select(*CELL, F.col("m").alias("source_month"), F.col("v").alias("last_observed"))
+    now = rows.select(*CELL, F.col("m").alias("input_month"), *covariates)
+    source = values.join(shown, [*CELL, "source_month"], "left_semi")
+    return slots.where("horizon is not null").join(now, [*CELL, "input_month"]).join(source, [*CELL, "source_month"]).drop("rel", "last_rel")

@@ -42,3 +42,30 @@ def zip_on_key(tables: dict[str, DataFrame], keys: list[str], value: str = "pred
     for name in tables:
         whole = whole & F.col(name).isNotNull()
     return out.withColumn("__ok", F.when(whole, True).otherwise(F.raise_error(F.lit("tables are not aligned")).cast("boolean"))).where("__ok").drop("__ok")
+
+
+def merge_one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join on keys that must be unique on both sides; a repeated key raises when it is read."""
+
+    def unique(df: DataFrame) -> DataFrame:
+        once = F.when(F.count("*").over(W.partitionBy(*on)) == 1, True).otherwise(F.raise_error(F.lit("key is not unique")).cast("boolean"))
+        return df.withColumn("__once", once).where("__once").drop("__once")
+
+    return unique(left).join(unique(right), on, "left")
+
+
+def within(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key the other table has, each once: a semi-join, planned by the keys' size."""
+    return rows.join(keys.select(*on), on, "left_semi")
+
+
+def numbered(rows: DataFrame, bucket: str, order: list[str], name: str = "number") -> DataFrame:
+    """Rows numbered from 1 in the order of ``bucket``, then ``order``, without one task for all rows.
+
+    ``bucket`` must not contradict the wanted order (a day of a time, say). Counts of buckets, a small
+    table, give each bucket's first number; rows are sorted only within their bucket.
+    """
+    counts = rows.groupBy(bucket).agg(F.count("*").alias("__n"))
+    before = counts.select(F.col(bucket).alias("__b"), (F.sum("__n").over(W.orderBy(F.col(bucket).asc_nulls_first())) - F.col("__n")).alias("__before"))
+    inside = rows.withColumn("__i", F.row_number().over(W.partitionBy(bucket).orderBy(*order)))
+    return inside.join(before, F.col(bucket).eqNullSafe(F.col("__b"))).withColumn(name, F.col("__before") + F.col("__i")).drop("__b", "__before", "__i")

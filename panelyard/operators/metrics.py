@@ -80,3 +80,29 @@ def promotion_gates(challenger: DataFrame, champion: DataFrame, tolerance: float
         F.bool_and(F.when(F.col("family") == "horizon", F.col("a") <= F.col("b") * (1 + tolerance))).alias("horizons_hold"),
         F.bool_and(F.col("na").eqNullSafe(F.col("nb"))).alias("same_coverage"),
     )
+
+
+def drift_audit(populations: dict[str, DataFrame], columns: list[str], reference: str = "train") -> DataFrame:
+    """Summary of each column in each population, with how many values lie outside the reference's range.
+
+    Columns that a population lacks have ``available`` false and no figures. One pass over each
+    population, and one more over the reference for its ranges.
+    """
+    long = None
+    for name, df in populations.items():
+        pairs = F.array(*(F.struct(F.lit(c).alias("feature"), (F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")).alias("x"), F.lit(c in df.columns).alias("available")) for c in columns))
+        part = df.select(F.explode(pairs).alias("p")).select(F.lit(name).alias("population"), "p.feature", "p.available", F.when(C.finite("p.x"), F.col("p.x")).alias("x"))
+        long = part if long is None else long.unionByName(part)
+    ends = long.where(F.col("population") == reference).groupBy("feature").agg(F.min("x").alias("least"), F.max("x").alias("most"))
+    outside = F.count_if((F.col("x") < F.col("least")) | (F.col("x") > F.col("most")))
+    sums = long.join(F.broadcast(ends), "feature", "left").groupBy("population", "feature", "available", "least", "most").agg(
+        F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.median("x").alias("q50"), outside.alias("outside"), F.count("x").alias("__k")
+    )
+    share = F.when(F.col("__k") > 0, F.col("outside") / F.col("__k"))
+    return sums.withColumn("outside_share", share).drop("__k")
+
+
+def finite_percentiles(rows: DataFrame, columns: dict[str, Column], shares: tuple[float, ...] = (0.01, 0.99)) -> DataFrame:
+    """Exact percentiles of each expression over its values that are neither null nor NaN."""
+    value = {k: c.cast("double") for k, c in columns.items()}
+    return rows.agg(*(F.percentile(F.when(~F.isnan(c), c), s).alias(f"{k}_p{int(round(s * 100)):02d}") for k, c in value.items() for s in shares))

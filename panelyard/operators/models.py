@@ -99,3 +99,38 @@ def categorical_means(train: DataFrame, column: str, label: str, prior: float =
     overall = train.agg(F.avg(label).alias("__all"))
     sums = train.groupBy(column).agg(F.sum(label).alias("__s"), F.count(label).alias("__n"))
     return sums.crossJoin(F.broadcast(overall)).select(column, ((F.col("__s") + prior * F.col("__all")) / (F.col("__n") + prior)).alias(f"{column}_mean"))
+
+
+def fit_categorical(train: DataFrame, rows: DataFrame, category: str, features: list[str], label: str = "target", **options) -> DataFrame:
+    """Trees over features and a category's smoothed label mean; new categories take the overall mean."""
+    means = categorical_means(train, category, label)
+    overall = train.agg(F.avg(label).alias("__mean"))
+    name = f"{category}_mean"
+
+    def coded(df: DataFrame) -> DataFrame:
+        out = df.join(means, category, "left").crossJoin(F.broadcast(overall))
+        return out.withColumn(name, F.coalesce(name, "__mean")).drop("__mean")
+
+    model = fit_trees(coded(train), [*features, name], label, **options)
+    return score(model, coded(rows), [*features, name]).drop(name)
+
+
+def fit_imputed(train: DataFrame, rows: DataFrame, features: list[str], label: str = "target", **options) -> DataFrame:
+    """Trees over features whose missing values take the training median."""
+    imputer = Imputer(strategy="median", inputCols=features, outputCols=features, relativeError=0.0).fit(train)
+    return score(fit_trees(imputer.transform(train), features, label, **options), imputer.transform(rows), features)
+
+
+def mean_weights(directions: list[np.ndarray]) -> np.ndarray:
+    """Frozen blend of weights fitted in several directions: their mean, with sum 1 again."""
+    mean = np.mean(directions, 0)
+    return mean / mean.sum()
+
+
+def save_model(model: GBTRegressionModel, path: str) -> None:
+    """An existing path is an error."""
+    model.write().save(path)
+
+
+def load_model(path: str) -> GBTRegressionModel:
+    return GBTRegressionModel.load(path)

@@ -54,3 +54,8 @@ def chronological_split(df: DataFrame, month: str = "m", share: float = 0.8) ->
     n = months.count()
     cut = months.orderBy(month).limit(max(1, int(n * share))).agg(F.max(month).alias("cut"))
     return df.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col(month) <= F.col("cut"), "train").otherwise("test"))
+
+
+def hash_subset(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows, the same for the same seed at any partitioning: the least hashes of seed and key."""
+    return rows.withColumn("selection_hash", F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)).orderBy("selection_hash", key).limit(n)

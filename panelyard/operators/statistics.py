@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +92,14 @@ def seasonal_anchor(rows: DataFrame, climatology: dict[str, DataFrame], lat: Col
     out = out.join(climatology["cell"].drop("n"), [*by, *CELL], "left").join(climatology["band"], [*by, "band"], "left").join(climatology["all"], by, "left")
     found = C.first_available({"cell": F.col("cell_change"), "band": F.col("band_change"), "all": F.col("all_change"), "none": F.lit(0.0)})
     return out.withColumns({"change": found["prediction"], "anchor_level": found["fallback_level"], "anchor": F.col("last_observed") + found["prediction"]})
+
+
+def resolve_fallback(chain: list[str], values: dict[str, float | None]) -> tuple[float, int, str]:
+    """Value, level and stage of the first stage that has a value; a stage without one is passed, NaN raises."""
+    for level, stage in enumerate(chain):
+        value = values.get(stage)
+        if value is not None:
+            if not math.isfinite(value):
+                raise ValueError(f"stage {stage} is not finite")
+            return value, level, stage
+    raise ValueError("no stage has a value")

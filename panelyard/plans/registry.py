@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as C
 from ..operators import contracts as K
 from ..operators import features as X
+from ..operators import governance as G
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import models as L
@@ -18,7 +19,7 @@ from ..operators import profile as I
 from ..operators import sampling as S
 from ..operators import statistics as T
 from . import sql
-from .tables import COVARIATES, GROUPS, World, read
+from .tables import COVARIATES, GROUPS, ORIGIN, World, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -335,9 +336,47 @@ register("nearest_cell", "SELECT lat2 nearest FROM panel ORDER BY abs(lat2 - 11.
 register("chrono_split", "SELECT CASE WHEN m <= (SELECT max(m) FROM (SELECT DISTINCT m FROM panel ORDER BY m LIMIT (SELECT greatest(1, floor(count(DISTINCT m) * 0.8))::BIGINT FROM panel))) THEN 'train' ELSE 'test' END part, count(*)::BIGINT n, min(m) first_month, max(m) last_month FROM panel GROUP BY ALL")(
     lambda w: S.chronological_split(w.panel).groupBy("part").agg(F.count("*").alias("n"), F.min("m").alias("first_month"), F.max("m").alias("last_month"))
 )
-register("median_impute", "SELECT event_id, coalesce(CASE WHEN event_id % 5 <> 0 THEN \"value\" END, (SELECT quantile_disc(\"value\", 0.5) FROM events WHERE event_id % 5 <> 0)) filled FROM events", plain=True)(
-    lambda spark, d: L.impute_median(read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("filled")), ["filled"])
+register("median_impute", "SELECT event_id, coalesce(CASE WHEN event_type <> 'error' THEN \"value\" END, (SELECT quantile_disc(\"value\", 0.5) FROM events WHERE event_type <> 'error')) filled FROM events", plain=True)(
+    lambda spark, d: L.impute_median(read(spark, d, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("filled")), ["filled"])
 )
+# scoring rows, drift, orders and relations
+register(
+    "scoring_features",
+    """SELECT t.lat2, t.lon2, t.masked, t.horizon, s.input_month, s.target_month, s.source_month, p.n, round(p.urgent, 4) urgent, round(p.acct, 4) acct, round(q.v, 4) last_observed
+FROM template t CROSS JOIN LATERAL (SELECT (DATE '2000-01-01' + to_months(t.rel))::DATE input_month, (DATE '2000-01-01' + to_months(t.rel + 1))::DATE target_month, (DATE '2000-01-01' + to_months(t.rel + 1 - t.horizon))::DATE source_month) s
+JOIN panel p ON p.lat2 = t.lat2 AND p.lon2 = t.lon2 AND p.m = s.input_month
+JOIN template u ON u.lat2 = t.lat2 AND u.lon2 = t.lon2 AND NOT u.masked AND u.rel = t.rel + 1 - t.horizon
+JOIN panel q ON q.lat2 = t.lat2 AND q.lon2 = t.lon2 AND q.m = s.source_month WHERE q.v IS NOT NULL""",
+)(lambda w: rounded(X.scoring_features(w.template, w.panel, ORIGIN, COVARIATES)))
+_POPULATIONS = {"train": "o_orderdate < TIMESTAMP '1999-01-01'", "recent": "o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderdate < TIMESTAMP '2000-01-01'", "test": "o_orderdate >= TIMESTAMP '2000-01-01'"}
+register(
+    "drift_audit",
+    "WITH x AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' population, 'o_totalprice' feature, o_totalprice x FROM orders WHERE {c} UNION ALL SELECT '{k}', 'o_custkey', o_custkey::DOUBLE FROM orders WHERE {c}" for k, c in _POPULATIONS.items())
+    + """), e AS (SELECT feature, min(x) least, max(x) most FROM x WHERE population = 'train' GROUP BY feature)
+SELECT population, feature, true available, round(least, 4) least, round(most, 4) most, count(*)::BIGINT n, (count(*) FILTER (x IS NULL))::BIGINT missing, round(min(x), 4) lo, round(max(x), 4) hi, round(avg(x), 3) mean, round(stddev_pop(x), 3) std, round(median(x), 4) q50,
+  (count(*) FILTER (x < least OR x > most))::BIGINT outside, round((count(*) FILTER (x < least OR x > most)) / count(x), 6) outside_share FROM x JOIN e USING (feature) GROUP BY ALL""",
+    plain=True,
+)(
+    lambda spark, d: (lambda o: M.drift_audit({k: o.where(c.replace("TIMESTAMP", "timestamp_ntz")) for k, c in _POPULATIONS.items()}, ["o_totalprice", "o_custkey"]))(read(spark, d, "orders").select("o_orderdate", "o_totalprice", "o_custkey")).select("population", "feature", "available", near("least").alias("least"), near("most").alias("most"), "n", "missing", near("lo").alias("lo"), near("hi").alias("hi"), near("mean", 3).alias("mean"), near("std", 3).alias("std"), near("q50").alias("q50"), "outside", near("outside_share", 6).alias("outside_share"))
+)
+register("map_percentiles", "SELECT round(quantile_cont(prediction, 0.01), 4) prediction_p01, round(quantile_cont(prediction, 0.99), 4) prediction_p99, round(quantile_cont(abs(prediction - target), 0.01), 4) error_p01, round(quantile_cont(abs(prediction - target), 0.99), 4) error_p99 FROM scored", sql.scored("persistence"))(
+    lambda w: rounded(M.finite_percentiles(w.baseline("persistence"), {"prediction": F.col("prediction"), "error": F.abs(F.col("prediction") - F.col("target"))}))
+)
+register("hash_subset", "SELECT event_id, sha256('42|' || event_id) selection_hash FROM events ORDER BY selection_hash, event_id LIMIT 100", plain=True)(lambda spark, d: S.hash_subset(read(spark, d, "events").select("event_id"), "event_id", 100))
+register("ordered_numbers", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id)::BIGINT AS number FROM events", plain=True)(
+    lambda spark, d: J.numbered(read(spark, d, "events").select("event_id", "ts", F.to_date("ts").alias("day")), "day", ["ts", "event_id"]).select("event_id", "number")
+)
+register("merge_one_to_one", "SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN (SELECT r_regionkey n_nationkey, r_name FROM region) USING (n_nationkey)", plain=True)(
+    lambda spark, d: J.merge_one_to_one(read(spark, d, "nation").select("n_nationkey", "n_name"), read(spark, d, "region").select(F.col("r_regionkey").alias("n_nationkey"), "r_name"), ["n_nationkey"])
+)
+register("semi_join_months", "SELECT lat2, lon2, m, round(v, 4) v FROM panel WHERE m IN (SELECT input_month FROM retained)")(lambda w: rounded(J.within(w.panel.select("lat2", "lon2", "m", "v"), w.retained.select(F.col("input_month").alias("m")), ["m"])))
+_NUMBERS = "SELECT event_id::VARCHAR id, event_id ordinal FROM events"
+register(
+    "id_relationship",
+    f"WITH a AS ({_NUMBERS}), b AS (SELECT id, ordinal FROM a WHERE id <> '7' UNION ALL SELECT '8', 7) SELECT (SELECT count(*) FROM a) = (SELECT count(*) FROM b) same_count, bool_and(x.o IS NOT DISTINCT FROM y.o) same_order, bool_and(x.n IS NOT DISTINCT FROM 1 AND y.n IS NOT DISTINCT FROM 1) each_once FROM (SELECT id, count(*) n, min(ordinal) o FROM a GROUP BY id) x FULL JOIN (SELECT id, count(*) n, min(ordinal) o FROM b GROUP BY id) y USING (id)",
+    plain=True,
+)(lambda spark, d: (lambda e: G.id_relationship(e, e.where("id <> '7'").unionByName(spark.range(1).select(F.lit("8").alias("id"), F.lit(7).cast("long").alias("ordinal")))))(read(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("ordinal"))))
 # rows only: hashes of doubles' bits and fitted trees have no twin in SQL
 _FEATURES = ["horizon", *COVARIATES, "last_observed"]
 

@@ -25,7 +25,7 @@ def duck():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["fold_audit", "fold_retained", "baseline_location_trend_seasonal", "metrics_report", "stratified_sample", "asof_backward_strict", "history_features", "soil_anomaly", "seasonal_anchor", "numeric_summary_quantiles", "promotion_gates", "chrono_split", "nearest_cell"])
+@pytest.mark.parametrize("name", ["fold_audit", "fold_retained", "baseline_location_trend_seasonal", "metrics_report", "stratified_sample", "asof_backward_strict", "history_features", "soil_anomaly", "seasonal_anchor", "numeric_summary_quantiles", "promotion_gates", "chrono_split", "nearest_cell", "scoring_features", "drift_audit", "map_percentiles", "hash_subset", "ordered_numbers", "merge_one_to_one", "semi_join_months", "id_relationship", "median_impute"])
 def test_query_equals_sql(spark, duck, name):
     ours = registry.QUERIES[name](spark, str(DATA))
     theirs = duck.execute(registry.ORACLE_SQL[name])
