@@ -94,37 +94,47 @@ def holm(p_values: dict, level: float) -> set:
     return out
 
 
+def rule_sets(rules: dict = RULES) -> list[dict[str, float]]:
+    """What a stratum may be given: any rule at any cutoff, or all rules at their strictest, second, ... cutoffs."""
+    single = [{rule: cutoff} for rule, cutoffs in rules.items() for cutoff in cutoffs]
+    levels = max((len(c) for c in rules.values()), default=0)
+    return single + [{rule: cutoffs[min(i, len(cutoffs) - 1)] for rule, cutoffs in rules.items()} for i in range(levels)]
+
+
+def rejects(rule_set: dict[str, float]) -> Column:
+    """Whether one of the rules rejects a row, from its counts."""
+    out, measured = F.lit(False), shares()
+    for rule, cutoff in rule_set.items():
+        out = out | (measured[rule] > cutoff)
+    return out
+
+
 def certified_cutoffs(labelled: DataFrame, limit: float = 0.01, level: float = 0.05, rules: dict = RULES, max_strata: int = 64) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule that reject good documents rarely, for sure.
-
-    ``labelled`` has ``lang`` (the stratum), the measures, ``base_failed`` and ``quality``. Of each
-    stratum, rule and cutoff the hypothesis is that more than limit / (number of rules) of the good
-    documents are rejected; an exact binomial test on the stratum's labelled documents rejects it,
-    and Holm's correction covers all of them. So with confidence 1 - level, no stratum loses more
-    than ``limit`` of its good documents to all its rules together. Among the certified cutoffs the
-    one that rejects most labelled bad documents is taken (ties: the mildest), none if none does.
-    Strata beyond the ``max_strata`` largest keep everything. Only counts reach the driver.
+    """The rules and cutoffs of each stratum that reject good documents rarely, for sure.
+
+    ``labelled`` has ``lang`` (the stratum), the counts, ``base_failed`` and ``quality``. Of each
+    stratum and rule set (see ``rule_sets``) the hypothesis is that it rejects more than ``limit`` of
+    the good documents; an exact binomial test on the stratum's labelled documents rejects it, and
+    Holm's correction covers all strata and sets. A stratum gets one set, so with confidence
+    1 - level none loses more than ``limit`` of its good documents. Among the certified sets the one
+    that rejects most labelled bad documents is taken (ties: fewer good ones, fewer rules, higher
+    cutoffs), none if none rejects any. Strata beyond the ``max_strata`` largest keep everything.
+    Only counts reach the driver.
     """
-    measured = shares()
     good, bad = (F.col("quality") == 1) & ~F.col("base_failed"), (F.col("quality") == 0) & ~F.col("base_failed")
+    sets = rule_sets(rules)
     counts = [F.count_if(good).alias("n")]
-    cells = [(rule, cutoff) for rule, cutoffs in rules.items() for cutoff in cutoffs]
-    for i, (rule, cutoff) in enumerate(cells):
-        over = F.col(rule) > cutoff
-        counts += [F.count_if(good & over).alias(f"g{i}"), F.count_if(bad & over).alias(f"b{i}")]
-    strata = labelled.withColumns(measured).groupBy("lang").agg(*counts).orderBy(F.desc("n"), "lang").limit(max_strata).collect()
-    tests, gain = {}, {}
-    for row in strata:
-        for i, (rule, cutoff) in enumerate(cells):
-            if row["n"]:
-                tests[row["lang"], rule, cutoff] = binomial_tail(row[f"g{i}"], row["n"], limit / len(rules))
-                gain[row["lang"], rule, cutoff] = row[f"b{i}"]
-    chosen: dict[str, dict[str, float]] = {}
-    for lang, rule, cutoff in holm(tests, level):
-        best = chosen.setdefault(lang, {}).get(rule)
-        if gain[lang, rule, cutoff] and (best is None or (gain[lang, rule, cutoff], cutoff) > (gain[lang, rule, best], best)):
-            chosen[lang][rule] = cutoff
-    return {lang: found for lang, found in sorted(chosen.items()) if found}
+    for i, rule_set in enumerate(sets):
+        counts += [F.count_if(good & F.col(f"r{i}")).alias(f"g{i}"), F.count_if(bad & F.col(f"r{i}")).alias(f"b{i}")]
+    judged = labelled.select("lang", "quality", "base_failed", *(rejects(x).alias(f"r{i}") for i, x in enumerate(sets)))
+    strata = judged.groupBy("lang").agg(*counts).orderBy(F.desc("n"), "lang").limit(max_strata).collect()
+    tests = {(r["lang"], i): binomial_tail(r[f"g{i}"], r["n"], limit) for r in strata if r["n"] for i in range(len(sets))}
+    sure, chosen = holm(tests, level), {}
+    for r in strata:
+        ranked = [(r[f"b{i}"], -r[f"g{i}"], -len(x), sum(x.values()), i) for i, x in enumerate(sets) if (r["lang"], i) in sure and r[f"b{i}"]]
+        if ranked:
+            chosen[r["lang"]] = sets[max(ranked)[-1]]
+    return dict(sorted(chosen.items()))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -142,6 +152,5 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
     cutoffs = certified_cutoffs(labelled, **options)
     rejected = F.lit(False)
     for lang, found in cutoffs.items():
-        for rule, cutoff in found.items():
-            rejected = rejected | ((F.col("lang") == lang) & (shares()[rule] > cutoff))
+        rejected = rejected | ((F.col("lang") == lang) & rejects(found))
     return measured.withColumn("kept", ~F.col("base_failed") & ~rejected)

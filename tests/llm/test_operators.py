@@ -252,6 +252,16 @@ def test_quality_cutoffs(spark):
     assert quality.holm({"a": 0.01, "b": 0.03, "c": 0.04}, 0.05) == {"a"}
 
 
+def test_certified_cutoffs(spark):
+    """A rule is certified where enough good documents pass it, not where they are few or it rejects 5 % of them."""
+    rows = [("en", 1, 0)] * 1500 + [("en", 0, 30)] * 40 + [("few", 1, 0)] * 60 + [("few", 0, 30)] * 40 + [("bad", 1, 0)] * 1425 + [("bad", 1, 30)] * 75 + [("bad", 0, 30)] * 40
+    labelled = spark.createDataFrame(rows, "lang string, quality int, n_symbols long").selectExpr("*", "20L n_words", "100L word_chars", "0L n_dup_lines", "0L n_repeat_words", "false base_failed")
+    # of the certified sets that reject all 40, one rule at its highest such cutoff
+    assert quality.certified_cutoffs(labelled) == {"en": {"symbol_share": 0.2}}
+    assert quality.certified_cutoffs(labelled.limit(0)) == {}
+    assert len(quality.rule_sets()) == sum(map(len, quality.RULES.values())) + 5
+
+
 def semiglobal(pattern, text):
     last = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
