@@ -6,6 +6,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import cut
+
 #: Host, path and verdict of the rules.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 BAD = "label=bad"
@@ -51,37 +53,42 @@ def url_tokens() -> Column:
     return F.array_distinct(F.filter(parts, lambda x: ~x.endswith("=")))
 
 
-def mine_rules(tokens: DataFrame, labels: DataFrame, least_support: float = 0.002, least_rows: int = 20, confidence: float = 0.8, max_rules: int = 1_000) -> DataFrame:
+def mine_rules(tokens: DataFrame, labels: DataFrame, least_support: float = 0.002, least_rows: int = 20, confidence: float = 0.8) -> DataFrame:
     """Token combinations that say bad: rule_id, antecedent, confidence, support.
 
     Baskets are the tokens of pages whose page_id is a labelled doc_id, with one more token where
     the label is bad (quality 0 or toxic 1). FP-growth mines them; rules to the bad token stay from
     ``confidence`` and support on (``least_support`` of the baskets and ``least_rows`` of them); a
-    rule goes if a part of it is as sure. The ``max_rules`` surest are returned, which bounds what
-    the matching sends to all tasks. No labelled pages: no rules.
+    rule goes if a part of it is a rule, which blocks all that it would. All others are returned,
+    whatever their number. No labelled pages: no rules.
     """
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     marked = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(bad.cast("int")).alias("bad"))
     baskets = tokens.join(marked, "page_id").select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     counts = baskets.agg(F.count("*").alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
-    empty = tokens.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
     if not counts["bad"]:
-        return empty
+        return tokens.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
     support = min(1.0, max(least_support, least_rows / counts["n"]))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    best = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join("antecedent", " ")).limit(max_rules)
-    kept: list = []
-    for r in best.collect():  # bounded by max_rules
-        if not any(set(k["antecedent"]) <= set(r["antecedent"]) for k in kept):
-            kept.append(r)
-    return tokens.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(kept)], empty.schema) if kept else empty
+    return least_rules(cut(rules.select(F.monotonically_increasing_id().alias("rule_id"), "antecedent", "confidence", "support")))
+
+
+def least_rules(rules: DataFrame) -> DataFrame:
+    """The rules that hold no other rule's tokens among theirs, by rounds from short to long ones."""
+    kept, left = rules.limit(0), rules
+    while (size := left.agg(F.min(F.size("antecedent"))).first()[0]) is not None:
+        least = left.where(F.size("antecedent") == size)
+        kept, longer = kept.unionByName(least), left.where(F.size("antecedent") > size)
+        covered = match_rules(longer.select(F.col("rule_id").alias("page_id"), F.col("antecedent").alias("tokens")), least)
+        left = cut(longer.join(covered.withColumnRenamed("page_id", "rule_id"), "rule_id", "left_anti"))
+    return kept
 
 
 def match_rules(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     """page_ids with all tokens of a rule, by an inverted index of the rules' tokens."""
     index = rules.select("rule_id", F.size("antecedent").alias("size"), F.explode("antecedent").alias("token"))
-    hits = tokens.select("page_id", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    hits = tokens.select("page_id", F.explode("tokens").alias("token")).join(index, "token")
     whole = hits.groupBy("page_id", "rule_id").agg(F.count_distinct("token").alias("n"), F.first("size").alias("size")).where("n = size")
     return whole.select("page_id").distinct()
 

@@ -347,6 +347,24 @@ def test_mined_url_rules(spark):
     assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(400))
 
 
+def test_url_rules_of_small_families(spark):
+    long = "http://spam.x.net/" + "/".join("abcdefgh") + "/"
+    rows = [(i, long if i % 4 == 0 else f"http://junk.net/{i}" if i % 40 == 1 else f"http://h{i}.org/{i}", "") for i in range(1200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, int("h" + str(i) in rows[i][1]), 0) for i in range(1000)], "doc_id long, quality int, toxic int")
+    tokens = url_rules.split_urls(pages).select("page_id", url_rules.url_tokens().alias("tokens"))
+    mined = [r.antecedent for r in url_rules.mine_rules(tokens, labels).collect()]
+    assert ["host=junk"] in mined and all(len(a) == 1 for a in mined)
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labels, rules=()).collect()}
+    assert all(got[i] == ("block" if i % 4 == 0 or i % 40 == 1 else "allow") for i in range(1200))
+
+
+def test_least_url_rules(spark):
+    rules = [["a"], ["a", "b"], ["b", "c"], ["a", "b", "c"], ["b", "c", "d"], ["b", "d", "e"], ["c"]]
+    frame_of = spark.createDataFrame([(i, r, 1.0, 0.1) for i, r in enumerate(rules)], "rule_id long, antecedent array<string>, confidence double, support double")
+    assert sorted(r.rule_id for r in url_rules.least_rules(frame_of).collect()) == [0, 5, 6]
+
+
 def operators():
     return {
         "packing": lambda d, s: packing.pack_documents(d),
