@@ -19,13 +19,14 @@ ASSIGN = re.compile(rf"({_EITHER})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 _STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login", "pin")
-#: Where a credential may follow: a named field with a separator, or the password of a URL.
+#: Where a credential may follow: a named field with a separator before six characters of a value, or the password of a URL.
 CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|auth(?:orization)?|bearer|login|pin)"
-    r"[\"']?\s{0,3}(?::=|=>|[:=]|\bis\b|\bist\b|\best\b|\bes\b)\s{0,3}(?:bearer\s|basic\s)?[\"']?([^\s\"',;<>]{6,})"
+    r"[\"']?\s{0,3}(?::=|=>|[:=]|\bis\b|\bist\b|\best\b|\bes\b)\s{0,3}(?:bearer\s|basic\s)?[\"']?(?=[^\s\"',;<>]{6})"
     r"|://[^\s/:@]{1,256}:([^\s/@]{4,})@",
     re.IGNORECASE,
 )
+_VALUE_END = re.compile(r"[\s\"',;<>]|\Z")
 #: Words that passwords are commonly made of, commonest first.
 COMMON = (
     "password pass admin login welcome letmein qwerty secret monkey dragon master shadow sunshine princess football baseball "
@@ -52,17 +53,23 @@ def guess_bits(value: str) -> float:
     force. Each piece beyond the first adds a bit for the cut. Time is linear in the length, as no
     piece but a brute-force span is longer than ``_PIECE`` (repeats go on by steps of it).
     """
+    return suffix_bits(value)[0]
+
+
+def suffix_bits(value: str) -> list[float]:
+    """``guess_bits`` of ``value`` from each place on, in one pass from its end; 0 for the empty end."""
     n = len(value)
-    best = [0.0] + [float("inf")] * n
+    whole = [0.0] * (n + 1)  # by where a guess begins
+    later = [0.0] * (n + 1)  # the same after a piece: the next one pays for the cut
     small = value.lower()
     plain = small.translate(_LEET)
-    for i in range(n):
-        base = best[i] + (1.0 if i else 0.0)
+    for i in range(n - 1, -1, -1):
         # brute force: one character more, without a cut
-        best[i + 1] = min(best[i + 1], best[i] + _class_bits(value[i]))
+        brute = _class_bits(value[i]) + later[i + 1]
+        best = float("inf")
         date = _DATE.match(value, i)
         if date:
-            best[date.end()] = min(best[date.end()], base + log2(365 * 120 if date.end() - i > 4 else 120) + 2)
+            best = later[date.end()] + log2(365 * 120 if date.end() - i > 4 else 120) + 2
         run = walk = 1
         soft = vowels = 0
         for j in range(i + 1, min(n, i + _PIECE) + 1):
@@ -81,9 +88,33 @@ def guess_bits(value: str) -> float:
                 cost = min(cost, log2(rank) + 1 + (value[i:j] != small[i:j]) + 2 * (plain[i:j] != small[i:j]))
             if soft >= 4 and 4 * vowels >= j - i:
                 cost = min(cost, 12 + 0.5 * (j - i))
-            if base + cost < best[j]:
-                best[j] = base + cost
-    return best[n]
+            best = min(best, cost + later[j])
+        whole[i] = min(brute, best)
+        later[i] = min(brute, best + 1)
+    return whole
+
+
+def context_values(text: str):
+    """Start, end and bits of every value in a credential's context, by start.
+
+    A value may hold a context, or end with one, so the search goes on from its start. Values that
+    begin in one run of characters end together: the run's end and bits are found once.
+    """
+    at = first = end = last = 0
+    bits: list[float] = []
+    while m := CONTEXT.search(text, at):
+        if m[1] is not None:
+            at = m.start(1)
+            value = m[1].rstrip(".)]}")
+            yield at, at + len(value), guess_bits(value)
+            continue
+        at = m.end()
+        if at >= end:
+            first, end = at, _VALUE_END.search(text, at).start()
+            last = first + len(text[first:end].rstrip(".)]}"))
+            bits = suffix_bits(text[first:last])
+        if at < last:
+            yield at, last, bits[at - first]
 
 
 def find_spans(text: str | None, least_bits: float = 36.0) -> list[tuple[int, int, str]]:
@@ -91,7 +122,8 @@ def find_spans(text: str | None, least_bits: float = 36.0) -> list[tuple[int, in
 
     Base spans are the leftmost non-overlapping matches of each base pattern without those that
     are too short. A value in a credential's context becomes a ``guess`` span if it takes
-    ``least_bits`` or more and no base span overlaps it. Null texts have none.
+    ``least_bits`` or more and is not part of a base span or of a ``guess`` span before it; it may
+    go beyond a base span. Null texts have none.
     """
     if not text:
         return []
@@ -103,12 +135,14 @@ def find_spans(text: str | None, least_bits: float = 36.0) -> list[tuple[int, in
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), m.end(), "hex") for m in _LONG_HEX.finditer(text)]
     if any(w in small for w in _STEMS) or ("://" in text and "@" in text):
-        base = list(found)
-        for m in CONTEXT.finditer(text):
-            group = 1 if m[1] is not None else 2
-            start, end = m.span(group)
-            if all(end <= a or start >= b for a, b, _ in base) and guess_bits(m[group].rstrip(".)]}")) >= least_bits:
-                found.append((start, start + len(m[group].rstrip(".)]}")), "guess"))
+        base, known, reach = sorted(found), 0, 0
+        for start, end, bits in context_values(text):
+            while known < len(base) and base[known][0] <= start:
+                reach = max(reach, base[known][1])
+                known += 1
+            if end > reach and bits >= least_bits:
+                found.append((start, end, "guess"))
+                reach = end
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -222,6 +223,27 @@ def test_guess_cost():
     assert max(map(secret_scan.guess_bits, cheap)) < 30 < 36 < min(map(secret_scan.guess_bits, dear))
 
 
+def test_guess_spans_beyond_base_and_in_values():
+    def guessed(text):
+        return [text[a:b] for a, b, k in secret_scan.find_spans(text) if k == "guess"]
+
+    assert secret_scan.redact("a password=abcdef12!K9#mQ2$v b") == "a [SECRET] b"
+    assert guessed("login: password: xK9#mQ2$vLp!") == ["xK9#mQ2$vLp!"]
+    assert guessed("login: xK9#mQ2$vL-token: Zq8#N2$T7wXp") == ["xK9#mQ2$vL-token:", "Zq8#N2$T7wXp"]
+    assert guessed("token=ftp://me:xK9#mQ2$vLp!@host") == ["ftp://me:xK9#mQ2$vLp!@host"]
+    assert guessed("secret=" + "0a" * 20) == []
+    begun = time.time()
+    secret_scan.find_spans("login:pass:" * 4_000)
+    assert time.time() - begun < 20
+
+
+def test_suffix_costs():
+    rng = random.Random(3)
+    for _ in range(200):
+        value = "".join(rng.choice(["password", "qwert", "aaaa", "2019-04-05", "monday", "K", "9", "#", "x"]) for _ in range(6))
+        assert secret_scan.suffix_bits(value) == [*(secret_scan.guess_bits(value[i:]) for i in range(len(value))), 0]
+
+
 def measured(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
