@@ -66,6 +66,29 @@ def test_trees_repeat(spark):
     assert one == two
 
 
+def test_fits_by_fold(spark):
+    df = spark.range(200).select(F.when(F.col("id") % 2 == 0, "F01").otherwise("F02").alias("fold_id"), (F.col("id") % 4 + 1).cast("int").alias("horizon"), F.col("id").alias("a"), (F.col("id") * 2.0).alias("target"), F.lit(1.0).alias("w"), F.lit(1.0).alias("last_observed"))
+    other = df.withColumn("target", F.when(F.col("fold_id") == "F01", F.col("target")).otherwise(-F.col("target")))
+    groups = {"G1": [1, 2], "G2": [3, 4]}
+    one, two = ({(r.a, r.prediction) for r in L.fit_folds(t, df, ["a"], groups, weight="w", rounds=2, depth=2).where("fold_id = 'F01'").collect()} for t in (df, other))
+    assert len(one) == 100 and one == two
+
+
+@pytest.mark.parametrize(("name", "fits"), [("gbdt_residual", 2), ("gbdt_specialists", 6)])
+def test_registered_fits(spark, monkeypatch, name, fits):
+    from panelyard.plans import registry
+
+    seen = []
+
+    def recorded(rows, features, label, **options):
+        seen.append((options["rounds"], options["weight"], tuple(r[0] for r in rows.select("fold_id").distinct().collect())))
+
+    monkeypatch.setattr(L, "fit_trees", recorded)
+    monkeypatch.setattr(L, "score", lambda model, rows, features, name="prediction": rows.withColumn(name, F.lit(0.0)))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(seen) == sorted((200, "sample_weight", (f,)) for f in ("F01", "F02") for _ in range(fits // 2))
+
+
 def test_files(spark, tmp_path):
     out = spark.createDataFrame([("b", 0.1, 2), ("a", 1e20, 1)], "ID string, Target double, ordinal int")
     path = str(tmp_path / "s.csv")
