@@ -6,7 +6,9 @@ read again. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelyard.llm._common import fresh_path, table
 from panelyard.llm.decontaminate import find_leaks
@@ -21,10 +23,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A number for each row of files: its file's place among all files, and its place in the file."""
+    places = {r[0]: i for i, r in enumerate(docs.select("_metadata.file_path").distinct().orderBy("file_path").collect())}
+    pairs = [F.lit(x) for pair in places.items() for x in pair] or [F.lit(""), F.lit(0)]
+    return F.shiftleft(F.create_map(*pairs)[F.col("_metadata.file_path")].cast("long"), 40) + F.col("_metadata.row_index")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each near-duplicate group stays: the one with the smallest doc_id.
+
+    Rows count one by one, by their places in the files they are read from (others are written to
+    the shared folder first). Of rows that share the smallest doc_id the first one stays; a row with
+    a null doc_id stays if its group has no other id. Rows without words all stay.
+    """
+    names = docs.columns
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        path = fresh_path(spark, "rows")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    key = row_key(docs)
+    classes = near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
+    ids = docs.select(key.alias("row_key"), F.col("doc_id").alias("id"))
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key"))
+    kept = classes.join(ids, "row_key").groupBy("component_id").agg(least.alias("least")).select(F.col("least.row_key").alias("row_key"))
+    return docs.withColumn("row_key", key).join(kept, "row_key", "left_semi").select(*names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,6 +176,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
                 raw = [h[offsets[i] : offsets[i + 1]].tobytes() for i in keep]
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(keep, pa.int64())), pa.array(raw, pa.binary())], names=["node", "members"])
 
+    def unnamed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in byte_slices(batch):
+                h, offsets = shingle_sets(part.column("text"), size)
+                raw = [h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(h, offsets), pa.string()), pa.array(raw, pa.binary())], names=["set", "members"])
+
     def to_bands(batches):
         import pyarrow as pa
 
@@ -223,7 +232,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     likely_pairs = cut(with_both(stars, signs, "signature").mapInArrow(likely, "u long, v long"))
     # full sets of all nodes that may be needed: those of shared buckets
     needed = banded.select("node").distinct().join(nodes.select("node", "doc_id", "set"), "node")
-    sets = cut(rows_in.join(needed, "doc_id").mapInArrow(full, "node long, members binary"))
+    named_sets = rows_in.join(needed, "doc_id").mapInArrow(full, "node long, members binary")
+    # no id leads to sets that only rows with a null doc_id have; they meet by fingerprint
+    null_sets = rows_in.where("doc_id is null").mapInArrow(unnamed, "set string, members binary").join(needed.where("doc_id is null").select("node", "set"), "set")
+    sets = cut(named_sets.unionByName(null_sets.groupBy("node").agg(F.first("members").alias("members"))))
     linked = cut(with_both(likely_pairs, sets, "members").mapInArrow(sure, "u long, v long"))
     first = connected_components(linked)
 

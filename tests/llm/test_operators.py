@@ -150,6 +150,13 @@ def test_near_duplicates_against_brute_force(spark, rows, docs):
     assert got == near_brute(more)
 
 
+def test_null_id_links_others(spark):
+    words = [f"w{i}" for i in range(240)]
+    texts = {1: words[:200], None: words[20:220], 2: words[40:240]}
+    out = minhash.near_duplicates(frame(spark, [(i, " ".join(w)) for i, w in texts.items()])).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in out} == {(1, 1, True), (None, 1, False), (2, 1, False)}
+
+
 def test_bayes_rule_and_signatures():
     fewest = minhash.least_matches(64, 0.75, 1e-9)
     assert 0 < fewest[32] < 24 < fewest[64] < 48

@@ -44,6 +44,22 @@ def test_stages(spark, folder):
     assert not gone["secrets"] and "password=" not in seen[2003]
 
 
+@pytest.mark.parametrize("files", [False, True])
+def test_near_dedup_of_null_and_repeated_ids(spark, tmp_path, files):
+    text = ["".join(f"{a}{i} " for i in range(60)) for a in "abcde"]
+    rows = [(None, text[0]), (None, text[0] + "x"), (None, text[1]), (7, text[1]), (8, text[2]), (8, text[2]), (9, text[3]), (9, text[4]), (None, None), (10, ""), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    if files:
+        docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    after = pipeline.near_dedup(spark, docs, "")
+    assert after.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in after.collect()]
+    assert sum(t in (text[0], text[0] + "x") for _, t in got) == 1
+    assert sorted((i, t) for i, t in got if i is not None) == sorted([(7, text[1]), (8, text[2]), (9, text[3]), (9, text[4]), (10, ""), (10, "")])
+    assert (None, None) in got and len(got) == 8
+
+
 def test_run(spark, folder):
     out = pipeline.run(spark, folder).toPandas()
     assert set(out.doc_id) == {*range(200), 2003, 2004, 2005}
