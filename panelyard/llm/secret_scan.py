@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import re
 from math import log2
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import byte_slices
+from .encoding import vocabulary_path
 
 #: Kinds in the order that ties follow.
 KINDS = ("assign", "access", "hex", "guess")
@@ -33,7 +36,6 @@ COMMON = (
     "summer winter spring autumn monday friday january december hello love god money test guest root user default changeme "
     "iloveyou trustno example sample token key value none null true false required optional string"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop", "yxcvbnm")
 _NEXT = {a + b for row in _ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:])}  # noqa: B905
 _LEET = str.maketrans("013457@$!", "oleastasi")
@@ -41,6 +43,18 @@ _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|
 _PIECE = 24
 
 
+@functools.cache
+def ranks() -> dict[str, int]:
+    """Words by rank: ``COMMON``, then the whole words of the tokenizer's vocabulary, which lists frequent ones first.
+
+    Whole words are entries of three small letters or more (a-z) that begin after a space.
+    """
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = (w[1:] for w in sorted(vocabulary, key=vocabulary.get) if re.fullmatch(f"\u0120[a-z]{{3,{_PIECE}}}", w))
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))}
+
+
 def _class_bits(c: str) -> float:
     return log2(10) if c.isdigit() else log2(26) if c.isalpha() and c.isascii() else log2(33) if c.isascii() else log2(100)
 
@@ -48,10 +62,10 @@ def _class_bits(c: str) -> float:
 def guess_bits(value: str) -> float:
     """Bits of the cheapest way to guess ``value``: its least-cost cut into pieces.
 
-    Pieces are common words (rank, with capitals or digits for letters dearer), pronounceable
-    runs of small letters, dates, repeats of one character, keyboard walks, and spans tried by brute
-    force. Each piece beyond the first adds a bit for the cut. Time is linear in the length, as no
-    piece but a brute-force span is longer than ``_PIECE`` (repeats go on by steps of it).
+    Pieces are words (by rank in ``ranks``, with capitals or digits for letters dearer), dates, repeats
+    of one character and keyboard walks of any length, and spans tried by brute force. Each piece beyond
+    the first adds a bit for the cut. Time is linear in the length: words are no longer than ``_PIECE``,
+    and repeats and walks stop within so much of their beginning or of where they could go on no more.
     """
     return suffix_bits(value)[0]
 
@@ -63,32 +77,28 @@ def suffix_bits(value: str) -> list[float]:
     later = [0.0] * (n + 1)  # the same after a piece: the next one pays for the cut
     small = value.lower()
     plain = small.translate(_LEET)
+    rank_of = ranks()
+    run = walk = n  # where a repeat and a walk from here end at the latest
     for i in range(n - 1, -1, -1):
+        if i + 1 < n:
+            run = run if value[i] == value[i + 1] else i + 1
+            walk = walk if small[i : i + 2] in _NEXT else i + 1
         # brute force: one character more, without a cut
-        brute = _class_bits(value[i]) + later[i + 1]
+        one = _class_bits(value[i])
+        brute = one + later[i + 1]
         best = float("inf")
         date = _DATE.match(value, i)
         if date:
             best = later[date.end()] + log2(365 * 120 if date.end() - i > 4 else 120) + 2
-        run = walk = 1
-        soft = vowels = 0
-        for j in range(i + 1, min(n, i + _PIECE) + 1):
-            if j - i > 1:
-                run = run + 1 if value[j - 1] == value[j - 2] else -_PIECE * 2
-                walk = walk + 1 if small[j - 2 : j] in _NEXT else -_PIECE * 2
-            soft = soft + 1 if "a" <= value[j - 1] <= "z" or (j - 1 == i and value[i].isalpha()) else -_PIECE * 2
-            vowels += small[j - 1] in "aeiouyáéíóúäöüàèêâîôûñ"
-            cost = float("inf")
-            if run >= 3:
-                cost = _class_bits(value[i]) + log2(run)
-            if walk >= 4:
-                cost = min(cost, log2(47) + log2(walk) + 3)
-            rank = _RANK.get(plain[i:j])
+        for least, stop, cost in ((3, run, one), (4, walk, log2(47) + 3)):
+            if stop - i >= least:
+                near = min(stop, i + _PIECE)
+                for j in (*range(i + least, near + 1), *range(max(near + 1, stop - _PIECE), stop + 1)):
+                    best = min(best, cost + log2(j - i) + later[j])
+        for j in range(i + 3, min(n, i + _PIECE) + 1):
+            rank = rank_of.get(plain[i:j])
             if rank:
-                cost = min(cost, log2(rank) + 1 + (value[i:j] != small[i:j]) + 2 * (plain[i:j] != small[i:j]))
-            if soft >= 4 and 4 * vowels >= j - i:
-                cost = min(cost, 12 + 0.5 * (j - i))
-            best = min(best, cost + later[j])
+                best = min(best, log2(rank) + 1 + (value[i:j] != small[i:j]) + 2 * (plain[i:j] != small[i:j]) + later[j])
         whole[i] = min(brute, best)
         later[i] = min(brute, best + 1)
     return whole

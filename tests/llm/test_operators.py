@@ -244,6 +244,14 @@ def test_guess_spans_beyond_base_and_in_values():
     assert time.time() - begun < 20
 
 
+def test_word_and_repeat_costs():
+    dear = ["jakurotemibexofa", "correcthorsebatterystaple", "lomivatudakerisonapuvexi"]
+    cheap = ["a" * 96, "7" * 5_000, ("qwertyuio" + "poiuytrew") * 20, "Documentation2019", "a" * 500 + "password"]
+    assert max(map(secret_scan.guess_bits, cheap)) < 36 < min(map(secret_scan.guess_bits, dear))
+    assert secret_scan.guess_bits("a" * 96) < 12
+    assert secret_scan.redact("pwd: jakurotemibexofa") == "pwd: [SECRET]" and secret_scan.find_spans("a token is " + "z" * 96) == []
+
+
 def test_suffix_costs():
     rng = random.Random(3)
     for _ in range(200):
