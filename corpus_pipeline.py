@@ -10,8 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm._common import fresh_path, table
-from panelyard.llm.decontaminate import find_leaks
+from panelyard.llm._common import delete, fresh_path, table
+from panelyard.llm.decontaminate import keep_clean as without_leaks
 from panelyard.llm.minhash import near_duplicates
 from panelyard.llm.packing import pack_documents
 from panelyard.llm.secret_scan import redact_documents
@@ -19,7 +19,11 @@ from panelyard.llm.toxicity import keep_clean
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from labels of documents at hand."""
+    """Documents that the classifier rejects go; it learns from labels of documents at hand.
+
+    Each row is judged by its own text; null and empty texts are scored as empty ones. Rows that share
+    an id, or have none, are judged one by one.
+    """
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -53,18 +57,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds a benchmark item go; each is judged by itself, whatever its id."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; every document stays."""
+    """Secrets in texts are replaced by a mark; every row stays, whatever its id, and null texts stay null."""
     return redact_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and place."""
+    """The pieces of all documents, each with its sequence and place; a null text has the end id alone."""
     return pack_documents(docs)
 
 
@@ -82,12 +85,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """All stages over ``documents``. What a stage left is deleted once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    path = fresh_path(spark, STAGES[-1][0])
-    STAGES[-1][1](spark, docs, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
+    return docs

@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in local tests,
-    a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, local mode gets a temporary
+    folder, as its executors share the machine; a cluster gets an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and context.getCheckpointDir() is None and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or f"file://{tempfile.mkdtemp(prefix='panelyard-')}")
     return configured or context.getCheckpointDir()
@@ -51,6 +53,12 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of files that nothing needs any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
