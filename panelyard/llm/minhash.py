@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, log
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -92,33 +92,66 @@ def least_matches(hashes: int, threshold: float, miss: float) -> dict[int, int]:
     return out
 
 
-def survivors(one: np.ndarray, many: np.ndarray, fewest: dict[int, int]) -> np.ndarray:
-    """Rows of ``many`` that no batch of the comparison with ``one`` rules out."""
-    alive, equal = np.arange(len(many)), np.zeros(len(many), np.int64)
-    for n, least in fewest.items():
-        equal[alive] += (many[alive, n - BATCH : n] == one[n - BATCH : n]).sum(1)
-        alive = alive[equal[alive] >= least]
-    return alive
-
+def links(nodes: list[int], label: list[int], matrix: np.ndarray, sets: list[np.ndarray], percent: int, fewest: dict[int, int], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the labels of some nodes, exactly verified: one for each join at most.
 
-def links(cluster: list[int], label: list[int], matrix: np.ndarray, sets: list[np.ndarray], percent: int, fewest: dict[int, int]) -> list[tuple[int, int]]:
-    """Links that join the labels of a cluster, exactly verified.
-
-    Each node meets all nodes that are not yet joined with it; signatures rule pairs out in
-    batches, sizes and full sets decide the rest.
+    Nodes of side 0 meet those of side 1 (all nodes meet where there is one side only). Signatures rule
+    pairs of two labels out in batches; of the others, intersections of full sets decide.
     """
-    index = {x: i for i, x in enumerate(dict.fromkeys(label))}
-    part = np.fromiter(map(index.__getitem__, label), np.int64, len(label))
+    one = np.flatnonzero(side == side.min())
+    two = np.flatnonzero(side == side.max())
+    part = np.unique(np.array(label), return_inverse=True)[1]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    out = []
-    for i in range(len(cluster)):
-        others = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))) + i + 1
-        if not len(others):
-            continue
-        for j in others[survivors(matrix[i], matrix[others], fewest)].tolist():
-            if part[i] != part[j] and alike(sets[i], sets[j], percent):
-                out.append((cluster[i], cluster[j]))
-                part[part == part[j]] = part[i]
+    small, large = (f.outer(sizes[one], sizes[two]) for f in (np.minimum, np.maximum))
+    open_ = (part[one][:, None] != part[two][None, :]) & (100 * small >= percent * large)
+    equal = np.zeros(open_.shape, np.int16)
+    for n, least in fewest.items():
+        if not open_.any():
+            return []
+        for c in range(n - BATCH, n):
+            equal += matrix[one, c][:, None] == matrix[two, c][None, :]
+        open_ &= equal >= least
+    one, two = one[open_.any(1)], two[open_.any(0)]
+    open_ = open_[open_.any(1)][:, open_.any(0)]
+    if not len(one):
+        return []
+    shared = intersections([sets[i] for i in one], [sets[i] for i in two])
+    open_ &= 100 * shared >= percent * (sizes[one][:, None] + sizes[two][None, :] - shared)
+    i, j = (x[y] for x, y in zip((one, two), np.nonzero(open_), strict=True))
+    _, first = np.unique(part[i] * len(part) + part[j], return_index=True)
+    root, out = list(range(len(part))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        u, v = find(int(part[x])), find(int(part[y]))
+        if u != v:
+            root[u] = v
+            out.append((nodes[x], nodes[y]))
+    return out
+
+
+def intersections(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of ``one`` with each of ``two``, by products of incidence blocks."""
+    both = [*one, *two]
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, member, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    several = count > 1
+    number = np.cumsum(several) - 1
+    keep = several[member]
+    owner, member = owner[keep], number[member[keep]]
+    order = np.argsort(member, kind="stable")
+    owner, member = owner[order], member[order]
+    out = np.zeros((len(one), len(two)), np.int64)
+    for low in range(0, int(several.sum()), width):
+        x, y = np.searchsorted(member, (low, low + width))
+        has = np.zeros((len(both), width), np.float32)
+        has[owner[x:y], member[x:y] - low] = 1
+        out += (has[: len(one)] @ has[len(one) :].T).astype(np.int64)
     return out
 
 
@@ -133,13 +166,13 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, miss: float = 1e-9, block: int = 5000) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, miss: float = 1e-9, block: int = 512) -> DataFrame:
     """Each document's class under links of similarity ``percent`` or more: doc_id, n_shingles, component_id, kept.
 
     Equal sets become one node before anything else, so copies cost one row each. In a band's
     bucket each node is compared with the bucket's least node only; where the verified links leave a
-    bucket in several parts, its nodes meet in clusters, and clusters over ``block`` nodes in
-    pairs of blocks. Candidates miss a pair at the threshold with probability (1 - s^rows)^bands
+    bucket in several parts, its nodes of like set sizes meet in pairs of blocks of ``block`` nodes.
+    Candidates miss a pair at the threshold with probability (1 - s^rows)^bands
     (2.5e-7 as set), the Bayesian rule with ``miss``; links are confirmed on full sets.
 
     Null texts and texts without words are linked with nothing. Rows that share a doc_id need not
@@ -195,7 +228,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "keys"])
 
     sketches = cut(rows_in.mapInArrow(sketch, "doc_id long, n long, set string, signature binary"))
-    nodes = sketches.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    nodes = sketches.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     every = nodes.select("node", "signature").mapInArrow(to_bands, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     # only buckets with two nodes or more go on
@@ -239,29 +272,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     linked = cut(with_both(likely_pairs, sets, "members").mapInArrow(sure, "u long, v long"))
     first = connected_components(linked)
 
-    # buckets that are still in parts, without those of two nodes, which have met
-    labelled = banded.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    rest = cut(labelled.join(parts.select("key", "low"), "key").select("node", "label", "low").distinct())
-    clusters = connected_components(rest.select(F.col("label").alias("u"), F.col("low").alias("v")))
-    members = rest.select("node", "label").distinct().join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
-    members = cut(members)
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # buckets that are still in parts, without those of two nodes, which have met. Their nodes meet in
+    # pairs of blocks of one bucket; similar sets are of one size class or of neighbours
+    labelled = banded.join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    parts = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
+    rest = cut(labelled.join(parts, "key").join(nodes.select("node", "n"), "node"))
+    sizes = rest.groupBy("key").agg(F.count("*").alias("many"))
+    # a bucket beyond a block is divided by set size: like sets are of one size class or of neighbours
+    class_of = F.floor(F.log("n") / F.lit(-log(percent / 100)) + F.lit(1e-9))
+    classes = F.when(F.col("many") > block, F.array(class_of, class_of - 1)).otherwise(F.array(F.lit(-2).cast("long")))
+    rest = rest.join(sizes, "key").select("key", "node", "label", "n", F.explode(classes).alias("class"))
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (256 * block))).cast("int")
+    mixed = rest.groupBy("key", "class").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks")).where("low <> high")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
-    dealt = dealt.select("node", "label", "cluster", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+    dealt = rest.join(mixed.select("key", "class", "blocks"), ["key", "class"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
+    dealt = dealt.select("node", "label", "key", "class", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
 
     def join_up(key, group):
         import pyarrow as pa
 
         matrix = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(group.num_rows, hashes)
         sets = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
-        found = links(group.column("node").to_pylist(), group.column("label").to_pylist(), matrix, sets, percent, fewest)
+        found = links(group.column("node").to_pylist(), group.column("label").to_pylist(), matrix, sets, percent, fewest, group.column("side").to_numpy())
         return pa.Table.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    met = dealt.join(signs, "node").join(sets, "node").groupBy("cluster", "a", "b").applyInArrow(join_up, "u long, v long")
-    more = cut(met)
-    # what the clusters add joins whole components of before
+    met = dealt.join(signs, "node").join(sets, "node").groupBy("key", "class", "a", "b").applyInArrow(join_up, "u long, v long")
+    more = cut(met.distinct())
+    # what these add joins whole components of before
     ends = more.join(first.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
     joined = connected_components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
 
