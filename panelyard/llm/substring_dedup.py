@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from . import anchored
 from ._common import mix
-from .suffix_dedup import RangeHash, byte_hashes
+from .suffix_dedup import _RANDOM_2, RangeHash, byte_hashes
 
 #: Perfect difference covers: every difference modulo the period is one of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -34,6 +35,12 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.start, offsets)
         self.hash = byte_hashes(data, self.start, self.end)
+        self._data = data
+
+    @functools.cached_property
+    def second(self) -> np.ndarray:
+        """Hashes of the words that are independent of the first ones."""
+        return byte_hashes(self._data, self.start, self.end, _RANDOM_2)
 
 
 def _anchors(k: int, period: int):
@@ -54,7 +61,7 @@ def _anchors(k: int, period: int):
         ranges = RangeHash(words.hash)
         from_, to = np.maximum(low, p - reach), np.minimum(high, p + gram + reach)
         place = ((p - from_) * 64 + (to - p)).astype(np.uint64)
-        context = (mix(ranges(from_, to), place) >> np.uint64(32)).astype(np.uint32)
+        context = mix(RangeHash(words.second)(from_, to), place)
         sides = []
         for has, x, y in ((p - half >= low, p - half, p), (p + gram + half <= high, p + gram, p + gram + half)):
             side = np.zeros(len(p), np.uint16)
@@ -71,17 +78,17 @@ def _content(k: int):
     def make(chunk, words, a, chosen, sides):
         count = a.last[chosen] - a.first[chosen] + 1
         at = np.unique(np.repeat(a.first[chosen] - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
-        h = RangeHash(words.hash)(at, at + k)
-        # of equal windows of a chunk the first alone goes on
-        order = np.argsort(h, kind="stable")
+        h, g = (RangeHash(x)(at, at + k) for x in (words.hash, words.second))
+        # of equal windows of a chunk the first alone goes on; two hashes tell windows apart
+        order = np.lexsort((g, h))
         later = np.zeros(len(h), bool)
-        later[order[1:]] = h[order[1:]] == h[order[:-1]]
-        gone, at, h = at[later], at[~later], h[~later]
+        later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
+        gone, at, h, g = at[later], at[~later], h[~later], g[~later]
         doc = chunk.ids[np.searchsorted(words.bounds, at, "right") - 1]
 
         def payload(which, number):
             docs, place = np.unique(doc[which], return_inverse=True)
-            return anchored.pack_arrays(np.array([number]), h[which], docs, place.astype(np.uint32), at[which].astype(np.uint32))
+            return anchored.pack_arrays(np.array([number]), h[which], docs, place.astype(np.uint32), at[which].astype(np.uint32), g[which])
 
         return h, payload, gone, gone + k
 
@@ -94,11 +101,11 @@ def _resolve(k: int):
             return
         parts = [anchored.unpack_arrays(p) for p in payloads]
         chunk = np.concatenate([np.repeat(p[0], len(p[1])) for p in parts])
-        h, at = (np.concatenate([p[i] for p in parts]) for i in (1, 4))
+        h, at, g = (np.concatenate([p[i] for p in parts]) for i in (1, 4, 5))
         doc, at = np.concatenate([p[2][p[3]] for p in parts]), at.astype(np.int64)
-        order = np.lexsort((at, doc, h))
+        order = np.lexsort((at, doc, g, h))
         later = np.zeros(len(h), bool)
-        later[order[1:]] = h[order[1:]] == h[order[:-1]]
+        later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
         for number in np.unique(chunk[later]).tolist():
             mine = at[later & (chunk == number)]
             yield number, mine, mine + k
@@ -133,7 +140,8 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, period: int = 13, o
     place is the same in both. An anchor extends by ``period - 1`` words to each side; see
     ``anchored``. Null texts have no words. Rows with a null doc_id are compared with nothing and
     stay whole. Rows that share a doc_id count as parts of one document, in the order of their
-    texts. Empty tables give no rows; other columns are not read.
+    texts. Long texts are compared whole. Empty tables give no rows; other columns are not read.
+    Equal words, contexts and windows are told apart by two independent hashes, 128 bits in all for windows.
     """
     if period not in COVERS or length < period + 1:
         raise ValueError(f"period must be one of {sorted(COVERS)} and under length")

@@ -2,112 +2,243 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import os
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from . import anchored
 from ._common import mix, shared_dir
 
 SEGMENT = 1 << 18
 GRAM = 16
-_RANDOM = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
+_RANDOM, _RANDOM_2 = (np.random.default_rng(seed).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1) for seed in (20, 21))
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+class Files:
+    """Named arrays that are written and read in order: files of a folder, or memory without one."""
+
+    def __init__(self, folder: str | None):
+        self.folder, self.used, self.held = folder, 0, {}
+
+    def writer(self, name: str):
+        self.used += self.folder is not None
+        if self.folder is None:
+            self.held[name] = io.BytesIO()
+            return contextlib.nullcontext(self.held[name])
+        return open(os.path.join(self.folder, name), "wb")
+
+    def blocks(self, name: str, dtype, sizes):
+        """The array's next parts, of the sizes that ``sizes`` gives."""
+        width = np.dtype(dtype).itemsize
+        if self.folder is None:
+            source = self.held[name]
+            source.seek(0)
+            for size in sizes:
+                yield np.frombuffer(source.read(size * width), dtype)
+        else:
+            with open(os.path.join(self.folder, name), "rb", buffering=0) as source:
+                for size in sizes:
+                    yield np.fromfile(source, dtype, size)
+
+    def whole(self, name: str, dtype) -> np.ndarray:
+        """The array, mapped if it is a file: only the pages in use are read."""
+        if self.folder is None:
+            return np.frombuffer(self.held[name].getbuffer(), dtype)
+        path = os.path.join(self.folder, name)
+        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+
+
 class ColumnwiseIndex:
     """Burrows-Wheeler transform and common prefixes of a collection of byte strings.
 
     Round t inserts the suffix of length t of every string that has one, all at once: the symbol
     that each string put into the transform a round ago says, by its rank among equal symbols,
-    where the suffix goes. Transform and common prefixes are read in order and written in
-    order once a round. Above ``in_memory`` symbols they are files in the ``scratch`` folder;
-    common prefixes of new neighbours are range minima of the old ones plus one.
-
-    Strings must be free of the bytes 0xFE and 0xFF, as UTF-8 is. Equal suffixes stand in the
-    order of their strings. Empty strings are allowed.
+    where the suffix goes. Transform and common prefixes lie in files of the ``scratch`` folder (in
+    memory without one). A round reads them in order twice, ``block`` symbols at a time: once for ranks
+    and for the prefixes of new neighbours (range minima of the old ones plus one, carried from
+    block to block for each symbol), once to merge the new symbols in and write the next files.
+    Beside a block only a few numbers for each string are held.
+
+    Strings must be free of the byte 0xFF, as UTF-8 is. Equal suffixes stand in the
+    order of their strings. Empty strings are allowed. ``close`` removes the files.
     """
 
-    def __init__(self, strings: list[bytes], scratch: str | None = None, in_memory: int = 64 << 20):
-        self.n, self.scratch, self.in_memory, self.files = len(strings), scratch, in_memory, 0
+    def __init__(self, strings: list[bytes], scratch: str | None = None, block: int = 1 << 20):
+        self.n, self.block = len(strings), block
+        self.folder = tempfile.TemporaryDirectory(dir=scratch) if scratch else None
+        self.files = Files(self.folder.name if self.folder else None)
         self.sizes = np.fromiter(map(len, strings), np.int64, self.n)
-        longest = int(self.sizes.max()) if self.n else 0
-        #: Column t: the symbol before the suffix of length t, 0 where that is the whole string.
-        self.columns = np.zeros((longest + 1, self.n), np.uint8)
+        self.longest = int(self.sizes.max()) if self.n else 0
+        self.prefix = np.dtype("u1" if self.longest < 255 else "<u4")
+        self._columns(strings)
+        self._build()
+
+    def close(self) -> None:
+        if self.folder:
+            self.folder.cleanup()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *args):
+        self.close()
+
+    def _columns(self, strings: list[bytes]) -> None:
+        """Column t: the symbol before the suffix of length t of each string that has one, 0 where that is the whole string."""
+        order = np.argsort(-self.sizes, kind="stable")  # strings that a column has come first
+        self.has = np.searchsorted(-self.sizes[order], -np.arange(self.longest + 1), "right")
         flat = np.frombuffer(b"".join(strings), np.uint8)
-        owner = np.repeat(np.arange(self.n), self.sizes)
-        ends = np.cumsum(self.sizes)
-        self.columns[(ends[owner] - 1 - np.arange(len(flat))), owner] = flat + 1
-        with tempfile.TemporaryDirectory(dir=scratch) if scratch and self.sizes.sum() + self.n > in_memory else _Nothing() as self.folder:
-            self._build(longest)
-
-    def _array(self, size: int) -> np.ndarray:
-        if self.folder is None or size <= self.in_memory:
-            return np.empty(size, np.uint8)
-        self.files += 1
-        return np.memmap(os.path.join(self.folder, str(self.files % 4)), np.uint8, "w+", shape=size)
-
-    def _step(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Order of the transform's symbols, target of each, and how many end a string."""
-        order = np.argsort(self.bwt, kind="stable")
-        ended = int(np.count_nonzero(self.bwt == 0))
-        target = np.empty(len(order), np.int64)
-        target[order] = self.n - ended + np.arange(len(order))
-        return order, target, ended
-
-    def _build(self, longest: int) -> None:
-        self.bwt, self.lcp = self.columns[0].copy(), np.zeros(self.n, np.uint8)
-        active, place = np.flatnonzero(self.sizes > 0), np.arange(self.n)[self.sizes > 0]
-        for t in range(1, longest + 1):
-            order, target, ended = self._step()
-            new = target[place]
-            size = self.n + len(order) - ended
-            fresh = np.zeros(size + 1, bool)
-            fresh[new] = True
-            old = ~fresh[:size]
-            bwt, lcp = self._array(size), self._array(size)
-            bwt[old], lcp[old] = self.bwt, self.lcp
-            bwt[new] = self.columns[t, active]
+        ends = np.cumsum(self.sizes)[order]
+        self.order = order
+        with self.files.writer("columns") as out:
+            for t in range(self.longest + 1):
+                own = order[: self.has[t]]
+                symbols = np.zeros(len(own), np.uint8)
+                more = self.sizes[own] > t
+                symbols[more] = flat[ends[: len(own)][more] - 1 - t] + 1
+                out.write(symbols.tobytes())
+
+    def _parts(self, size: int) -> list[int]:
+        return [min(self.block, size - s) for s in range(0, size, self.block)]
+
+    def _build(self) -> None:
+        columns = self.files.blocks("columns", np.uint8, self.has.tolist())
+        first = np.zeros(self.n, np.uint8)
+        if self.n:
+            first[self.order] = next(columns)
+        with self.files.writer("bwt0") as out:
+            out.write(first.tobytes())
+        with self.files.writer("lcp0") as out:
+            out.write(np.zeros(self.n, self.prefix).tobytes())
+        self.size, self.total, self.turn = self.n, np.bincount(first, minlength=257).astype(np.int64), 0
+        place = self.order.copy()  # of each string's last suffix; strings as in a column
+        for t in range(1, self.longest + 1):
+            symbols = next(columns)
+            place = place[: len(symbols)]
+            new, at, value = self._ranks(place)
+            self._merge(new, symbols, at, value)
+            self.total += np.bincount(symbols, minlength=257)
+            place = new
+
+    def _ranks(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the suffixes that continue those at ``place`` go; places whose common prefix is new, and these."""
+        begin = self.n + np.concatenate([[0, 0], np.cumsum(self.total[1:256])])  # first place of each symbol's suffixes
+        by = np.argsort(place, kind="stable")
+        sorted_, new = place[by], np.empty(len(place), np.int64)
+        seen, low, was_fresh = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(256, bool)
+        places, values, start, done = [], [], 0, 0
+        parts = self._parts(self.size)
+        for bwt, lcp in zip(self.files.blocks(f"bwt{self.turn}", np.uint8, parts), self.files.blocks(f"lcp{self.turn}", self.prefix, parts), strict=True):
+            upto = int(np.searchsorted(sorted_, start + len(bwt)))
+            here = sorted_[done:upto] - start
+            order = np.argsort(bwt, kind="stable")
+            symbols = bwt[order]
+            fresh = np.zeros(len(bwt), bool)
+            fresh[here] = True
+            flag = fresh[order]
+            edge = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+            kinds = symbols[edge].astype(np.int64)
+            count = np.diff(np.append(edge, len(symbols)))
+            to = np.arange(len(symbols)) + np.repeat(begin[kinds] + seen[kinds] - edge, count)
+            mine = np.flatnonzero(flag)
+            turn = np.empty(len(bwt), np.int64)
+            turn[order[mine]] = to[mine]
+            new[by[done:upto]] = turn[here]
             # new suffixes and those that follow one have new neighbours
-            at = np.flatnonzero(fresh[self.n : size] | fresh[self.n - 1 : size - 1]) + ended
-            own, before = order[at], order[np.maximum(at - 1, 0)]
-            same = (at > ended) & (self.bwt[own] == self.bwt[before])
-            values = np.zeros(len(at), np.uint8)
-            if same.any():
-                pairs = np.stack([before[same] + 1, own[same] + 1], 1).ravel()
-                values[same] = np.minimum.reduceat(np.append(self.lcp, np.uint8(255)), pairs)[::2] + 1
-            lcp[at - ended + self.n] = values
-            self.bwt, self.lcp = bwt, lcp
-            keep = self.sizes[active] > t
-            active, place = active[keep], new[keep]
-        self.bwt, self.lcp = np.array(self.bwt), np.array(self.lcp)
+            after = np.concatenate([[False], flag[:-1]])
+            after[edge] = was_fresh[kinds]
+            at = np.flatnonzero((flag | after) & (symbols > 0))
+            head = np.zeros(len(symbols), bool)
+            head[edge] = True
+            value = np.zeros(len(at), np.int64)
+            inside = ~head[at]
+            if inside.any():
+                pairs = np.stack([order[at[inside] - 1] + 1, order[at[inside]] + 1], 1).ravel()
+                value[inside] = np.minimum.reduceat(np.append(lcp, np.iinfo(lcp.dtype).max), pairs)[::2].astype(np.int64) + 1
+            least = np.minimum.accumulate(lcp)
+            carried = at[~inside]
+            kind = symbols[carried].astype(np.int64)
+            value[~inside] = np.where(seen[kind] > 0, np.minimum(low[kind], least[order[carried]]) + 1, 0)
+            places.append(to[at])
+            values.append(value)
+            # for each symbol, the least prefix since its last place
+            low = np.minimum(low, int(least[-1]))
+            last = order[edge + count - 1]
+            tail = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.iinfo(lcp.dtype).max).astype(np.int64)
+            low[kinds], was_fresh[kinds] = tail[last + 1], fresh[last]
+            seen[kinds] += count
+            start, done = start + len(bwt), upto
+        return new, np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.int64), *values])
+
+    def _merge(self, new: np.ndarray, symbols: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
+        by = np.argsort(new)
+        new, symbols = new[by], symbols[by]
+        by = np.argsort(at)
+        at, value = at[by], value[by].astype(self.prefix)
+        size = self.size + len(new)
+        parts = self._parts(size)
+        starts = np.cumsum([0, *parts])
+        edges, marks = np.searchsorted(new, starts), np.searchsorted(at, starts)
+        old = [p - int(e) for p, e in zip(parts, np.diff(edges), strict=True)]
+        sources = (self.files.blocks(f"bwt{self.turn}", np.uint8, old), self.files.blocks(f"lcp{self.turn}", self.prefix, old))
+        with self.files.writer(f"bwt{1 - self.turn}") as out, self.files.writer(f"lcp{1 - self.turn}") as out_lcp:
+            for i, (old_bwt, old_lcp) in enumerate(zip(*sources, strict=True)):
+                fresh = np.zeros(parts[i], bool)
+                inserted = new[edges[i] : edges[i + 1]] - starts[i]
+                fresh[inserted] = True
+                bwt, lcp = np.empty(parts[i], np.uint8), np.zeros(parts[i], self.prefix)
+                bwt[~fresh], lcp[~fresh] = old_bwt, old_lcp
+                bwt[inserted] = symbols[edges[i] : edges[i + 1]]
+                lcp[at[marks[i] : marks[i + 1]] - starts[i]] = value[marks[i] : marks[i + 1]]
+                out.write(bwt.tobytes())
+                out_lcp.write(lcp.tobytes())
+        self.size, self.turn = size, 1 - self.turn
+
+    @property
+    def bwt(self) -> np.ndarray:
+        return self.files.whole(f"bwt{self.turn}", np.uint8)
+
+    @property
+    def lcp(self) -> np.ndarray:
+        return self.files.whole(f"lcp{self.turn}", self.prefix)
 
     def classes(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All windows of ``length``: their string, start, and a class that equal windows share."""
-        _, target, _ = self._step()
-        group = np.cumsum(self.lcp < length)
+        """All windows of ``length``: their string, start, and a class that equal windows share.
+
+        One pass writes, for each place of the transform, where the suffix that continues it lies, and
+        its class; the walk through all strings reads these files where it needs them.
+        """
+        begin = self.n + np.concatenate([[0, 0], np.cumsum(self.total[1:256])])
+        seen, group, parts = np.zeros(256, np.int64), 0, self._parts(self.size)
+        with self.files.writer("next") as out, self.files.writer("class") as out_class:
+            for bwt, lcp in zip(self.files.blocks(f"bwt{self.turn}", np.uint8, parts), self.files.blocks(f"lcp{self.turn}", self.prefix, parts), strict=True):
+                order = np.argsort(bwt, kind="stable")
+                count = np.bincount(bwt, minlength=256)
+                to = np.empty(len(bwt), np.int64)
+                to[order] = np.arange(len(bwt)) + np.repeat(begin[:256] + seen - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+                of = group + np.cumsum(lcp < length)
+                out.write(to.tobytes())
+                out_class.write(of.tobytes())
+                seen += count
+                group = int(of[-1])
+        target, of = self.files.whole("next", np.int64), self.files.whole("class", np.int64)
         place, alive = np.arange(self.n), np.arange(self.n)
-        out = []
-        for t in range(1, len(self.columns)):
+        found = []
+        for t in range(1, self.longest + 1):
             keep = self.sizes[alive] >= t
             alive, place = alive[keep], target[place[keep]]
             if t >= length:
-                out.append((alive, self.sizes[alive] - t, group[place]))
-        if not out:
+                found.append((alive, self.sizes[alive] - t, of[place]))
+        if not found:
             return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-class _Nothing:
-    def __enter__(self):
-        return None
-
-    def __exit__(self, *args):
-        return None
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,13 +267,13 @@ class RangeHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start], (end - start).astype(np.uint64))
 
 
-def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 900_000) -> np.ndarray:
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, random: np.ndarray = _RANDOM, block: int = 900_000) -> np.ndarray:
     """Hashes of ascending, disjoint byte ranges, in blocks that bound the memory for sums and powers."""
     out, at = np.empty(len(start), np.uint64), 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(end, start[at] + block, "right")))
         low = start[at]
-        out[at:to] = RangeHash(_RANDOM[data[low : end[to - 1]]])(start[at:to] - low, end[at:to] - low)
+        out[at:to] = RangeHash(random[data[low : end[to - 1]]])(start[at:to] - low, end[at:to] - low)
         at = to
     return out
 
@@ -185,7 +316,7 @@ def _anchors(k: int):
             keep = p[change] >= 0
             first, last, p = first[keep], last[keep], p[change][keep]
             ranges = RangeHash(mapped)
-            context = (ranges(first, last + k) >> np.uint64(32)).astype(np.uint32)
+            context = ranges(first, last + k)
             sides = []
             for has, x, y in ((first <= p - half, p - half, p), (last + k >= p + GRAM + half, p + GRAM, p + GRAM + half)):
                 side = np.zeros(len(p), np.uint16)
@@ -196,7 +327,7 @@ def _anchors(k: int):
             out.append(anchored.Anchors(mix(h[p], np.uint64(5)), context, *sides, p + s, doc, first + s, last + s))
         if not out:
             z = np.zeros(0, np.int64)
-            return anchored.Anchors(z.astype(np.uint64), z.astype(np.uint32), z.astype(np.uint16), z.astype(np.uint16), z, z, z, z)
+            return anchored.Anchors(z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint16), z.astype(np.uint16), z, z, z, z)
         return anchored.Anchors(*(np.concatenate([getattr(a, f) for a in out]) for f in anchored.Anchors.__dataclass_fields__))
 
     return find
@@ -233,10 +364,10 @@ def _content(k: int):
             way = h[on] if route is None else mix(h[on], ranges(p[on] + route[0], p[on] + route[1]))
             parts.append((low[on], high[on] + k, mix(way, np.uint64(bit + 4 * (route is None))), a.doc[chosen[on]]))
         start, end, route, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ids, whole = chunk.ids[doc], mix(ranges(start, end), route)
-        order = np.lexsort((ids, whole))
+        ids, whole, again = chunk.ids[doc], mix(ranges(start, end), route), RangeHash(_RANDOM_2[chunk.data])(start, end)
+        order = np.lexsort((ids, again, whole))
         new = np.ones(len(order), bool)
-        new[1:] = whole[order][1:] != whole[order][:-1]
+        new[1:] = (whole[order][1:] != whole[order][:-1]) | (again[order][1:] != again[order][:-1])
         least = np.empty(len(order), np.int64)
         least[order] = ids[order][new][np.cumsum(new) - 1]
         later = ids > least  # an equal piece in this chunk settles it
@@ -295,7 +426,8 @@ def _compare(raw: bytes, start, end, doc, k: int, scratch: str | None) -> tuple[
     which = np.fromiter(map(distinct.__getitem__, strings), np.int64, len(strings))
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
-    string, start, group = ColumnwiseIndex(list(distinct), scratch).classes(k)
+    with ColumnwiseIndex(list(distinct), scratch) as index:
+        string, start, group = index.classes(k)
     lowest = np.full(int(group.max(initial=0)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(lowest, group, least[string])
     # windows of each distinct string, side by side, for every holder of the string
@@ -321,6 +453,12 @@ def _output(chunk, symbols, mask):
     return np.array(n, np.int64), np.array(removed, np.int64), np.array(spans, np.int64), anchored.strings(digest)
 
 
+def scratch_folder(spark: SparkSession) -> str | None:
+    """The shared folder as a path that Python opens, or none if it isn't mounted."""
+    folder = shared_dir(spark)
+    return "/" + folder.removeprefix("file:").lstrip("/") if folder.startswith(("file:", "/")) else None
+
+
 def remove_repeated_bytes(docs: DataFrame, length: int = 50, output=_output, schema: str | None = None, **options) -> DataFrame:
     """Cut each byte covered by a ``length``-byte string that also starts in a smaller doc_id.
 
@@ -330,13 +468,14 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, output=_output, sch
     An empty table gives no rows; other columns are not read.
 
     Candidate strings (with their surroundings) meet by minimizer and are compared by
-    ``ColumnwiseIndex``; see ``anchored`` for what is settled before that. ``output`` maps a
+    ``ColumnwiseIndex``, whose files lie in the shared folder if it is a mounted one (else they are held
+    in memory, at most ``COLLECTION`` bytes of strings at a time); see ``anchored`` for what is settled
+    before that. Long texts are compared whole. ``output`` maps a
     chunk and its mask of cut bytes to the columns after doc_id, as ``schema`` names them.
     """
     if length < GRAM + 2:
         raise ValueError(f"length must be {GRAM + 2} or more")
-    folder = shared_dir(docs.sparkSession)
-    scratch = folder.removeprefix("file://") if folder.startswith(("file:", "/")) else None
+    scratch = scratch_folder(docs.sparkSession)
     method = anchored.Method(
         length,
         _Bytes,
