@@ -21,7 +21,7 @@ RULES = {
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` (its doc_id, text and lang) with the measures of each whole text.
+    """``docs`` (its doc_id and lang) with the measures of each whole text, and a digest of it.
 
     n_words; word_chars (code points in words); n_symbols (of ``#*$%&|<>``); n_dup_lines (lines with
     a word that equal an earlier line); n_repeat_words (words in 5-word windows found twice or more
@@ -36,6 +36,7 @@ def measures(docs: DataFrame) -> DataFrame:
     counted = base.select(
         "doc_id",
         "lang",
+        F.sha2("t", 256).alias("digest"),
         words.alias("w"),
         (F.char_length("t") - F.char_length(F.regexp_replace("t", rf"[^{SPACE_CLASS}]+", ""))).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace("t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -78,9 +79,19 @@ def shares() -> dict[str, Column]:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(at most k of n) for chance p."""
-    terms = (lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p) for i in range(k + 1))
-    return min(1.0, sum(exp(t) for t in terms))
+    """P(at most k of n) for chance p, summed from k down to where terms stop counting.
+
+    From a share k / n of ``p`` on it is 1, which no level reaches.
+    """
+    if k >= n * p:
+        return 1.0
+    term = total = exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p))
+    for i in range(k, 0, -1):
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return min(1.0, total)
 
 
 def holm(p_values: dict, level: float) -> set:
@@ -109,7 +120,7 @@ def rejects(rule_set: dict[str, float]) -> Column:
     return out
 
 
-def certified_cutoffs(labelled: DataFrame, limit: float = 0.01, level: float = 0.05, rules: dict = RULES, max_strata: int = 64) -> dict[str, dict[str, float]]:
+def certified_cutoffs(labelled: DataFrame, limit: float = 0.01, level: float = 0.05, rules: dict = RULES) -> dict[str, dict[str, float]]:
     """The rules and cutoffs of each stratum that reject good documents rarely, for sure.
 
     ``labelled`` has ``lang`` (the stratum), the counts, ``base_failed`` and ``quality``. Of each
@@ -118,8 +129,7 @@ def certified_cutoffs(labelled: DataFrame, limit: float = 0.01, level: float = 0
     Holm's correction covers all strata and sets. A stratum gets one set, so with confidence
     1 - level none loses more than ``limit`` of its good documents. Among the certified sets the one
     that rejects most labelled bad documents is taken (ties: fewer good ones, fewer rules, higher
-    cutoffs), none if none rejects any. Strata beyond the ``max_strata`` largest keep everything.
-    Only counts reach the driver.
+    cutoffs), none if none rejects any. Every stratum takes part; only counts reach the driver.
     """
     good, bad = (F.col("quality") == 1) & ~F.col("base_failed"), (F.col("quality") == 0) & ~F.col("base_failed")
     sets = rule_sets(rules)
@@ -127,7 +137,7 @@ def certified_cutoffs(labelled: DataFrame, limit: float = 0.01, level: float = 0
     for i, rule_set in enumerate(sets):
         counts += [F.count_if(good & F.col(f"r{i}")).alias(f"g{i}"), F.count_if(bad & F.col(f"r{i}")).alias(f"b{i}")]
     judged = labelled.select("lang", "quality", "base_failed", *(rejects(x).alias(f"r{i}") for i, x in enumerate(sets)))
-    strata = judged.groupBy("lang").agg(*counts).orderBy(F.desc("n"), "lang").limit(max_strata).collect()
+    strata = judged.groupBy("lang").agg(*counts).orderBy("lang").collect()
     tests = {(r["lang"], i): binomial_tail(r[f"g{i}"], r["n"], limit) for r in strata if r["n"] for i in range(len(sets))}
     sure, chosen = holm(tests, level), {}
     for r in strata:
@@ -142,15 +152,19 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
 
     ``kept`` is false if ``base_failed``, else whether no certified rule of the document's stratum
     rejects it. ``labels`` (doc_id, quality) is the holdout; rows that are null or without a
-    document don't count, and each repeated row does. A null lang is a stratum of its own.
+    document don't count. Equal texts of a stratum are one trial, good if any label says so, as
+    copies are not independent; near copies count apart. A null lang is a stratum of its own, with the
+    empty one. Null texts have no words and fail the base rule. Long texts are measured whole.
     Empty tables work: without labels nothing but the base rule rejects.
     """
     # measured once, as labels and verdicts both need it; only the numbers are kept, not the texts
     measured = cut(measures(docs).withColumn("base_failed", base_failed()))
     held = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int")).where("label_id is not null and quality is not null")
     labelled = measured.join(held, F.col("doc_id") == F.col("label_id"))
-    cutoffs = certified_cutoffs(labelled, **options)
+    numbers = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    trials = labelled.groupBy("lang", "digest").agg(F.max("quality").alias("quality"), *(F.first(c).alias(c) for c in numbers))
+    cutoffs = certified_cutoffs(trials, **options)
     rejected = F.lit(False)
     for lang, found in cutoffs.items():
         rejected = rejected | ((F.col("lang") == lang) & rejects(found))
-    return measured.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return measured.drop("digest").withColumn("kept", ~F.col("base_failed") & ~rejected)

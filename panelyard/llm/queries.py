@@ -77,9 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: The others can't be stated in SQL as a whole (a tokenizer, packing, guess costs, alignments, mined
-#: or certified rules, trees): tests hold them against brute force, a round trip or held-out labels.
+#: The others can't be stated in SQL as a whole (a tokenizer, packing, guess costs, alignments, trees):
+#: tests hold them against brute force, a round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": sql.QUALITY,
+    "op9_url_rules": sql.URL_VERDICTS,
     "op5_suffix_dedup": sql.REPEATED_BYTES,
     "op6_minhash_dedup": sql.NEAR_DUPLICATES,
     "op10_substring_dedup": sql.REPEATED_WORDS,

@@ -60,36 +60,50 @@ def mine_rules(tokens: DataFrame, labels: DataFrame, least_support: float = 0.00
     the label is bad (quality 0 or toxic 1). FP-growth mines them; rules to the bad token stay from
     ``confidence`` and support on (``least_support`` of the baskets and ``least_rows`` of them); a
     rule goes if a part of it is a rule, which blocks all that it would. All others are returned,
-    whatever their number. No labelled pages: no rules.
+    whatever their number. Tokens that the same labelled pages hold are one item of the mining, as any
+    of them makes the same rules: each part of an antecedent lists the tokens of which one will do.
+    No labelled pages: no rules.
     """
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     marked = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(bad.cast("int")).alias("bad"))
-    baskets = tokens.join(marked, "page_id").select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    counts = baskets.agg(F.count("*").alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
+    baskets = cut(tokens.join(marked, "page_id").select(F.monotonically_increasing_id().alias("basket"), "tokens", "bad"))
+    counts = baskets.agg(F.count("*").alias("n"), F.count_if(F.col("bad") == 1).alias("bad")).first()
     if not counts["bad"]:
-        return tokens.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
+        return tokens.sparkSession.createDataFrame([], "rule_id long, antecedent array<array<string>>, confidence double, support double")
     support = min(1.0, max(least_support, least_rows / counts["n"]))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    # 128 bits tell the sets of baskets apart that hold a token
+    held = baskets.select("basket", F.explode("tokens").alias("token"))
+    prints = [F.bit_xor(F.xxhash64("basket", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    sets = held.groupBy("token").agg(F.count("*").alias("n"), *prints).where(F.col("n") >= support * counts["n"])
+    classes = cut(sets.groupBy("n", "x1", "x2").agg(F.array_sort(F.collect_list("token")).alias("any")).select(F.col("any")[0].alias("item"), "any"))
+    first = held.join(classes.select("item"), F.col("token") == F.col("item"))
+    items = first.groupBy("basket").agg(F.collect_list("item").alias("items"))
+    rows = baskets.select("basket", "bad").join(items, "basket", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
     rules = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    return least_rules(cut(rules.select(F.monotonically_increasing_id().alias("rule_id"), "antecedent", "confidence", "support")))
+    least = least_rules(cut(rules.select(F.monotonically_increasing_id().alias("rule_id"), "antecedent", "confidence", "support")))
+    parts = least.select("rule_id", "confidence", "support", F.explode("antecedent").alias("item")).join(classes, "item")
+    return parts.groupBy("rule_id").agg(F.array_sort(F.collect_list("any")).alias("antecedent"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
 
 
 def least_rules(rules: DataFrame) -> DataFrame:
-    """The rules that hold no other rule's tokens among theirs, by rounds from short to long ones."""
+    """The rules that hold no other rule's items among theirs, by rounds from short to long ones."""
     kept, left = rules.limit(0), rules
     while (size := left.agg(F.min(F.size("antecedent"))).first()[0]) is not None:
         least = left.where(F.size("antecedent") == size)
         kept, longer = kept.unionByName(least), left.where(F.size("antecedent") > size)
-        covered = match_rules(longer.select(F.col("rule_id").alias("page_id"), F.col("antecedent").alias("tokens")), least)
+        single = least.withColumn("antecedent", F.transform("antecedent", lambda x: F.array(x)))
+        covered = match_rules(longer.select(F.col("rule_id").alias("page_id"), F.col("antecedent").alias("tokens")), single)
         left = cut(longer.join(covered.withColumnRenamed("page_id", "rule_id"), "rule_id", "left_anti"))
     return kept
 
 
 def match_rules(tokens: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_ids with all tokens of a rule, by an inverted index of the rules' tokens."""
-    index = rules.select("rule_id", F.size("antecedent").alias("size"), F.explode("antecedent").alias("token"))
+    """page_ids with a token of each part of a rule, by an inverted index of the rules' tokens."""
+    parts = rules.select("rule_id", F.size("antecedent").alias("size"), F.posexplode("antecedent").alias("part", "any"))
+    index = parts.select("rule_id", "size", "part", F.explode("any").alias("token"))
     hits = tokens.select("page_id", F.explode("tokens").alias("token")).join(index, "token")
-    whole = hits.groupBy("page_id", "rule_id").agg(F.count_distinct("token").alias("n"), F.first("size").alias("size")).where("n = size")
+    whole = hits.groupBy("page_id", "rule_id").agg(F.count_distinct("part").alias("n"), F.first("size").alias("size")).where("n = size")
     return whole.select("page_id").distinct()
 
 
@@ -99,7 +113,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, **options) -> D
     A fixed rule's verdict stands; where none fits, mined rules block and all else is allowed.
     Null urls have empty host and path and no tokens. Pages with a null page_id are judged by the
     fixed rules and else allowed; rows that share a page_id are blocked together by mined rules.
-    Empty tables give no rows; other columns are not read.
+    Long urls are read whole. Empty tables give no rows; other columns are not read.
     """
     split = split_urls(pages)
     judged = split.withColumn("found", fixed_rule(rules))
