@@ -26,7 +26,7 @@ _STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer
 CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|auth(?:orization)?|bearer|login|pin)"
     r"[\"']?\s{0,3}(?::=|=>|[:=]|\bis\b|\bist\b|\best\b|\bes\b)\s{0,3}(?:bearer\s|basic\s)?[\"']?(?=[^\s\"',;<>]{6})"
-    r"|://[^\s/:@]{1,256}:([^\s/@]{4,})@",
+    r"|://[^\s/:@]+:([^\s/@]{4,})@",
     re.IGNORECASE,
 )
 _VALUE_END = re.compile(r"[\s\"',;<>]|\Z")
@@ -40,7 +40,6 @@ _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azer
 _NEXT = {a + b for row in _ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:])}  # noqa: B905
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:(?:19|20)?\d\d)")
-_PIECE = 24
 
 
 @functools.cache
@@ -51,10 +50,16 @@ def ranks() -> dict[str, int]:
     """
     with open(vocabulary_path(), encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
-    words = (w[1:] for w in sorted(vocabulary, key=vocabulary.get) if re.fullmatch(f"\u0120[a-z]{{3,{_PIECE}}}", w))
+    words = (w[1:] for w in sorted(vocabulary, key=vocabulary.get) if re.fullmatch("\u0120[a-z]{3,}", w))
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))}
 
 
+@functools.cache
+def longest() -> int:
+    """Characters that a word or a date has at most."""
+    return max(10, *map(len, ranks()))
+
+
 def _class_bits(c: str) -> float:
     return log2(10) if c.isdigit() else log2(26) if c.isalpha() and c.isascii() else log2(33) if c.isascii() else log2(100)
 
@@ -64,8 +69,9 @@ def guess_bits(value: str) -> float:
 
     Pieces are words (by rank in ``ranks``, with capitals or digits for letters dearer), dates, repeats
     of one character and keyboard walks of any length, and spans tried by brute force. Each piece beyond
-    the first adds a bit for the cut. Time is linear in the length: words are no longer than ``_PIECE``,
-    and repeats and walks stop within so much of their beginning or of where they could go on no more.
+    the first adds a bit for the cut. Time is linear in the length: words and dates are no longer than
+    ``longest``, and so far before its possible end, or from its beginning, a repeat or walk need not stop,
+    as no other piece that begins between could reach beyond it.
     """
     return suffix_bits(value)[0]
 
@@ -74,10 +80,11 @@ def suffix_bits(value: str) -> list[float]:
     """``guess_bits`` of ``value`` from each place on, in one pass from its end; 0 for the empty end."""
     n = len(value)
     whole = [0.0] * (n + 1)  # by where a guess begins
-    later = [0.0] * (n + 1)  # the same after a piece: the next one pays for the cut
+    later = [0.0] * (n + 1)  # the same within a span of brute force: another piece pays for the cut
+    after = [0.0] * (n + 1)  # the same after another piece: the next one pays for the cut
     small = value.lower()
     plain = small.translate(_LEET)
-    rank_of = ranks()
+    rank_of, piece = ranks(), longest()
     run = walk = n  # where a repeat and a walk from here end at the latest
     for i in range(n - 1, -1, -1):
         if i + 1 < n:
@@ -89,18 +96,18 @@ def suffix_bits(value: str) -> list[float]:
         best = float("inf")
         date = _DATE.match(value, i)
         if date:
-            best = later[date.end()] + log2(365 * 120 if date.end() - i > 4 else 120) + 2
+            best = after[date.end()] + log2(365 * 120 if date.end() - i > 4 else 120) + 2
         for least, stop, cost in ((3, run, one), (4, walk, log2(47) + 3)):
             if stop - i >= least:
-                near = min(stop, i + _PIECE)
-                for j in (*range(i + least, near + 1), *range(max(near + 1, stop - _PIECE), stop + 1)):
-                    best = min(best, cost + log2(j - i) + later[j])
-        for j in range(i + 3, min(n, i + _PIECE) + 1):
+                near = min(stop, i + piece)
+                for j in (*range(i + least, near + 1), *range(max(near + 1, stop - piece), stop + 1)):
+                    best = min(best, cost + log2(j - i) + after[j])
+        for j in range(i + 3, min(n, i + piece) + 1):
             rank = rank_of.get(plain[i:j])
             if rank:
-                best = min(best, log2(rank) + 1 + (value[i:j] != small[i:j]) + 2 * (plain[i:j] != small[i:j]) + later[j])
+                best = min(best, log2(rank) + 1 + (value[i:j] != small[i:j]) + 2 * (plain[i:j] != small[i:j]) + after[j])
         whole[i] = min(brute, best)
-        later[i] = min(brute, best + 1)
+        later[i], after[i] = min(brute, best + 1), whole[i] + 1
     return whole
 
 

@@ -166,12 +166,12 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: int = 2_000, least_docs: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, least_docs: int = 5) -> Model:
     """Learn from labelled documents that are not held out.
 
     At most about ``max_rows`` labelled rows (a hash of doc_id picks them) take part; folds 1 and 2
-    teach the lexicon (terms are counted by executors, and the ``max_terms`` with the highest
-    log-odds come to the driver), fold 3 the trees, fold 4 the calibration. Only counts and
+    teach the lexicon (executors count terms; all that ``least_docs`` toxic documents hold, with
+    log-odds over 2, come to the driver: the bound on rows bounds them), fold 3 the trees, fold 4 the calibration. Only counts and
     features reach the driver. Null labels don't count; with a single class the score is its share.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)")
@@ -187,26 +187,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_terms: i
     def terms(batches):
         import pyarrow as pa
 
+        def flushed(seen):
+            for toxic, counts in seen.items():
+                for at in range(0, len(items := list(counts.items())), 50_000):
+                    part = items[at : at + 50_000]
+                    yield pa.RecordBatch.from_pydict({"term": [t for t, _ in part], "toxic": pa.array([toxic] * len(part), pa.int32()), "n": pa.array([n for _, n in part], pa.int64())})
+                counts.clear()
+
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole)):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = {w for w in tokens(text) if len(w) > 2}
                 seen[toxic].update({f"w{w}" for w in words} | {f"s{w[:n]}" for w in words for n in STEMS if len(w) > n})
-        for toxic, counts in seen.items():
-            for at in range(0, len(items := list(counts.items())), 50_000):
-                part = items[at : at + 50_000]
-                yield pa.RecordBatch.from_pydict({"term": [t for t, _ in part], "toxic": pa.array([toxic] * len(part), pa.int32()), "n": pa.array([n for _, n in part], pa.int64())})
+                if sum(map(len, seen.values())) > 500_000:
+                    yield from flushed(seen)
+        yield from flushed(seen)
 
     counted = sample.where("fold in (1, 2)").select("text", "toxic").mapInArrow(terms, "term string, toxic int, n long")
     sums = counted.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (sizes.get(1, 0) + 1)) - F.log((F.col("q") + 0.5) / (sizes.get(0, 0) + 1))
-    found = sums.where(F.col("p") >= least_docs).withColumn("odds", odds).where("odds > 2").orderBy(F.desc("odds"), "term").limit(max_terms).collect()
+    found = sums.where(F.col("p") >= least_docs).withColumn("odds", odds).where("odds > 2").select("term", "odds").collect()
     lexicon = Lexicon({w: 2.0 for w in INSULTS} | {r.term[1:]: r.odds for r in found if r.term[0] == "w"}, {r.term[1:]: r.odds for r in found if r.term[0] == "s"})
 
     def measured(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole)):
             values = [features(t, lexicon) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column("toxic"), batch.column("fold").cast(pa.int64())], names=["x", "toxic", "fold"])
 
