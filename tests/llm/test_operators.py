@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or held-out labels, and on odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -52,10 +53,11 @@ def docs(spark, rows):
     return frame(spark, rows)
 
 
-def test_bwt_against_sorting():
-    rng = random.Random(0)
-    strings = ["".join(rng.choices("ab", k=rng.randint(0, 12))).encode() for _ in range(40)]
-    index = suffix_dedup.ColumnwiseIndex(strings)
+@pytest.mark.parametrize("block", [1, 3, 50, 1 << 20])
+def test_bwt_against_sorting(block):
+    rng = random.Random(block)
+    strings = ["".join(rng.choices("abc", k=rng.randint(0, 12))).encode() for _ in range(40)]
+    index = suffix_dedup.ColumnwiseIndex(strings, block=block)
     suffixes = sorted(((s[i:], k) for k, s in enumerate(strings) for i in range(len(s) + 1)), key=lambda x: (x[0] + b"\0", x[1]))
     want = [(strings[k][len(strings[k]) - len(s) - 1] + 1 if len(s) < len(strings[k]) else 0) for s, k in suffixes]
     assert index.bwt.tolist() == want
@@ -69,10 +71,32 @@ def test_bwt_against_sorting():
     assert len(string) == sum(max(0, len(s) - 2) for s in strings)
 
 
-def test_bwt_in_files(tmp_path):
-    strings = [b"banana", b"ananas", b"nab", b""]
-    a, b = suffix_dedup.ColumnwiseIndex(strings), suffix_dedup.ColumnwiseIndex(strings, str(tmp_path), in_memory=3)
-    assert b.files > 0 and a.bwt.tolist() == b.bwt.tolist() and a.lcp.tolist() == b.lcp.tolist() and not list(tmp_path.iterdir())
+@pytest.mark.parametrize("strings", [[b"banana", b"ananas", b"nab", b""], [], [b""], [b"x" * 300, b"x" * 299 + b"y"]])
+def test_bwt_in_files(tmp_path, strings):
+    a = suffix_dedup.ColumnwiseIndex(strings)
+    with suffix_dedup.ColumnwiseIndex(strings, str(tmp_path), block=3) as b:
+        assert b.files.used > 2 * max(map(len, strings), default=0) and a.files.used == 0
+        assert a.bwt.tolist() == b.bwt.tolist() and a.lcp.tolist() == b.lcp.tolist()
+        assert [x.tolist() for x in a.classes(2)] == [x.tolist() for x in b.classes(2)]
+        assert list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir())
+
+
+def test_compared_strings_go_through_files(spark, monkeypatch):
+    """The strings that the query compares are inserted into files of spark.checkpoint.dir, at any size."""
+    used = []
+
+    class Seen(suffix_dedup.ColumnwiseIndex):
+        def classes(self, length):
+            used.append((os.path.dirname(self.folder.name), self.files.used))
+            return super().classes(length)
+
+    monkeypatch.setattr(suffix_dedup, "ColumnwiseIndex", Seen)
+    folder = suffix_dedup.scratch_folder(spark)
+    raw = b"abc" * 30 + b"xyz" * 30
+    string, start = suffix_dedup._compare(raw, np.array([0, 30]), np.array([120, 150]), np.array([1, 2]), 50, folder)
+    assert set(string.tolist()) == {1} and sorted(start.tolist()) == list(range(41))
+    assert used == [(folder, 2 * 120 + 3)] and f"file://{folder}" == spark.conf.get("spark.checkpoint.dir")
 
 
 def cut_bytes(rows, k=50):
@@ -252,6 +276,42 @@ def test_word_and_repeat_costs():
     assert secret_scan.redact("pwd: jakurotemibexofa") == "pwd: [SECRET]" and secret_scan.find_spans("a token is " + "z" * 96) == []
 
 
+def every_cut(value):
+    """The guess cost by trying every cut into words, dates, repeats, walks and spans of brute force."""
+    n, small = len(value), value.lower()
+    plain = small.translate(secret_scan._LEET)
+    steps = [small[i : i + 2] in secret_scan._NEXT for i in range(n - 1)]
+    best = float("inf")
+    for cuts in range(1 << (n - 1)):
+        edges = [0, *(i + 1 for i in range(n - 1) if cuts >> i & 1), n]
+        total = 0.0
+        for a, b in zip(edges, edges[1:]):  # noqa: B905
+            costs = [sum(secret_scan._class_bits(c) for c in value[a:b])]
+            if (m := secret_scan._DATE.match(value, a)) and m.end() == b:
+                costs.append(secret_scan.log2(365 * 120 if b - a > 4 else 120) + 2)
+            if b - a >= 3 and len(set(value[a:b])) == 1:
+                costs.append(secret_scan._class_bits(value[a]) + secret_scan.log2(b - a))
+            if b - a >= 4 and all(steps[a : b - 1]):
+                costs.append(secret_scan.log2(47) + 3 + secret_scan.log2(b - a))
+            if b - a >= 3 and (rank := secret_scan.ranks().get(plain[a:b])):
+                costs.append(secret_scan.log2(rank) + 1 + (value[a:b] != small[a:b]) + 2 * (plain[a:b] != small[a:b]))
+            total += min(costs)
+        best = min(best, total + len(edges) - 2)
+    return best
+
+
+def test_guess_cost_against_every_cut():
+    rng = random.Random(11)
+    parts = ["the", "Pass", "l0ve", "aaaa", "7777", "qwer", "asd", "2019", "2001-2-3", "K", "#", "x9", "zz", "é"]
+    values = ["".join(rng.choices(parts, k=4))[:13] for _ in range(40)] + ["aaaaaaaaaaaa", "qwertyuiopoi", "a", "111120010203"]
+    for value in values:
+        assert abs(secret_scan.guess_bits(value) - every_cut(value)) < 1e-9, value
+
+
+def test_long_user_names():
+    assert secret_scan.redact("see https://" + "u" * 400 + ":xK9#mQ2$vLp!@host") == "see https://" + "u" * 400 + ":[SECRET]@host"
+
+
 def test_suffix_costs():
     rng = random.Random(3)
     for _ in range(200):
@@ -310,29 +370,46 @@ def semiglobal(pattern, text):
 
 
 def test_leaks_against_alignment(spark):
+    """Items of all lengths, with the edits that their length allows, against whole alignments."""
     rng = random.Random(5)
     letters = "abcdefghij "
-    items = [(i, "".join(rng.choices(letters, k=rng.randint(80, 160)))) for i in range(6)]
+    sizes = [1, 2, 5, 8, 9, 12, 13, 14, 15, 20, 24, 25, 37, 38, 40, 50, 60, 63, 75, 88, 120, 160]
+    items = [(i, "".join(rng.choices(letters if n > 4 else "xyz", k=n))) for i, n in enumerate(sizes)]
     docs = []
-    for d in range(40):
-        item, text = rng.choice(items)[1], list("".join(rng.choices(letters, k=300)))
+    for d in range(90):
+        item, text = items[d % len(items)][1], list("".join(rng.choices(letters, k=200)))
         item = list(item)
-        for _ in range(rng.randint(0, 14)):
+        for _ in range(rng.randint(0, 2 + len(item) // 12)):
             at = rng.randrange(len(item))
             item[at : at + rng.randint(0, 1)] = rng.choice(letters)
-        text[rng.randint(0, 300) : 0] = item
+            item = item or ["a"]
+        text[rng.randint(0, 200) : 0] = item
         docs.append((d, "".join(text)))
-    docs += [(98, ""), (99, None), (100, items[0][1].upper())]
-    benchmark = spark.createDataFrame([*items, (7, "short"), (8, None), (9, "")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_leaks(frame(spark, docs), benchmark, block_bytes=300).collect()}
-    index = decontaminate.GramIndex([(i, t.encode()) for i, t in items])
+    docs += [(98, ""), (99, None), (100, items[-1][1].upper()), (None, items[-2][1])]
+    more = [(50, None), (51, ""), (None, items[-1][1]), (52, items[-1][1])]
+    benchmark = spark.createDataFrame([*items, *more], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_leaks(frame(spark, docs), benchmark, block_bytes=10_000).collect()}
     want = {}
     for d, t in docs:
-        for k, (i, item) in enumerate(items):
+        for i, item in (*items, more[2], more[3]):
             cost = semiglobal(item, (t or "").lower())
-            if cost <= index.edits[k]:
+            if cost <= int(0.08 * len(item)) and t:
                 want[d, i] = cost
-    assert got == want and len(want) > 10
+    assert got == want and len({i for _, i in want}) > 18
+    clean = decontaminate.keep_clean(frame(spark, docs), benchmark.where("length(text) > 30"), block_bytes=10_000).collect()
+    leaks = {d for d, i in want if i is None or i == 52 or len(items[i][1]) > 30}
+    assert sorted((r.doc_id for r in clean), key=str) == sorted((d for d, _ in docs if d not in leaks), key=str)
+
+
+def test_leaks_of_items_with_one_opening():
+    """Grams that many items hold are left out where the rest proves an occurrence."""
+    rng = random.Random(7)
+    opening = "this opening stands before every single question of the list "
+    items = [(i, (opening + "".join(rng.choices("abcdefgh ", k=90))).encode()) for i in range(3000)]
+    found = decontaminate.Benchmark(items, 0.08)
+    begun = time.time()
+    got = found.matches(pa.array([opening * 20, "x " + items[17][1].decode() + " y", None]))
+    assert [(d, i) for d, i, *_ in got] == [(1, 17)] and time.time() - begun < 2
 
 
 def test_toxicity(spark):
@@ -391,7 +468,7 @@ def test_url_rules_of_small_families(spark):
     labels = spark.createDataFrame([(i, int("h" + str(i) in rows[i][1]), 0) for i in range(1000)], "doc_id long, quality int, toxic int")
     tokens = url_rules.split_urls(pages).select("page_id", url_rules.url_tokens().alias("tokens"))
     mined = [r.antecedent for r in url_rules.mine_rules(tokens, labels).collect()]
-    assert ["host=junk"] in mined and all(len(a) == 1 for a in mined)
+    assert any("host=junk" in a[0] for a in mined) and all(len(a) == 1 for a in mined)
     got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labels, rules=()).collect()}
     assert all(got[i] == ("block" if i % 4 == 0 or i % 40 == 1 else "allow") for i in range(1200))
 
