@@ -17,21 +17,32 @@ PREDICTION_COLUMNS = ("run_id", "fold_id", "location_id", "input_month", "target
 PREDICTION_KEY = ("fold_id", "location_id", "input_month", "target_month")
 COMPARABLE = ("fold_id", "location_id", "input_month", "target_month", "effective_horizon", "mask_state", "validation_actual")
 MASK_STATES = ("observed", "masked/unavailable")
-RUN_ID, SHA = r"^run-[a-z0-9][a-z0-9-]*$", r"^[0-9a-f]{64}$"
+RUN_ID, SHA, LOCATION = r"^run-[a-z0-9][a-z0-9-]*$", r"^[0-9a-f]{64}$", r"^lat2=-?[0-9]+;lon2=-?[0-9]+$"
 
 
 def prediction_violations(rows: DataFrame) -> DataFrame:
-    """Counts of rows that break the prediction contract; all must be 0."""
+    """Counts of rows that break the prediction contract; all must be 0.
+
+    A condition that a null leaves open is broken. Ids must have their form in every row, and what
+    names a run must be one value over all rows. Without rows every count is 0.
+    """
+    holds = {
+        "bad_calendar": C.target_month("input_month") == F.col("target_month"),
+        "bad_horizon": F.col("effective_horizon").between(1, 7),
+        "bad_mask": F.col("mask_state").isin(*MASK_STATES),
+        "bad_prediction": C.finite("prediction"),
+        "bad_actual": C.finite("validation_actual"),
+        "bad_location": F.col("location_id").rlike(LOCATION),
+        "bad_fold": F.length("fold_id") > 0,
+        "bad_model": F.length("model_name") > 0,
+        "bad_run_id": F.col("run_id").rlike(RUN_ID),
+        **{f"bad_{c}": F.col(c).rlike(SHA) for c in ("configuration_id", "data_manifest_id", "validation_id")},
+    }
     uniform = ("run_id", "model_name", "configuration_id", "data_manifest_id", "validation_id")
     return rows.agg(
-        F.count_if(C.target_month("input_month") != F.col("target_month")).alias("bad_calendar"),
-        F.count_if(~F.col("effective_horizon").between(1, 7)).alias("bad_horizon"),
-        F.count_if(~F.col("mask_state").isin(*MASK_STATES)).alias("bad_mask"),
-        F.count_if(~C.finite("prediction")).alias("bad_prediction"),
-        F.count_if(~C.finite("validation_actual")).alias("bad_actual"),
-        F.count_if(~F.col("location_id").rlike(r"^lat2=-?[0-9]+;lon2=-?[0-9]+$")).alias("bad_location"),
+        *(F.count_if(~F.coalesce(good, F.lit(False))).alias(name) for name, good in holds.items()),
         (F.count("*") - F.count_distinct(F.struct(*PREDICTION_KEY))).alias("duplicate_keys"),
-        *((F.count_distinct(c) - F.lit(1)).alias(f"mixed_{c}") for c in uniform),
+        *(F.greatest(F.count_distinct(c) - F.lit(1), F.lit(0)).cast("bigint").alias(f"mixed_{c}") for c in uniform),
     )
 
 

@@ -46,6 +46,28 @@ def history_features(rows: DataFrame, panel: DataFrame) -> DataFrame:
     )
 
 
+def fold_reference(panel: DataFrame, folds: DataFrame, value: str) -> DataFrame:
+    """Each fold's means of a value over months before its origin: by cell and calendar month, and by cell (``cal`` null)."""
+    rows = panel.where(F.col(value).isNotNull()).join(folds, F.col("m") < F.col("origin")).withColumn("cal", F.month("m"))
+    sets = rows.groupingSets([["fold_id", *CELL, "cal"], ["fold_id", *CELL]], "fold_id", *CELL, "cal")
+    return sets.agg(F.avg(value).alias("mean"))
+
+
+def enhanced_features(rows: DataFrame, reference: DataFrame, value: str, index: list[str]) -> DataFrame:
+    """History rows with the rest of the enhanced set: index differences, an anomaly, encodings, indicators.
+
+    ``index`` names columns from the shortest to the longest span; neighbours are subtracted. The anomaly
+    is ``value`` less its fold's mean for the cell and calendar month, or for the cell where that is absent.
+    """
+    cell = reference.where("cal is null").select("fold_id", *CELL, F.col("mean").alias("cell_mean"))
+    month = reference.where("cal is not null").select("fold_id", *CELL, F.col("cal").alias("input_cal"), F.col("mean").alias("month_mean"))
+    out = rows.withColumn("input_cal", F.month("input_month")).join(month, ["fold_id", *CELL, "input_cal"], "left").join(cell, ["fold_id", *CELL], "left")
+    mean = F.coalesce("month_mean", "cell_mean")
+    added = {f"{a}_minus_{b[-2:]}": F.col(a) - F.col(b) for a, b in zip(index, index[1:], strict=False)}
+    added |= {"anomaly": F.col(value) - mean, "anomaly_available": mean.isNotNull().cast("int"), "season_difference_available": (F.col("season_month").isNotNull() & F.col("last_value").isNotNull()).cast("int")}
+    return out.withColumns(added | C.spherical(F.col("lat2") / 2, F.col("lon2") / 2)).drop("input_cal", "month_mean", "cell_mean")
+
+
 def availability(rows: DataFrame, indicators: list[str], by: list[str]) -> DataFrame:
     """Share of rows where each indicator is set: overall and by each of ``by``."""
     out = rows.groupingSets([[], *([b] for b in by)], *by).agg(*(F.avg(i).alias(i) for i in indicators), F.count("*").alias("n"), *(F.grouping(b).alias(f"g_{b}") for b in by))

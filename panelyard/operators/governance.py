@@ -11,16 +11,10 @@ from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import calendar as C
 from .contracts import RUN_ID, canonical_json, canonical_sha256, row_identity
 
-GIB = 1 << 30
-#: Reserve of a machine's memory, needs of its small stages, the share of a size that a parse takes.
-RESERVE_LEAST, RESERVE_SHARE, WORKING_COPIES = 4 * GIB, 0.30, 2
-#: Metric families that a run must report, its folds and horizons.
-FAMILIES = ("pooled", "fold", "horizon", "mask_state", "latitude_band", "spei")
-FOLDS, HORIZONS = ("F01", "F02"), tuple(range(1, 8))
 #: Names that would put rows into a manifest.
 ROW_FIELDS = frozenset({"rows", "records", "values", "predictions", "targets", "sample", "data"})
 
@@ -136,28 +130,28 @@ def nested_report(rows: DataFrame) -> dict:
     return out
 
 
-def evidence_violations(record: Mapping[str, str], artifact: Mapping, expected_rows: int, identity: str | None = None) -> list[str]:
-    """Where a run's registry record and its metrics disagree, or its coverage or slices are not whole."""
-    metrics, out = artifact.get("metrics", {}), []
-    if artifact.get("run_id") != record["run_id"]:
-        out.append("run_id")
-    if identity is not None and artifact.get("comparable_rows") != identity:
-        out.append("comparable_rows")
-    coverage = artifact.get("coverage", {})
-    if (coverage.get("expected"), coverage.get("predicted")) != (expected_rows, expected_rows):
-        out.append("coverage")
-    out += [f"family {f}" for f in FAMILIES if f not in metrics]
-    if set(metrics.get("fold", {})) != set(FOLDS):
-        out.append("folds")
-    if set(metrics.get("horizon", {})) != {str(h) for h in HORIZONS}:
-        out.append("horizons")
-    cells = [metrics.get("pooled", {}), *metrics.get("fold", {}).values(), *metrics.get("horizon", {}).values()]
-    if any(c.get("count") and not math.isfinite(c.get("rmse") or math.nan) for c in cells):
-        out.append("non-finite")
-    same = {"overall_cv_rmse": metrics.get("pooled", {}).get("rmse"), "runtime_seconds": artifact.get("runtime_seconds"), "peak_memory_mb": artifact.get("peak_memory_mb")}
-    out += [f for f, v in same.items() if v is None or float(record.get(f) or "nan") != float(v)]
-    out += [f for f in ("decision", "decision_reason") if record.get(f) != artifact.get(f)]
-    return out
+def evidence_facts(reports: DataFrame) -> DataFrame:
+    """What sliced reports (run_id, family, label, n, rmse) say of each run: run_id, fact, value.
+
+    The pooled error and rows; of each other family the rows over its slices, which must add up to the
+    pooled ones, and how many slices it lists.
+    """
+    pooled = F.col("family") == "pooled"
+    sums = reports.groupBy("run_id", "family").agg(F.sum("n").cast("double").alias("rows"), F.count("*").cast("double").alias("slices"), F.max("rmse").alias("rmse"))
+    facts = F.when(pooled, F.array(F.struct(F.lit("rmse").alias("fact"), F.col("rmse").alias("value")), F.struct(F.lit("rows").alias("fact"), F.col("rows").alias("value")))).otherwise(
+        F.array(F.struct(F.concat("family", F.lit(" rows")).alias("fact"), F.col("rows").alias("value")), F.struct(F.concat("family", F.lit(" slices")).alias("fact"), F.col("slices").alias("value")))
+    )
+    return sums.select("run_id", F.inline(facts))
+
+
+def evidence_mismatches(records: DataFrame, reports: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Facts in which records (run_id, fact, value) and reports differ, or that one side lacks.
+
+    One full join of two tables: run_id, fact, recorded, reported. No rows: the evidence holds.
+    """
+    both = records.select("run_id", "fact", F.col("value").alias("recorded")).join(evidence_facts(reports).withColumnRenamed("value", "reported"), ["run_id", "fact"], "full")
+    close = F.abs(F.col("recorded") - F.col("reported")) <= tolerance * F.abs(F.col("recorded"))
+    return both.where(~F.coalesce(close & C.finite("recorded") & C.finite("reported"), F.lit(False)))
 
 
 def resumable(spark: SparkSession, path: str, identity: str, build: Callable[[], DataFrame], columns: list[str], expected_rows: int | None = None) -> DataFrame:
@@ -202,19 +196,16 @@ def describe(df: DataFrame) -> list[tuple[str, str]]:
     return df.dtypes
 
 
-def recommended_types(schema: T.StructType, keys: Iterable[str] = ("ID", "sample_id"), month: str = "time", flags: Iterable[str] = ("TWS_t_masked",), dates_parse: bool = True) -> T.StructType:
-    """Types that lose nothing: keys as text, the month as date if all parse, reals as double, flags as boolean."""
+def cast_losses(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
+    """For each declared column: values that are there but that its declared type can't hold. One pass, one row."""
+    return df.agg(*(F.count_if(F.col(c).isNotNull() & F.col(c).cast("string").try_cast(t).isNull()).alias(c) for c, t in declared.items()))
 
-    def kind(f: T.StructField) -> T.DataType:
-        if f.name in set(keys):
-            return T.StringType()
-        if f.name == month and dates_parse:
-            return T.DateType()
-        if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType):
-            return T.DoubleType()
-        return T.BooleanType() if f.name in set(flags) else f.dataType
 
-    return T.StructType([T.StructField(f.name, kind(f), f.nullable) for f in schema])
+def lossless_types(df: DataFrame, declared: Mapping[str, str]) -> dict[str, str]:
+    """The declared type of each column whose values it holds all, the present type of the others."""
+    known = {c: t for c, t in declared.items() if c in df.columns}
+    lost = cast_losses(df, known).first().asDict() if known else {}
+    return {c: known[c] if c in known and not lost[c] else t for c, t in df.dtypes}
 
 
 def profile_differences(a: Mapping, b: Mapping) -> dict[str, tuple]:
@@ -229,22 +220,6 @@ def require_features(df: DataFrame, expected: list[str]) -> DataFrame:
     return df.select(*expected)
 
 
-def memory_headroom(available: int, total: int) -> int:
-    """Bytes that are free beyond the reserve; below 0 if the reserve is not whole."""
-    return available - max(RESERVE_LEAST, int(total * RESERVE_SHARE))
-
-
-def workload_class(estimated: int, available: int, total: int) -> str:
-    """Where a full parse of ``estimated`` bytes fits: now, in an idle machine, elsewhere, or nothing to do."""
-    reserve = total - memory_headroom(total, total)
-    need = WORKING_COPIES * estimated
-    if need <= max(0, memory_headroom(available, total)):
-        return "fits now"
-    if need <= max(0, total - reserve) and available >= reserve:
-        return "fits an idle machine"
-    return "needs a larger machine" if estimated > 0 else "not needed"
-
-
 def training_bytes(rows: int, columns: int, copies: int = 3) -> int:
     """Projected peak of a single-machine boosted fit: 4-byte features, a 4-byte label, an 8-byte weight, in copies."""
     return rows * (columns * 4 + 4 + 8) * copies
@@ -273,11 +248,13 @@ def id_relationship(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def run_audit(config: str, shape: Mapping, tables: Callable[[Mapping], dict[str, DataFrame]], path: str | Path, **guards) -> dict:
-    """Parse a strict configuration, reduce each summary table to its rows, and write the manifest.
+def run_audit(config: str, shape: Mapping, tables: Callable[[Mapping], dict[str, DataFrame]], path: str | Path, listed: int = 1_000, **guards) -> dict:
+    """Parse a strict configuration, check each summary table, and write the manifest.
 
-    ``tables(config)`` gives small summaries by name (a row for each fold or so). Columns that start
-    with ``bad_`` or ``missing`` must be 0. Returns the summaries and their structural hash.
+    ``tables(config)`` gives summaries by name (a row for each fold or so). Columns that start
+    with ``bad_`` or ``missing`` must be 0 in every row; executors count those that are not. A manifest
+    lists the rows of a summary, or for more than ``listed`` rows their number and identity. Returns
+    the facts and their structural hash.
     """
     from ..sources.files import strict_yaml
 
@@ -285,9 +262,15 @@ def run_audit(config: str, shape: Mapping, tables: Callable[[Mapping], dict[str,
     check_config(settings, shape)
     facts: dict = {}
     for name, df in tables(settings).items():
-        for i, r in enumerate(sorted((x.asDict() for x in df.limit(1_000).collect()), key=str)):  # summaries, not rows
-            if broken := [c for c, v in r.items() if v and c.startswith(("bad_", "missing"))]:
-                raise ContractError(f"{name}: {broken}")
+        checks = [c for c in df.columns if c.startswith(("bad_", "missing"))]
+        counts = df.agg(F.count("*").alias("n"), *(F.count_if(F.col(c).cast("double") != 0).alias(c) for c in checks)).first()
+        if broken := [c for c in checks if counts[c]]:
+            raise ContractError(f"{name}: {broken}")
+        if counts["n"] > listed:
+            whole = row_identity(df, df.columns).first()
+            facts[name] = {"n": whole.n, "identity": whole.identity}
+            continue
+        for i, r in enumerate(sorted((x.asDict() for x in df.collect()), key=str)):
             facts[f"{name}.{i}"] = {c: v if isinstance(v, (bool, int, float, str, type(None))) else str(v) for c, v in r.items()}
     digest = write_manifest(path, {"config_sha256": canonical_sha256(json.loads(json.dumps(settings, default=str))), "facts": facts}, **guards)
     return {"facts": facts, "structural_sha256": digest, "canonical": canonical_json(facts)}

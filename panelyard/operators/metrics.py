@@ -83,7 +83,7 @@ def promotion_gates(challenger: DataFrame, champion: DataFrame, tolerance: float
 
 
 def drift_audit(populations: dict[str, DataFrame], columns: list[str], reference: str = "train") -> DataFrame:
-    """Summary of each column in each population, with how many values lie outside the reference's range.
+    """Summary and nine quantiles of each column in each population, with how many values lie outside the reference's range.
 
     Columns that a population lacks have ``available`` false and no figures. One pass over each
     population, and one more over the reference for its ranges.
@@ -96,10 +96,11 @@ def drift_audit(populations: dict[str, DataFrame], columns: list[str], reference
     ends = long.where(F.col("population") == reference).groupBy("feature").agg(F.min("x").alias("least"), F.max("x").alias("most"))
     outside = F.count_if((F.col("x") < F.col("least")) | (F.col("x") > F.col("most")))
     sums = long.join(F.broadcast(ends), "feature", "left").groupBy("population", "feature", "available", "least", "most").agg(
-        F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.median("x").alias("q50"), outside.alias("outside"), F.count("x").alias("__k")
+        F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.percentile("x", list(QUANTILES)).alias("__q"), outside.alias("outside"), F.count("x").alias("__k")
     )
     share = F.when(F.col("__k") > 0, F.col("outside") / F.col("__k"))
-    return sums.withColumn("outside_share", share).drop("__k")
+    quantiles = {f"q{int(p * 100):02d}": F.get("__q", F.lit(i)) for i, p in enumerate(QUANTILES)}
+    return sums.withColumns({"outside_share": share, **quantiles}).drop("__k", "__q")
 
 
 def finite_percentiles(rows: DataFrame, columns: dict[str, Column], shares: tuple[float, ...] = (0.01, 0.99)) -> DataFrame:

@@ -19,9 +19,10 @@ def integrity(df: DataFrame, key: str) -> DataFrame:
 
 
 def checksum_compare(a: DataFrame, b: DataFrame, columns: list[str], tolerance: float = 1e-10) -> DataFrame:
-    """Sums of both sides, and whether they agree within a relative tolerance."""
+    """Sums of both sides, and whether they agree within a relative tolerance; two nulls agree, one doesn't."""
     one, two = (df.agg(*(F.sum(c).alias(f"{c}_{n}") for c in columns)) for df, n in ((a, "a"), (b, "b")))
-    agree = {f"{c}_agrees": F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= tolerance * F.greatest(F.abs(F.col(f"{c}_a")), F.lit(1.0)) for c in columns}
+    a, b = (lambda c, n=n: F.col(f"{c}_{n}") for n in "ab")
+    agree = {f"{c}_agrees": F.coalesce(F.abs(a(c) - b(c)) <= tolerance * F.greatest(F.abs(a(c)), F.abs(b(c))), a(c).isNull() & b(c).isNull()) for c in columns}
     return one.crossJoin(F.broadcast(two)).withColumns(agree)
 
 

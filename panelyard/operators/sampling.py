@@ -36,16 +36,19 @@ def quota_sample(candidates: DataFrame, quotas: dict[int, int], by: tuple[str, .
 
 
 def sample_violations(sample: DataFrame) -> DataFrame:
-    """Counts that must be 0: duplicates, calendar, provenance and cutoff breaches, non-finite values."""
+    """Counts that must be 0: duplicates, calendar, provenance and cutoff breaches, non-finite values.
+
+    A condition that a null leaves open is broken.
+    """
     key = F.struct("fold_id", *CELL, "target_month", "horizon")
-    return sample.agg(
-        (F.count("*") - F.count_distinct(key)).alias("duplicate_keys"),
-        F.count_if(F.col("target_month") != C.target_month("m")).alias("bad_calendar"),
-        F.count_if(C.months_between("source_month", "target_month") != F.col("horizon")).alias("bad_horizon"),
-        F.count_if(F.col("source_month") > F.col("m")).alias("future_source"),
-        F.count_if(F.col("target_month") > F.col("origin")).alias("past_cutoff"),
-        F.count_if(~(C.finite("target") & C.finite("last_observed"))).alias("non_finite"),
-    )
+    holds = {
+        "bad_calendar": F.col("target_month") == C.target_month("m"),
+        "bad_horizon": (C.months_between("source_month", "target_month") == F.col("horizon")) & F.col("horizon").between(1, 7),
+        "future_source": F.col("source_month") <= F.col("m"),
+        "past_cutoff": F.col("target_month") <= F.col("origin"),
+        "non_finite": C.finite("target") & C.finite("last_observed"),
+    }
+    return sample.agg((F.count("*") - F.count_distinct(key)).alias("duplicate_keys"), *(F.count_if(~F.coalesce(good, F.lit(False))).alias(name) for name, good in holds.items()))
 
 
 def chronological_split(df: DataFrame, month: str = "m", share: float = 0.8) -> DataFrame:

@@ -18,8 +18,9 @@ from ..operators import panel as P
 from ..operators import profile as I
 from ..operators import sampling as S
 from ..operators import statistics as T
+from ..sources import files
 from . import sql
-from .tables import COVARIATES, GROUPS, ORIGIN, World, read
+from .tables import COVARIATES, ENCODING, GROUPS, INDEX, ORIGIN, World, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,7 +52,10 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 # panel
-register("panel_monthly", "SELECT lat2, lon2, m, round(v, 4) v, n, round(urgent, 4) urgent, round(acct, 4) acct FROM panel")(lambda w: rounded(w.panel.drop("target")))
+register("panel_monthly", "SELECT lat2, lon2, m, round(v, 4) v, n, round(urgent, 4) urgent, round(acct, 4) acct FROM panel")(lambda w: rounded(w.panel.select("lat2", "lon2", "m", "v", "n", "urgent", "acct")))
+register("panel_index", "SELECT lat2, lon2, m, round(spei_01, 4) spei_01, round(spei_03, 4) spei_03, round(spei_06, 4) spei_06, round(spei_12, 4) spei_12, round(month_sin, 4) month_sin, round(month_cos, 4) month_cos FROM panel")(
+    lambda w: rounded(w.panel.select("lat2", "lon2", "m", *INDEX, *ENCODING))
+)
 register("panel_target_next_month", "SELECT lat2, lon2, m, round(target, 4) target FROM panel")(lambda w: rounded(w.panel.select("lat2", "lon2", "m", "target")))
 register("panel_location_key", "SELECT DISTINCT lat2, lon2, 'lat2=' || lat2 || ';lon2=' || lon2 location_id, lat2 back_lat2, lon2 back_lon2 FROM panel")(
     lambda w: w.panel.select("lat2", "lon2").distinct().withColumn("location_id", C.location_id()).withColumns(dict(zip(("back_lat2", "back_lon2"), C.parse_location("location_id"), strict=True)))
@@ -78,8 +82,9 @@ register(
     """SELECT * FROM (SELECT fold_id, count(*)::BIGINT cells, (count(*) FILTER (retained))::BIGINT retained_cells, sum(CASE WHEN retained THEN n_rows ELSE 0 END)::BIGINT retained_rows,
   (count(*) FILTER (NOT path_complete))::BIGINT path_incomplete, (count(*) FILTER (path_complete AND NOT target_complete))::BIGINT target_incomplete,
   (count(*) FILTER (path_complete AND target_complete AND NOT history_ok))::BIGINT history_excluded FROM cohorts GROUP BY fold_id)
-JOIN (SELECT fold_id, count(*)::BIGINT "rows", 0::BIGINT null_targets, 0::BIGINT future_sources, (count(*) FILTER (horizon IS DISTINCT FROM expected_horizon))::BIGINT horizon_mismatches,
-  (count(*) FILTER (masked <> (available IS NULL)))::BIGINT mask_mismatches, 0::BIGINT duplicates, 0::BIGINT unaccounted_rows FROM retained GROUP BY fold_id) USING (fold_id)""",
+JOIN (SELECT fold_id, count(*)::BIGINT "rows", (count(*) FILTER (target IS NULL))::BIGINT null_targets, (count(*) FILTER (last_observed_month > input_month))::BIGINT future_sources, (count(*) FILTER (horizon IS DISTINCT FROM expected_horizon))::BIGINT horizon_mismatches,
+  (count(*) FILTER (masked <> (available IS NULL)))::BIGINT mask_mismatches, (count(*) - count(DISTINCT (lat2, lon2, input_month)))::BIGINT duplicates,
+  (count(*) - (SELECT sum(n_rows) FROM cohorts c WHERE c.retained AND c.fold_id = r.fold_id))::BIGINT unaccounted_rows FROM retained r GROUP BY fold_id) USING (fold_id)""",
 )(lambda w: P.fold_audit(w.mapped, w.cohorts, w.retained))
 register("fold_horizon_counts", "SELECT fold_id, horizon, count(*)::BIGINT n FROM retained GROUP BY ALL")(lambda w: w.retained.groupBy("fold_id", "horizon").agg(F.count("*").alias("n")))
 register("fold_band_exclusions", f"SELECT fold_id, {sql.BAND} band, count(*)::BIGINT n, min(lat2) first_lat2 FROM cohorts WHERE NOT retained GROUP BY ALL")(
@@ -113,7 +118,36 @@ register("stratified_sample", "SELECT fold_id, location_id, target_month, horizo
 register("sample_weights", "SELECT fold_id, horizon, population, kept, round(min(sample_weight), 6) sample_weight, round(sum(sample_weight), 3) total FROM sample GROUP BY fold_id, horizon, population, kept")(
     lambda w: w.sample().groupBy("fold_id", "horizon", "population", F.col("retained").alias("kept")).agg(near(F.min("sample_weight"), 6).alias("sample_weight"), near(F.sum("sample_weight"), 3).alias("total"))
 )
-register("sample_validation", "SELECT 0::BIGINT duplicate_keys, 0::BIGINT bad_calendar, 0::BIGINT bad_horizon, (count(*) FILTER (source_month > m))::BIGINT future_source, (count(*) FILTER (target_month > origin))::BIGINT past_cutoff, 0::BIGINT non_finite FROM sample")(lambda w: S.sample_violations(w.sample()))
+_SAMPLE_CHECKS = """(count(*) - count(DISTINCT (fold_id, lat2, lon2, target_month, horizon)))::BIGINT duplicate_keys,
+  (count(*) FILTER (NOT coalesce(target_month = (m + INTERVAL 1 MONTH)::DATE, false)))::BIGINT bad_calendar,
+  (count(*) FILTER (NOT coalesce(date_diff('month', source_month, target_month) = horizon AND horizon BETWEEN 1 AND 7, false)))::BIGINT bad_horizon,
+  (count(*) FILTER (NOT coalesce(source_month <= m, false)))::BIGINT future_source, (count(*) FILTER (NOT coalesce(target_month <= origin, false)))::BIGINT past_cutoff,
+  (count(*) FILTER (NOT coalesce(isfinite(target) AND isfinite(last_observed), false)))::BIGINT non_finite"""
+register("sample_validation", f"SELECT {_SAMPLE_CHECKS} FROM sample")(lambda w: S.sample_violations(w.sample()))
+#: What is broken in which rows of the sample: a column, its value in SQL, and the horizon of the rows.
+_SAMPLE_FAULTS = (("m", "NULL", 1), ("target_month", "(target_month + INTERVAL 1 MONTH)::DATE", 2), ("horizon", "horizon + 5", 3), ("source_month", "NULL", 4), ("source_month", "(m + INTERVAL 2 MONTH)::DATE", 5), ("target", "'NaN'::DOUBLE", 6), ("last_observed", "NULL", 7))
+
+
+def _faulty_sample(w: World) -> DataFrame:
+    values = {
+        "m": [(1, F.lit(None))],
+        "target_month": [(2, C.add_months("target_month", 1))],
+        "horizon": [(3, F.col("horizon") + 5)],
+        "source_month": [(4, F.lit(None)), (5, C.add_months("m", 2))],
+        "target": [(6, F.lit(float("nan")))],
+        "last_observed": [(7, F.lit(None))],
+    }
+    rows = w.sample()
+    out = {c: F.col(c) for c in values}
+    for c, faults in values.items():
+        for h, v in faults:
+            out[c] = F.when(F.col("horizon") == h, v).otherwise(out[c])
+    rows = rows.withColumns({c: v.cast(rows.schema[c].dataType) for c, v in out.items()})
+    return rows.unionByName(rows.where("horizon = 7"))
+
+
+_FAULTY = "faulty AS (SELECT * REPLACE (" + ", ".join(f"(CASE {' '.join(f'WHEN horizon = {h} THEN {v}' for x, v, h in _SAMPLE_FAULTS if x == c)} ELSE {c} END)::{t} AS {c}" for c, t in (("m", "DATE"), ("target_month", "DATE"), ("horizon", "INT"), ("source_month", "DATE"), ("target", "DOUBLE"), ("last_observed", "DOUBLE"))) + ") FROM sample)"
+register("sample_validation_faults", f"SELECT {_SAMPLE_CHECKS} FROM (SELECT * FROM faulty UNION ALL SELECT * FROM faulty WHERE horizon = 7)", _FAULTY)(lambda w: S.sample_violations(_faulty_sample(w)))
 register("validation_features", "SELECT fold_id, lat2, lon2, input_month, horizon, n, round(urgent, 4) urgent, round(acct, 4) acct, round(last_value, 4) last_value FROM feat")(
     lambda w: rounded(w.features().select("fold_id", "lat2", "lon2", "input_month", "horizon", *COVARIATES, "last_value"))
 )
@@ -140,6 +174,16 @@ _HISTORY = ("gap_months", "slope", "season_age_months", "season_difference", "se
 register("history_features", "SELECT fold_id, lat2, lon2, input_month, gap_months, round(slope, 3) slope, season_age_months, round(season_difference, 3) season_difference, second_available, slope_available, season_available FROM history")(
     lambda w: rounded(w.history().select("fold_id", "lat2", "lon2", "input_month", *_HISTORY), 3)
 )
+_ENHANCED = ("second_value", "gap_months", "slope", "season_value", "season_age_months", "season_difference", "spei_01_minus_03", "spei_03_minus_06", "spei_06_minus_12", "anomaly", "lat_sin", "lat_cos", "lon_sin", "lon_cos", "second_available", "slope_available", "season_available", "season_difference_available", "anomaly_available")
+register(
+    "enhanced_features",
+    """SELECT h.fold_id, h.lat2, h.lon2, h.input_month, round(second_value, 3) second_value, gap_months, round(slope, 3) slope, round(season_value, 3) season_value, season_age_months, round(season_difference, 3) season_difference,
+  round(spei_01 - spei_03, 3) spei_01_minus_03, round(spei_03 - spei_06, 3) spei_03_minus_06, round(spei_06 - spei_12, 3) spei_06_minus_12, round(h.acct - coalesce(rm.mean, rc.mean), 3) anomaly,
+  round(sin(radians(h.lat2 / 2.0)), 3) lat_sin, round(cos(radians(h.lat2 / 2.0)), 3) lat_cos, round(sin(radians(h.lon2 / 2.0)), 3) lon_sin, round(cos(radians(h.lon2 / 2.0)), 3) lon_cos,
+  second_available, slope_available, season_available, (season_month IS NOT NULL AND last_value IS NOT NULL)::INT season_difference_available, (coalesce(rm.mean, rc.mean) IS NOT NULL)::INT anomaly_available
+FROM history h LEFT JOIN (SELECT fold_id, lat2, lon2, month(m) cal, avg(acct) mean FROM panel JOIN folds ON m < origin GROUP BY ALL) rm ON rm.fold_id = h.fold_id AND rm.lat2 = h.lat2 AND rm.lon2 = h.lon2 AND rm.cal = month(h.input_month)
+LEFT JOIN (SELECT fold_id, lat2, lon2, avg(acct) mean FROM panel JOIN folds ON m < origin GROUP BY ALL) rc ON rc.fold_id = h.fold_id AND rc.lat2 = h.lat2 AND rc.lon2 = h.lon2""",
+)(lambda w: rounded(w.enhanced().select("fold_id", "lat2", "lon2", "input_month", *_ENHANCED), 3))
 register(
     "feature_availability",
     """SELECT 'overall' family, 'all' "label", round(avg(second_available), 4) second_available, round(avg(season_available), 4) season_available, count(*)::BIGINT n FROM history
@@ -211,8 +255,9 @@ register("metrics_merge", f"SELECT fold_id, {sql.ERRORS} FROM scored GROUP BY fo
 
 
 def _report(w: World, name: str) -> DataFrame:
-    families = {"fold": F.col("fold_id"), "horizon": F.col("horizon"), "mask": F.col("provenance"), "band": band()}
-    return M.sliced(w.baseline(name), families, {"horizon": list(range(1, 8)), "band": [b for _, b in C.LATITUDE_BANDS]})
+    families = {"fold": F.col("fold_id"), "horizon": F.col("horizon"), "mask": F.col("provenance"), "band": band(), **{c: C.index_bin(c) for c in INDEX}}
+    labels = {"horizon": list(range(1, 8)), "band": [b for _, b in C.LATITUDE_BANDS], **{c: [b for _, b in C.INDEX_BINS] for c in INDEX}}
+    return M.sliced(w.indexed(w.baseline(name)), families, labels)
 
 
 _REPORT = "SELECT family, \"label\", n, round(sse, -2) sse, round(rmse, 4) rmse FROM rep"
@@ -221,9 +266,10 @@ _REPORT = "SELECT family, \"label\", n, round(sse, -2) sse, round(rmse, 4) rmse
 def _report_sql(name: str, view: str = "rep", source: str = "scored") -> tuple[str, ...]:
     cols = "count(*)::BIGINT n, sum(pow(prediction - target, 2)) sse, sqrt(avg(pow(prediction - target, 2))) rmse"
     return (
-        sql.scored(name, source),
-        f"{view}0 AS (SELECT 'pooled' family, 'all' \"label\", {cols} FROM {source} UNION ALL SELECT 'fold', fold_id, {cols} FROM {source} GROUP BY fold_id UNION ALL SELECT 'horizon', horizon::VARCHAR, {cols} FROM {source} GROUP BY horizon UNION ALL SELECT 'mask', provenance, {cols} FROM {source} GROUP BY provenance UNION ALL SELECT 'band', {sql.BAND}, {cols} FROM {source} GROUP BY ALL)",
-        f"{view} AS (SELECT family, \"label\", coalesce(n, 0)::BIGINT n, coalesce(sse, 0.0) sse, rmse FROM {view}0 FULL JOIN (SELECT 'horizon' family, x::VARCHAR \"label\" FROM range(1, 8) r(x) UNION ALL SELECT 'band', unnest(['[-90,-60)', '[-60,-30)', '[-30,0)', '[0,30)', '[30,60)', '[60,90]'])) USING (family, \"label\"))",
+        sql.scored(name, f"{source}_plain"),
+        f"{source} AS (SELECT s.*, {', '.join(INDEX)} FROM {source}_plain s JOIN panel p ON p.lat2 = s.lat2 AND p.lon2 = s.lon2 AND p.m = s.input_month)",
+        f"{view}0 AS ({''.join(f"SELECT '{c}' family, {sql.index_bin(c)} \"label\", {cols} FROM {source} GROUP BY ALL UNION ALL " for c in INDEX)}SELECT 'pooled' family, 'all' \"label\", {cols} FROM {source} UNION ALL SELECT 'fold', fold_id, {cols} FROM {source} GROUP BY fold_id UNION ALL SELECT 'horizon', horizon::VARCHAR, {cols} FROM {source} GROUP BY horizon UNION ALL SELECT 'mask', provenance, {cols} FROM {source} GROUP BY provenance UNION ALL SELECT 'band', {sql.BAND}, {cols} FROM {source} GROUP BY ALL)",
+        f"{view} AS (SELECT family, \"label\", coalesce(n, 0)::BIGINT n, coalesce(sse, 0.0) sse, rmse FROM {view}0 FULL JOIN (SELECT 'horizon' family, x::VARCHAR \"label\" FROM range(1, 8) r(x) UNION ALL SELECT 'band', unnest(['[-90,-60)', '[-60,-30)', '[-30,0)', '[0,30)', '[30,60)', '[60,90]']){''.join(f" UNION ALL SELECT '{c}', unnest({sql.INDEX_LABELS})" for c in INDEX)}) USING (family, \"label\"))",
     )
 
 
@@ -255,15 +301,34 @@ register(
     + ", (count(*) FILTER (isnan(l_quantity)))::BIGINT l_quantity_nans FROM lineitem",
     plain=True,
 )(lambda spark, d: I.integrity(read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag"), "l_orderkey"))
-register("checksum_compare", "SELECT round(sum(l_quantity), 2) l_quantity_a, round(sum(l_quantity), 2) l_quantity_b, true l_quantity_agrees FROM lineitem", plain=True)(
-    lambda spark, d: rounded(I.checksum_compare(read(spark, d, "lineitem"), read(spark, d, "lineitem").repartition(7), ["l_quantity"]), 2)
-)
+register(
+    "checksum_compare",
+    "SELECT round(qa, 2) l_quantity_a, round(qb, 2) l_quantity_b, abs(qa - qb) <= 1e-10 * greatest(abs(qa), abs(qb)) l_quantity_agrees, round(ta, 2) l_tax_a, round(tb, 2) l_tax_b, abs(ta - tb) <= 1e-10 * greatest(abs(ta), abs(tb)) l_tax_agrees FROM (SELECT sum(l_quantity) qa, sum(l_quantity + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) qb, sum(l_tax) ta, sum(l_tax) tb FROM lineitem)",
+    plain=True,
+)(lambda spark, d: rounded(I.checksum_compare((t := read(spark, d, "lineitem")), t.withColumn("l_quantity", F.col("l_quantity") + F.when(F.col("l_linenumber") == 7, 1).otherwise(0)), ["l_quantity", "l_tax"]), 2))
 register("distinct_dup_ids", "SELECT count(DISTINCT (user_id, event_type))::BIGINT pairs, count(DISTINCT event_id)::BIGINT ids, (count(*) - count(DISTINCT event_id))::BIGINT duplicates FROM events", plain=True)(
     lambda spark, d: read(spark, d, "events").agg(F.count_distinct(F.struct("user_id", "event_type")).alias("pairs"), F.count_distinct("event_id").alias("ids"), (F.count("*") - F.count_distinct("event_id")).alias("duplicates"))
 )
 register("value_counts", "SELECT event_type \"value\", count(*)::BIGINT n FROM events GROUP BY ALL", plain=True)(lambda spark, d: I.value_counts(read(spark, d, "events"), "event_type"))
-register("structural_violations", "SELECT 0::BIGINT null_keys, 0::BIGINT bad_days, 0::BIGINT bad_ranges, (count(*) FILTER (lat2 % 2 <> 0 OR lon2 % 2 <> 0))::BIGINT off_grid, 0::BIGINT v_not_finite FROM panel")(
-    lambda w: I.structural_violations(w.panel.select("m", (F.col("lat2") / 4).alias("lat"), (F.col("lon2") / 4).alias("lon"), "v"), "m", "lat", "lon", ["v"])
+register(
+    "structural_violations",
+    """SELECT (count(*) FILTER (m IS NULL OR lat IS NULL OR lon IS NULL))::BIGINT null_keys, (count(*) FILTER (day(m) <> 1))::BIGINT bad_days, (count(*) FILTER (abs(lat) > 90 OR abs(lon) > 180))::BIGINT bad_ranges,
+  (count(*) FILTER (lat * 2 <> floor(lat * 2) OR lon * 2 <> floor(lon * 2)))::BIGINT off_grid, (count(*) FILTER (NOT coalesce(isfinite(v), false)))::BIGINT v_not_finite FROM broken""",
+    """broken AS (SELECT CASE WHEN lat2 = 1 THEN NULL WHEN lat2 = 2 THEN m + 3 ELSE m END m, CASE WHEN lat2 = 3 THEN 91.0 ELSE lat2 / 4.0 END::DOUBLE lat,
+  CASE WHEN lat2 = 4 THEN NULL WHEN lat2 = 5 THEN -200.5 ELSE lon2 / 2.0 END::DOUBLE lon, CASE WHEN lat2 = 6 THEN 'NaN'::DOUBLE WHEN lat2 = 7 THEN NULL ELSE v END v FROM panel)""",
+)(
+    lambda w: I.structural_violations(
+        w.panel.select(
+            F.when(F.col("lat2") == 1, None).when(F.col("lat2") == 2, F.date_add("m", 3)).otherwise(F.col("m")).alias("m"),
+            F.when(F.col("lat2") == 3, 91.0).otherwise(F.col("lat2") / 4).alias("lat"),
+            F.when(F.col("lat2") == 4, None).when(F.col("lat2") == 5, -200.5).otherwise(F.col("lon2") / 2).alias("lon"),
+            F.when(F.col("lat2") == 6, float("nan")).when(F.col("lat2") == 7, None).otherwise(F.col("v")).alias("v"),
+        ),
+        "m",
+        "lat",
+        "lon",
+        ["v"],
+    )
 )
 
 # ensembles, ranking, contracts
@@ -291,12 +356,11 @@ _RUNS = " UNION ALL ".join(f"SELECT '{n}' model_name, sqrt(avg(pow(e, 2))) rmse,
 
 
 def _runs(w: World) -> DataFrame:
-    out, rows = None, w.candidates()
+    """Errors of several baselines from one pass over the candidates."""
+    runs = F.array(*(F.struct(F.lit(n).alias("model_name"), F.coalesce(*T.CHAINS[n]).alias("prediction")) for n in _PARTS))
+    rows = w.candidates().select("fold_id", "target", F.inline(runs))
     error = F.pow(F.col("prediction") - F.col("target"), 2)
-    for name in _PARTS:
-        part = T.baseline(rows, name).groupBy("model_name").agg(F.sqrt(F.avg(error)).alias("rmse"), *(F.sqrt(F.avg(F.when(F.col("fold_id") == f, error))).alias(f"rmse_{f.lower()}") for f in ("F01", "F02")))
-        out = part if out is None else out.unionByName(part)
-    return M.run_ranking(out)
+    return M.run_ranking(rows.groupBy("model_name").agg(F.sqrt(F.avg(error)).alias("rmse"), *(F.sqrt(F.avg(F.when(F.col("fold_id") == f, error))).alias(f"rmse_{f.lower()}") for f in ("F01", "F02"))))
 
 
 register(
@@ -317,18 +381,55 @@ def _predictions(w: World, name: str = "persistence") -> DataFrame:
     return K.as_predictions(w.baseline(name), "run-baseline", "c" * 64, "d" * 64, "e" * 64)
 
 
-register(
-    "prediction_contract_violations",
-    "SELECT 0::BIGINT bad_calendar, (count(*) FILTER (horizon NOT BETWEEN 1 AND 7))::BIGINT bad_horizon, 0::BIGINT bad_mask, (count(*) FILTER (prediction IS NULL))::BIGINT bad_prediction, (count(*) FILTER (target IS NULL))::BIGINT bad_actual, 0::BIGINT bad_location, 0::BIGINT duplicate_keys, 0::BIGINT mixed_run_id, 0::BIGINT mixed_model_name, 0::BIGINT mixed_configuration_id, 0::BIGINT mixed_data_manifest_id, 0::BIGINT mixed_validation_id FROM scored",
-    sql.scored("persistence"),
-)(lambda w: K.prediction_violations(_predictions(w)))
+_UNIFORM = ("run_id", "model_name", "configuration_id", "data_manifest_id", "validation_id")
+_CONTRACT = (
+    """SELECT (count(*) FILTER (NOT coalesce((input_month + INTERVAL 1 MONTH)::DATE = target_month, false)))::BIGINT bad_calendar, (count(*) FILTER (NOT coalesce(effective_horizon BETWEEN 1 AND 7, false)))::BIGINT bad_horizon,
+  (count(*) FILTER (NOT coalesce(mask_state IN ('observed', 'masked/unavailable'), false)))::BIGINT bad_mask, (count(*) FILTER (NOT coalesce(isfinite(prediction), false)))::BIGINT bad_prediction,
+  (count(*) FILTER (NOT coalesce(isfinite(validation_actual), false)))::BIGINT bad_actual, (count(*) FILTER (NOT coalesce(regexp_matches(location_id, '^lat2=-?[0-9]+;lon2=-?[0-9]+$'), false)))::BIGINT bad_location,
+  (count(*) FILTER (NOT coalesce(length(fold_id) > 0, false)))::BIGINT bad_fold, (count(*) FILTER (NOT coalesce(length(model_name) > 0, false)))::BIGINT bad_model,
+  (count(*) FILTER (NOT coalesce(regexp_matches(run_id, '^run-[a-z0-9][a-z0-9-]*$'), false)))::BIGINT bad_run_id, """
+    + ", ".join(f"(count(*) FILTER (NOT coalesce(regexp_matches({c}, '^[0-9a-f]{{64}}$'), false)))::BIGINT bad_{c}" for c in _UNIFORM[2:])
+    + ", (count(*) - count(DISTINCT (fold_id, location_id, input_month, target_month)))::BIGINT duplicate_keys, "
+    + ", ".join(f"greatest(count(DISTINCT {c}) - 1, 0)::BIGINT mixed_{c}" for c in _UNIFORM)
+    + " FROM "
+)
+_ROWS = "pred AS (SELECT 'run-baseline' run_id, fold_id, 'lat2=' || lat2 || ';lon2=' || lon2 location_id, input_month, target_month, horizon effective_horizon, provenance mask_state, prediction, target validation_actual, model_name, repeat('c', 64) configuration_id, repeat('d', 64) data_manifest_id, repeat('e', 64) validation_id, lat2 FROM scored)"
+register("prediction_contract_violations", _CONTRACT + "pred", sql.scored("persistence"), _ROWS)(lambda w: K.prediction_violations(_predictions(w)))
+#: A fault for each cell row: column, value in SQL, value in Spark.
+_FAULTS = (
+    ("location_id", "NULL", None), ("target_month", "NULL", None), ("target_month", "input_month", F.col("input_month")), ("effective_horizon", "9", 9), ("effective_horizon", "NULL", None), ("mask_state", "'hidden'", "hidden"),
+    ("mask_state", "NULL", None), ("prediction", "'NaN'::DOUBLE", float("nan")), ("validation_actual", "NULL", None), ("run_id", "'not a run id'", "not a run id"), ("run_id", "NULL", None), ("configuration_id", "'c'", "c"),
+    ("data_manifest_id", "repeat('D', 64)", "D" * 64), ("validation_id", "NULL", None), ("model_name", "''", ""), ("fold_id", "NULL", None), ("location_id", "'lat2=1;lon2=x'", "lat2=1;lon2=x"), ("prediction", "'Infinity'::DOUBLE", float("inf")),
+)
+
+
+def _faulty_predictions(w: World) -> DataFrame:
+    rows = _predictions(w)
+    cell = F.regexp_extract("location_id", "lat2=([0-9]+)", 1).cast("int")
+    rows = rows.withColumn("cell", cell)
+    for i, (column, _, value) in enumerate(_FAULTS):
+        rows = rows.withColumn(column, F.when(F.col("cell") == i, value).otherwise(F.col(column)).cast(rows.schema[column].dataType))
+    return rows.unionByName(rows.where(F.col("cell") == 20)).drop("cell")
+
+
+_BROKEN = "broken AS (SELECT * REPLACE (" + ", ".join(f"CASE {' '.join(f'WHEN lat2 = {i} THEN {v}' for i, (x, v, _) in enumerate(_FAULTS) if x == c)} ELSE {c} END AS {c}" for c in dict.fromkeys(f[0] for f in _FAULTS)) + ") FROM pred)"
+register("prediction_contract_faults", _CONTRACT + "(SELECT * FROM broken UNION ALL SELECT * FROM broken WHERE lat2 = 20)", sql.scored("persistence"), _ROWS, _BROKEN)(lambda w: K.prediction_violations(_faulty_predictions(w)))
 register("prediction_rows", "SELECT fold_id, 'lat2=' || lat2 || ';lon2=' || lon2 location_id, input_month, target_month, horizon effective_horizon, provenance mask_state, round(prediction, 4) prediction, round(target, 4) validation_actual, model_name FROM scored", sql.scored("persistence"))(
     lambda w: rounded(_predictions(w).select("fold_id", "location_id", "input_month", "target_month", "effective_horizon", "mask_state", "prediction", "validation_actual", "model_name"))
 )
-register("id_order_check", "SELECT 0::BIGINT missing, 0::BIGINT extra, 0::BIGINT duplicates, 2::BIGINT displaced", plain=True)(
+register(
+    "id_order_check",
+    """WITH official AS (SELECT event_id::VARCHAR id, event_id o FROM events),
+candidate AS (SELECT CASE WHEN event_id = 5 THEN 'x5' ELSE event_id::VARCHAR END id, CASE event_id WHEN 3 THEN 4 WHEN 4 THEN 3 ELSE event_id END c FROM events WHERE event_id <> 6 UNION ALL SELECT '7', 100000000),
+one AS (SELECT id, count(*) n, min(c) c FROM candidate GROUP BY id)
+SELECT (count(*) FILTER (c IS NULL))::BIGINT missing, (count(*) FILTER (o IS NULL))::BIGINT extra, coalesce(sum(n - 1), 0)::BIGINT duplicates, (count(*) FILTER (o <> c))::BIGINT displaced FROM official FULL JOIN one USING (id)""",
+    plain=True,
+)(
     lambda spark, d: K.id_order_violations(
         (e := read(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("ordinal"))),
-        e.withColumn("ordinal", F.when(F.col("ordinal") == 3, 4).when(F.col("ordinal") == 4, 3).otherwise(F.col("ordinal"))),
+        e.where("ordinal <> 6")
+        .select(F.when(F.col("ordinal") == 5, "x5").otherwise(F.col("id")).alias("id"), F.when(F.col("ordinal") == 3, 4).when(F.col("ordinal") == 4, 3).otherwise(F.col("ordinal")).alias("ordinal"))
+        .unionByName(spark.range(1).select(F.lit("7").alias("id"), F.lit(100000000).cast("bigint").alias("ordinal"))),
     )
 )
 register("pivot_grid", "SELECT lat2, round(max(v) FILTER (lon2 = 0), 4) lon_0, round(max(v) FILTER (lon2 = 1), 4) lon_1 FROM panel WHERE m = DATE '1999-01-01' GROUP BY lat2")(lambda w: rounded(X.pivot_grid(w.panel.where("m = date '1999-01-01'"), "v", [0, 1])))
@@ -354,11 +455,11 @@ register(
     "WITH x AS ("
     + " UNION ALL ".join(f"SELECT '{k}' population, 'o_totalprice' feature, o_totalprice x FROM orders WHERE {c} UNION ALL SELECT '{k}', 'o_custkey', o_custkey::DOUBLE FROM orders WHERE {c}" for k, c in _POPULATIONS.items())
     + """), e AS (SELECT feature, min(x) least, max(x) most FROM x WHERE population = 'train' GROUP BY feature)
-SELECT population, feature, true available, round(least, 4) least, round(most, 4) most, count(*)::BIGINT n, (count(*) FILTER (x IS NULL))::BIGINT missing, round(min(x), 4) lo, round(max(x), 4) hi, round(avg(x), 3) mean, round(stddev_pop(x), 3) std, round(median(x), 4) q50,
+SELECT population, feature, true available, round(least, 4) least, round(most, 4) most, count(*)::BIGINT n, (count(*) FILTER (x IS NULL))::BIGINT missing, round(min(x), 4) lo, round(max(x), 4) hi, round(avg(x), 3) mean, round(stddev_pop(x), 3) std, """ + _Q + """,
   (count(*) FILTER (x < least OR x > most))::BIGINT outside, round((count(*) FILTER (x < least OR x > most)) / count(x), 6) outside_share FROM x JOIN e USING (feature) GROUP BY ALL""",
     plain=True,
 )(
-    lambda spark, d: (lambda o: M.drift_audit({k: o.where(c.replace("TIMESTAMP", "timestamp_ntz")) for k, c in _POPULATIONS.items()}, ["o_totalprice", "o_custkey"]))(read(spark, d, "orders").select("o_orderdate", "o_totalprice", "o_custkey")).select("population", "feature", "available", near("least").alias("least"), near("most").alias("most"), "n", "missing", near("lo").alias("lo"), near("hi").alias("hi"), near("mean", 3).alias("mean"), near("std", 3).alias("std"), near("q50").alias("q50"), "outside", near("outside_share", 6).alias("outside_share"))
+    lambda spark, d: (lambda o: M.drift_audit({k: o.where(c.replace("TIMESTAMP", "timestamp_ntz")) for k, c in _POPULATIONS.items()}, ["o_totalprice", "o_custkey"]))(read(spark, d, "orders").select("o_orderdate", "o_totalprice", "o_custkey")).select("population", "feature", "available", near("least").alias("least"), near("most").alias("most"), "n", "missing", near("lo").alias("lo"), near("hi").alias("hi"), near("mean", 3).alias("mean"), near("std", 3).alias("std"), *(near(f"q{int(q * 100):02d}").alias(f"q{int(q * 100):02d}") for q in M.QUANTILES), "outside", near("outside_share", 6).alias("outside_share"))
 )
 register("map_percentiles", "SELECT round(quantile_cont(prediction, 0.01), 4) prediction_p01, round(quantile_cont(prediction, 0.99), 4) prediction_p99, round(quantile_cont(abs(prediction - target), 0.01), 4) error_p01, round(quantile_cont(abs(prediction - target), 0.99), 4) error_p99 FROM scored", sql.scored("persistence"))(
     lambda w: rounded(M.finite_percentiles(w.baseline("persistence"), {"prediction": F.col("prediction"), "error": F.abs(F.col("prediction") - F.col("target"))}))
@@ -377,6 +478,74 @@ register(
     f"WITH a AS ({_NUMBERS}), b AS (SELECT id, ordinal FROM a WHERE id <> '7' UNION ALL SELECT '8', 7) SELECT (SELECT count(*) FROM a) = (SELECT count(*) FROM b) same_count, bool_and(x.o IS NOT DISTINCT FROM y.o) same_order, bool_and(x.n IS NOT DISTINCT FROM 1 AND y.n IS NOT DISTINCT FROM 1) each_once FROM (SELECT id, count(*) n, min(ordinal) o FROM a GROUP BY id) x FULL JOIN (SELECT id, count(*) n, min(ordinal) o FROM b GROUP BY id) y USING (id)",
     plain=True,
 )(lambda spark, d: (lambda e: G.id_relationship(e, e.where("id <> '7'").unionByName(spark.range(1).select(F.lit("8").alias("id"), F.lit(7).cast("long").alias("ordinal")))))(read(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("ordinal"))))
+_IDENTITY = ("fold_id", "location_id", "input_month", "target_month", "effective_horizon", "mask_state")
+register(
+    "identity_keys",
+    f"SELECT count(*)::BIGINT n, sum(('0x' || substring(sha256(concat_ws(chr(31), {', '.join(f'{c}::VARCHAR' for c in _IDENTITY)})), 1, 15))::BIGINT)::VARCHAR \"identity\" FROM pred",
+    sql.scored("persistence"),
+    _ROWS,
+)(lambda w: K.row_identity(_predictions(w), _IDENTITY))
+
+# sources and sinks: each writes new files below the shared folder and reads them back
+register("csv_round_trip", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate::DATE o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'a \"b\", ' || o_orderpriority END note FROM orders", plain=True)(
+    lambda spark, d: files.csv_round_trip(
+        read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit('a "b", '), "o_orderpriority")).alias("note")),
+        files.scratch(spark, "orders-csv"),
+    )
+)
+
+
+def _parquet_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "orders-parts")
+    files.write_parquet(read(spark, sf_dir, "orders"), path, partition_by=["o_orderstatus"], sort_by=["o_orderkey"])
+    return files.read_parquet(spark, path, ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderstatus <> 'O' and o_orderkey > 100")
+
+
+register("parquet_partitions", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey > 100", plain=True)(_parquet_parts)
+_LOSSES = {"c_name": "int", "c_acctbal": "int", "c_mktsegment": "date", "c_nationkey": "double"}
+register("cast_losses", "SELECT (count(*) FILTER (c_name IS NOT NULL AND TRY_CAST(c_name AS INT) IS NULL))::BIGINT c_name, 0::BIGINT + (count(*) FILTER (abs(c_acctbal) > 2147483647))::BIGINT c_acctbal, (count(*) FILTER (TRY_CAST(c_mktsegment AS DATE) IS NULL))::BIGINT c_mktsegment, (count(*) FILTER (TRY_CAST(c_nationkey AS DOUBLE) IS NULL))::BIGINT c_nationkey FROM customer", plain=True)(
+    lambda spark, d: G.cast_losses(read(spark, d, "customer").withColumn("c_acctbal", F.floor("c_acctbal")), _LOSSES)
+)
+
+
+def _submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A submission of all events, written, read as text and checked against a list that lacks one id and has another."""
+    events = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("ID"), F.col("value").alias("Target"), F.col("event_id").alias("ordinal"))
+    path = files.scratch(spark, "submission")
+    files.write_lines(events, path, ["ID", "Target"], "ordinal")
+    sent = files.read_ordered(spark, path, "ID string, Target string")
+    official = events.select(F.when(F.col("ordinal") == 7, "x7").otherwise(F.col("ID")).alias("id"), "ordinal").where("ordinal <> 9")
+    start = events.agg(F.min("ordinal").alias("start"))
+    return files.submission_violations(official, sent.crossJoin(F.broadcast(start)).withColumn("ordinal", F.col("ordinal") + F.col("start")).drop("start"))
+
+
+register("submission_check", "SELECT 1::BIGINT * (count(*) FILTER (event_id = 7)) missing, (count(*) FILTER (event_id IN (7, 9)))::BIGINT extra, (count(*) - count(DISTINCT event_id))::BIGINT duplicates, (count(*) FILTER (event_id NOT IN (7, 9) AND event_id <> rn))::BIGINT displaced, (count(*) FILTER (\"value\" IS NULL))::BIGINT bad_numbers FROM (SELECT event_id, \"value\", row_number() OVER (ORDER BY event_id) - 1 + min(event_id) OVER () rn FROM events)", plain=True)(_submission)
+
+
+def _evidence(w: World) -> DataFrame:
+    """Reports of two baselines against records of which one has another error and counts a row too many."""
+    names = ("persistence", "location_mean")
+    reports = None
+    for n in names:
+        part = _report(w, n).select(F.lit(n).alias("run_id"), "family", "label", "n", "rmse")
+        reports = part if reports is None else reports.unionByName(part)
+    facts = G.evidence_facts(reports)
+    wrong = (F.col("run_id") == "persistence") & F.col("fact").isin("rmse", "fold rows")
+    records = facts.where("fact <> 'band slices'").withColumn("value", F.when(wrong, F.col("value") + 1).otherwise(F.col("value")))
+    return G.evidence_mismatches(records, reports)
+
+
+_FACTS = " UNION ALL ".join(
+    f"SELECT '{r}' run_id, CASE WHEN family = 'pooled' THEN 'rmse' ELSE family || ' slices' END fact, CASE WHEN family = 'pooled' THEN max(rmse) ELSE count(*)::DOUBLE END \"value\" FROM {v} GROUP BY family UNION ALL SELECT '{r}', CASE WHEN family = 'pooled' THEN 'rows' ELSE family || ' rows' END, sum(n)::DOUBLE FROM {v} GROUP BY family"
+    for r, v in (("persistence", "ra"), ("location_mean", "rb"))
+)
+register(
+    "evidence_mismatches",
+    "SELECT run_id, fact, CASE WHEN fact <> 'band slices' THEN round(\"value\" + 1, 4) END recorded, round(\"value\", 4) reported FROM facts WHERE fact = 'band slices' OR (run_id = 'persistence' AND fact IN ('rmse', 'fold rows'))",
+    *_report_sql("persistence", "ra", "sa"),
+    *_report_sql("location_mean", "rb", "sb"),
+    f"facts AS ({_FACTS})",
+)(lambda w: rounded(_evidence(w)))
 # rows only: hashes of doubles' bits and fitted trees have no twin in SQL
 _FEATURES = ["horizon", *COVARIATES, "last_observed"]
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 _QUOTAS = "(1,200),(2,150),(3,100),(4,80),(5,60),(6,40),(7,20)"
+_INDEX = ", ".join(f"(5 * sum(us) OVER w{k} - sum(n) OVER w{k})::DOUBLE / (2 * sqrt((sum(n) OVER w{k})::DOUBLE)) spei_{k:02d}" for k in (1, 3, 6, 12))
+_PAST = ", ".join(f"w{k} AS (PARTITION BY lat2, lon2 ORDER BY m ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (1, 3, 6, 12))
 WITH = f"""
 WITH base AS (
-  SELECT c_nationkey::BIGINT lat2, (c_custkey % 2)::BIGINT lon2, date_trunc('month', o_orderdate)::DATE m, o_totalprice,
+  SELECT c_nationkey::BIGINT lat2, floor((c_custkey - 1) / 500)::BIGINT lon2, date_trunc('month', o_orderdate)::DATE m, o_totalprice,
          (CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)::DOUBLE u, c_acctbal
   FROM orders JOIN customer ON o_custkey = c_custkey),
-p0 AS (SELECT lat2, lon2, m, avg(o_totalprice) v, count(*)::BIGINT n, avg(u) urgent, avg(c_acctbal) acct FROM base GROUP BY lat2, lon2, m),
-panel AS (SELECT a.*, b.v target FROM p0 a LEFT JOIN p0 b ON a.lat2 = b.lat2 AND a.lon2 = b.lon2 AND b.m = (a.m + INTERVAL 1 MONTH)::DATE),
+p0 AS (SELECT lat2, lon2, m, avg(o_totalprice) v, count(*)::BIGINT n, avg(u) urgent, avg(c_acctbal) acct, sum(u) us FROM base GROUP BY lat2, lon2, m),
+p1 AS (SELECT lat2, lon2, m, v, n, urgent, acct, {_INDEX},
+  sin(month(m) * 2 * pi() / 12) month_sin, cos(month(m) * 2 * pi() / 12) month_cos FROM p0 WINDOW {_PAST}),
+panel AS (SELECT a.*, b.v target FROM p1 a LEFT JOIN p0 b ON a.lat2 = b.lat2 AND a.lon2 = b.lon2 AND b.m = (a.m + INTERVAL 1 MONTH)::DATE),
 folds(fold_id, origin) AS (VALUES ('F01', DATE '1997-01-01'), ('F02', DATE '1998-06-01')),
 win AS (SELECT lat2, lon2, m, date_diff('month', DATE '2000-01-01', m)::INT rel FROM panel WHERE m >= DATE '2000-01-01' AND m < DATE '2000-08-01'),
 win2 AS (SELECT *, row_number() OVER (PARTITION BY lat2, lon2 ORDER BY m) > 1 AND (lat2*7 + lon2*3 + rel) % 3 <> 0 masked FROM win),
@@ -61,7 +65,7 @@ quotas(horizon, quota) AS (VALUES {_QUOTAS}),
 ranked AS (SELECT e.*, row_number() OVER (PARTITION BY fold_id, horizon ORDER BY selection_hash, target_month, location_id) rk, count(*) OVER (PARTITION BY fold_id, horizon) population FROM examples e),
 sample AS (SELECT ranked.*, least(population, quota)::BIGINT kept, population::DOUBLE / least(population, quota) sample_weight FROM ranked JOIN quotas USING (horizon) WHERE rk <= quota),
 feat AS (
-  SELECT r.*, p.n, p.urgent, p.acct, q.v last_value FROM retained r JOIN panel p ON p.lat2 = r.lat2 AND p.lon2 = r.lon2 AND p.m = r.input_month
+  SELECT r.*, p.n, p.urgent, p.acct, p.spei_01, p.spei_03, p.spei_06, p.spei_12, p.month_sin, p.month_cos, q.v last_value FROM retained r JOIN panel p ON p.lat2 = r.lat2 AND p.lon2 = r.lon2 AND p.m = r.input_month
   JOIN panel q ON q.lat2 = r.lat2 AND q.lon2 = r.lon2 AND q.m = r.last_observed_month
   WHERE r.last_observed_month <= r.input_month AND date_diff('month', r.last_observed_month, r.target_month) = r.horizon),
 known AS (SELECT lat2, lon2, m, v FROM panel WHERE v IS NOT NULL),
@@ -118,3 +122,8 @@ def scored(name: str, view: str = "scored") -> str:
 
 ERRORS = "count(*)::BIGINT n, round(sum(pow(prediction - target, 2)), -2) sse, round(sqrt(avg(pow(prediction - target, 2))), 4) rmse"
 BAND = "CASE WHEN lat2*5-60 < -60 THEN '[-90,-60)' WHEN lat2*5-60 < -30 THEN '[-60,-30)' WHEN lat2*5-60 < 0 THEN '[-30,0)' WHEN lat2*5-60 < 30 THEN '[0,30)' WHEN lat2*5-60 < 60 THEN '[30,60)' ELSE '[60,90]' END"
+INDEX_LABELS = "['(-inf,-2)', '[-2,-1.5)', '[-1.5,-1)', '[-1,1)', '[1,1.5)', '[1.5,2)', '[2,inf)']"
+
+
+def index_bin(c: str) -> str:
+    return f"CASE WHEN {c} < -2 THEN '(-inf,-2)' WHEN {c} < -1.5 THEN '[-2,-1.5)' WHEN {c} < -1 THEN '[-1.5,-1)' WHEN {c} < 1 THEN '[-1,1)' WHEN {c} < 1.5 THEN '[1,1.5)' WHEN {c} < 2 THEN '[1.5,2)' ELSE '[2,inf)' END"

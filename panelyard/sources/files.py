@@ -6,9 +6,12 @@ import csv
 import hashlib
 import json
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,9 +70,16 @@ def file_facts(path: str) -> dict:
 
 
 def with_ordinal(spark: SparkSession, path: str, column: str = "id") -> DataFrame:
-    """Lines of an ordered list of ids (header first) with their place in the file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("ordinal", column))
-    return lines.where("ordinal > 0")
+    """Lines of an ordered list of ids (header first) with their place in the file, from 1 on.
+
+    Lines are read in splits and numbered split by split, in the file's order; a file's size has no limit.
+    """
+    lines = spark.read.text(path).where("value <> ''").select(F.rtrim("value").alias(column), F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("at"), "_metadata.file_block_start")
+    counts = lines.groupBy("file_block_start", "split").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file_block_start", "split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("file_block_start", "split", "least", before.alias("before"))  # a row for each split
+    out = lines.join(F.broadcast(starts), ["file_block_start", "split"]).withColumn("ordinal", (F.col("before") + F.col("at") - F.col("least")).cast("bigint"))
+    return out.where("ordinal > 0").select("ordinal", column)
 
 
 def strict_yaml(text: str):
@@ -100,6 +110,38 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the folder that driver and executors share (a temporary one in local mode)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        shared = f"file://{tempfile.mkdtemp(prefix='panelyard-')}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_round_trip(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as CSV with a header, in parts, and read back by its schema; quotes and nulls survive."""
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    return df.sparkSession.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).option("escape", '"').schema(df.schema).csv(path)
+
+
+def write_lines(df: DataFrame, path: str, columns: list[str], order: str) -> None:
+    """CSV parts whose names sort as ``order`` does: ranges of it, each sorted; doubles with all their digits."""
+    df.repartitionByRange(order).sortWithinPartitions(order).select(*columns).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def read_ordered(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of such parts with their place in the whole, from 0 on, as ``ordinal``."""
+    rows = spark.read.option("header", True).schema(schema).csv(path).select("*", "_metadata.file_path", F.monotonically_increasing_id().alias("at"))
+    parts = rows.groupBy("file_path").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file_path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("file_path", before.alias("before"))  # a row for each file
+    place = F.row_number().over(W.partitionBy("file_path").orderBy("at")) - 1
+    out = rows.join(F.broadcast(starts), "file_path").withColumn("ordinal", (F.col("before") + place).cast("bigint"))
+    return out.drop("file_path", "at", "before")
+
+
 def write_json(value, path: str) -> None:
     """Sorted, compact JSON, replaced as a whole."""
     _replace(path, json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False) + "\n")

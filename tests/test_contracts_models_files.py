@@ -10,13 +10,13 @@ from panelyard.operators import profile as I
 from panelyard.sources import files
 from panelyard.streaming.monthly import monthly_means
 
-ROW = ("run-a", "F01", "lat2=1;lon2=1", dt.date(2000, 1, 1), dt.date(2000, 2, 1), 1, "observed", 1.0, 2.0, "m", "c", "d", "v")
+ROW = ("run-a", "F01", "lat2=1;lon2=1", dt.date(2000, 1, 1), dt.date(2000, 2, 1), 1, "observed", 1.0, 2.0, "m", "c" * 64, "d" * 64, "e" * 64)
 SCHEMA = "run_id string, fold_id string, location_id string, input_month date, target_month date, effective_horizon int, mask_state string, prediction double, validation_actual double, model_name string, configuration_id string, data_manifest_id string, validation_id string"
 
 
 @pytest.mark.parametrize(
     ("column", "value", "count"),
-    [("target_month", dt.date(2000, 3, 1), "bad_calendar"), ("effective_horizon", 8, "bad_horizon"), ("mask_state", "x", "bad_mask"), ("prediction", float("nan"), "bad_prediction"), ("location_id", "lat2=a", "bad_location")],
+    [("target_month", dt.date(2000, 3, 1), "bad_calendar"), ("effective_horizon", 8, "bad_horizon"), ("mask_state", "x", "bad_mask"), ("prediction", float("nan"), "bad_prediction"), ("location_id", "lat2=a", "bad_location"), ("run_id", "not a run id", "bad_run_id"), ("validation_id", "v", "bad_validation_id"), ("location_id", None, "bad_location"), ("target_month", None, "bad_calendar"), ("effective_horizon", None, "bad_horizon"), ("mask_state", None, "bad_mask"), ("run_id", None, "bad_run_id")],
 )
 def test_prediction_contract(spark, column, value, count):
     good = spark.createDataFrame([ROW], SCHEMA)
@@ -24,6 +24,7 @@ def test_prediction_contract(spark, column, value, count):
     bad = good.withColumn(column, F.lit(value).cast(good.schema[column].dataType))
     assert K.prediction_violations(bad).collect()[0][count] == 1
     assert K.prediction_violations(good.unionAll(good)).collect()[0]["duplicate_keys"] == 1
+    assert set(K.prediction_violations(good.limit(0)).collect()[0]) == {0}
 
 
 def test_identities(spark):

@@ -4,7 +4,6 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelyard.operators import features as X
 from panelyard.operators import governance as G
@@ -78,13 +77,14 @@ def report():
     }
 
 
-def test_evidence():
-    record = {"run_id": "run-a", "overall_cv_rmse": "0.5", "runtime_seconds": "1.0", "peak_memory_mb": "2.0", "decision": "keep", "decision_reason": "r"}
-    assert G.evidence_violations(record, report(), 2) == []
-    broken = report()
-    del broken["metrics"]["spei"], broken["metrics"]["horizon"]["7"]
-    broken["metrics"]["pooled"] = {"count": 2, "rmse": math.inf}
-    assert set(G.evidence_violations(record | {"decision": "drop"}, broken, 3)) == {"coverage", "family spei", "horizons", "non-finite", "overall_cv_rmse", "decision"}
+def test_evidence(spark):
+    slices = [("pooled", "all", 4, 0.5), ("fold", "F01", 3, 0.4), ("fold", "F02", 1, 0.9), ("horizon", "1", 4, 0.5)]
+    reports = spark.createDataFrame([("run-a", *s) for s in slices] + [("run-b", "pooled", "all", 4, float("nan"))], "run_id string, family string, label string, n long, rmse double")
+    right = [("run-a", "rmse", 0.5), ("run-a", "rows", 4.0), ("run-a", "fold rows", 4.0), ("run-a", "fold slices", 2.0), ("run-a", "horizon rows", 4.0)]
+    records = spark.createDataFrame([*right, ("run-a", "horizon slices", 7.0), ("run-b", "rows", 5.0), ("run-c", "rows", 4.0)], "run_id string, fact string, value double")
+    got = {(r.run_id, r.fact) for r in G.evidence_mismatches(records, reports).collect()}
+    assert got == {("run-a", "horizon slices"), ("run-b", "rows"), ("run-b", "rmse"), ("run-c", "rows")}
+    assert G.evidence_mismatches(records.limit(0), reports.limit(0)).count() == 0
 
 
 def test_nested_report(spark):
@@ -111,13 +111,12 @@ def test_resumable(spark, tmp_path):
         G.resumable(spark, f"{path}2", "a", build, ["id"])
 
 
-def test_sizing_and_types():
-    gib = G.GIB
-    assert G.memory_headroom(10 * gib, 16 * gib) == 10 * gib - int(16 * gib * 0.3)
-    assert [G.workload_class(x * gib, 8 * gib, 16 * gib) for x in (1, 5, 50, 0)] == ["fits now", "fits an idle machine", "needs a larger machine", "fits now"]
+def test_sizing_and_types(spark):
     assert G.training_bytes(10, 4) == 10 * 28 * 3
-    schema = T.StructType([T.StructField("ID", T.LongType()), T.StructField("time", T.StringType()), T.StructField("x", T.FloatType()), T.StructField("TWS_t_masked", T.StringType()), T.StructField("k", T.IntegerType())])
-    assert [f.dataType.simpleString() for f in G.recommended_types(schema)] == ["string", "date", "double", "boolean", "int"]
+    df = spark.createDataFrame([("7", "2001-02-03", "1.5"), ("8", None, "x"), (None, "2001-02-30", None)], "ID string, time string, y string")
+    assert G.cast_losses(df, {"time": "date", "y": "double"}).first().asDict() == {"time": 1, "y": 1}
+    assert G.lossless_types(df, {"ID": "bigint", "time": "date", "absent": "int"}) == {"ID": "bigint", "time": "string", "y": "string"}
+    assert G.lossless_types(df.limit(1), {"time": "date", "y": "double"}) == {"ID": "string", "time": "date", "y": "double"}
     assert G.profile_differences({"a": 1, "b": 2}, {"a": 1, "b": 3}) == {"b": (2, 3)}
     joined = G.joined_reports({"t": {"n_rows": 2, "csv_bytes": 10, "parquet_bytes": 5}}, {"t": {"line_feeds": 3}})
     assert joined["parquet_bytes"] == 5 and joined["datasets"]["t"]["rows_match_lines"] and joined["datasets"]["t"]["size_ratio"] == 2
@@ -132,6 +131,10 @@ def test_audit(spark, tmp_path):
     assert out["structural_sha256"] == G.run_audit(text, shape, tables, tmp_path / "n.json")["structural_sha256"]
     with pytest.raises(G.ContractError, match="bad_rows"):
         G.run_audit(text, shape, lambda c: {"folds": spark.createDataFrame([(1,)], "bad_rows int")}, tmp_path / "o.json")
+    many = spark.range(3_000).select((F.col("id") == 2_999).cast("int").alias("bad_rows"), "id")
+    with pytest.raises(G.ContractError, match="bad_rows"):
+        G.run_audit(text, shape, lambda c: {"folds": many}, tmp_path / "q.json")
+    assert G.run_audit(text, shape, lambda c: {"folds": many.where("id < 2999")}, tmp_path / "r.json")["facts"]["folds"]["n"] == 2_999
     with pytest.raises(ValueError, match="repeated key"):
         G.run_audit(text + "origin: F02\n", shape, tables, tmp_path / "p.json")
 
