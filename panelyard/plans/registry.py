@@ -397,7 +397,7 @@ _ROWS = "pred AS (SELECT 'run-baseline' run_id, fold_id, 'lat2=' || lat2 || ';lo
 register("prediction_contract_violations", _CONTRACT + "pred", sql.scored("persistence"), _ROWS)(lambda w: K.prediction_violations(_predictions(w)))
 #: A fault for each cell row: column, value in SQL, value in Spark.
 _FAULTS = (
-    ("location_id", "NULL", None), ("target_month", "NULL", None), ("target_month", "input_month", F.col("input_month")), ("effective_horizon", "9", 9), ("effective_horizon", "NULL", None), ("mask_state", "'hidden'", "hidden"),
+    ("location_id", "NULL", None), ("target_month", "NULL", None), ("target_month", "input_month", lambda: F.col("input_month")), ("effective_horizon", "9", 9), ("effective_horizon", "NULL", None), ("mask_state", "'hidden'", "hidden"),
     ("mask_state", "NULL", None), ("prediction", "'NaN'::DOUBLE", float("nan")), ("validation_actual", "NULL", None), ("run_id", "'not a run id'", "not a run id"), ("run_id", "NULL", None), ("configuration_id", "'c'", "c"),
     ("data_manifest_id", "repeat('D', 64)", "D" * 64), ("validation_id", "NULL", None), ("model_name", "''", ""), ("fold_id", "NULL", None), ("location_id", "'lat2=1;lon2=x'", "lat2=1;lon2=x"), ("prediction", "'Infinity'::DOUBLE", float("inf")),
 )
@@ -408,7 +408,7 @@ def _faulty_predictions(w: World) -> DataFrame:
     cell = F.regexp_extract("location_id", "lat2=([0-9]+)", 1).cast("int")
     rows = rows.withColumn("cell", cell)
     for i, (column, _, value) in enumerate(_FAULTS):
-        rows = rows.withColumn(column, F.when(F.col("cell") == i, value).otherwise(F.col(column)).cast(rows.schema[column].dataType))
+        rows = rows.withColumn(column, F.when(F.col("cell") == i, value() if callable(value) else value).otherwise(F.col(column)).cast(rows.schema[column].dataType))
     return rows.unionByName(rows.where(F.col("cell") == 20)).drop("cell")
 
 
