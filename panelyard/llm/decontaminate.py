@@ -14,12 +14,11 @@ from ._common import byte_slices, string_bytes
 Q = 10
 #: q-grams that an occurrence must share at least, where an item may have edits.
 LEAST = 4
-#: Bytes of index for each byte of items: code, item, place and first place of a gram.
-INDEX_BYTES = 24
+#: Bytes of index for each byte of items: a gram's code, item, place and first place, and up to 128 cells.
+INDEX_BYTES = 152
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
-_TABLE_BITS = 22
 FAR = 1 << 30
 
 
@@ -34,8 +33,8 @@ def _codes(data: np.ndarray, q: int) -> np.ndarray:
     return eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ eight[q - 8 :][:n]
 
 
-def _cells(codes: np.ndarray) -> np.ndarray:
-    return ((codes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+def _cells(codes: np.ndarray, bits: int) -> np.ndarray:
+    return ((codes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def gram_size(size: int, edits: int) -> int:
@@ -105,8 +104,9 @@ class GramIndex:
         self.item, self.place = item[order], place[order]
         self.grams, first = np.unique(flat[order], return_index=True)
         self.first = np.append(first, len(flat)).astype(np.int32)
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[_cells(self.grams)] = True
+        self.bits = (64 * len(self.grams) + 1).bit_length()  # one cell in 64 or fewer is taken
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[_cells(self.grams, self.bits)] = True
 
     def regions(self, data: np.ndarray, offsets: np.ndarray):
         """(document, item, least diagonal, greatest diagonal) of bands that share enough q-grams.
@@ -117,7 +117,7 @@ class GramIndex:
         if not len(self.grams):
             return
         codes = _codes(data, self.q)
-        at = np.flatnonzero(self.table[_cells(codes)])
+        at = np.flatnonzero(self.table[_cells(codes, self.bits)])
         row = np.searchsorted(self.grams, codes[at])
         good = self.grams[np.minimum(row, len(self.grams) - 1)] == codes[at]
         at, row = at[good], row[good]

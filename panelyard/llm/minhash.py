@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_slices, cut, mix, string_bytes
+from ._common import byte_slices, cut, give_back, mix, string_bytes
 from .components import connected_components
 from .substring_dedup import RangeHash, Words
 
@@ -136,7 +136,7 @@ def links(nodes: list[int], label: list[int], matrix: np.ndarray, sets: list[np.
 
 
 def intersections(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of each set of ``one`` with each of ``two``, by products of incidence blocks."""
+    """Sizes of the intersections of each set of ``one`` with each of ``two``, by common bits of incidence blocks."""
     both = [*one, *two]
     owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
     _, member, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
@@ -149,9 +149,11 @@ def intersections(one: list[np.ndarray], two: list[np.ndarray], width: int = 409
     out = np.zeros((len(one), len(two)), np.int64)
     for low in range(0, int(several.sum()), width):
         x, y = np.searchsorted(member, (low, low + width))
-        has = np.zeros((len(both), width), np.float32)
-        has[owner[x:y], member[x:y] - low] = 1
-        out += (has[: len(one)] @ has[len(one) :].T).astype(np.int64)
+        has = np.zeros((len(both), width), bool)
+        has[owner[x:y], member[x:y] - low] = True
+        bits = np.packbits(has, axis=1).view(np.uint64)
+        for i in range(len(one)):
+            out[i] += np.bitwise_count(bits[i] & bits[len(one) :]).sum(1, dtype=np.int64)
     return out
 
 
@@ -294,6 +296,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         matrix = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(group.num_rows, hashes)
         sets = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
         found = links(group.column("node").to_pylist(), group.column("label").to_pylist(), matrix, sets, percent, fewest, group.column("side").to_numpy())
+        give_back()
         return pa.Table.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     met = dealt.join(signs, "node").join(sets, "node").groupBy("key", "class", "a", "b").applyInArrow(join_up, "u long, v long")
