@@ -166,7 +166,7 @@ def _table(key: list[int], kind: list[int], payload: list[bytes]):
 def _send(chunk: Chunk, number: int, a: Anchors, buckets: int):
     e = Entries(a, chunk.ids, buckets)
     keys, blobs = e.buckets.astype(np.int64).tolist(), []
-    for x, y in zip(e.edges.tolist(), [*e.edges[1:].tolist(), len(e.anchor)], strict=True):
+    for x, y in zip(e.edges.tolist(), np.append(e.edges, len(e.anchor))[1:].tolist(), strict=True):
         own = e.anchor[x:y]
         blobs.append(pack_entries(number, a.hash[own], a.context[own], a.left[own], a.right[own], e.min_doc[x:y]))
     return _table(keys, [0] * len(keys), blobs)
@@ -233,7 +233,7 @@ def _apply(m: Method, chunk: Chunk, number: int, symbols, a: Anchors, replies: l
         b = buckets_of(route, buckets)
         order = np.argsort(b, kind="stable")
         filled, edges = np.unique(b[order], return_index=True)
-        for i, x, y in zip(filled.tolist(), edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+        for i, x, y in zip(filled.tolist(), edges.tolist(), np.append(edges, len(order))[1:].tolist(), strict=True):
             keys.append(i)
             kinds.append(1)
             blobs.append(make(order[x:y], number))
