@@ -7,10 +7,10 @@ read again. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm._common import delete, fresh_path, table
+from panelyard.llm._common import delete, fresh_path, release, table
 from panelyard.llm.decontaminate import keep_clean as without_leaks
 from panelyard.llm.minhash import near_duplicates
 from panelyard.llm.packing import pack_documents
@@ -27,11 +27,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A number for each row of files: its file's place among all files, and its place in the file."""
-    places = {r[0]: i for i, r in enumerate(docs.select("_metadata.file_path").distinct().orderBy("file_path").collect())}
-    pairs = [F.lit(x) for pair in places.items() for x in pair] or [F.lit(""), F.lit(0)]
-    return F.shiftleft(F.create_map(*pairs)[F.col("_metadata.file_path")].cast("long"), 40) + F.col("_metadata.row_index")
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and a number for each row of files: its file's place among all files, and its place in the file.
+
+    The list of files is sent to all executors; the driver holds that list anyway, to plan the scan.
+    """
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    places = docs.sparkSession.createDataFrame(list(enumerate(paths)), f"{name}_file long, {name}_path string")
+    placed = docs.withColumns({f"{name}_at": F.col("_metadata.file_path"), f"{name}_row": F.col("_metadata.row_index")})
+    numbered = placed.join(F.broadcast(places), F.col(f"{name}_at") == F.col(f"{name}_path"))
+    return numbered.select(*docs.columns, (F.shiftleft(f"{name}_file", 40) + F.col(f"{name}_row")).alias(name))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +53,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         path = fresh_path(spark, "rows")
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
-    key = row_key(docs)
-    classes = near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
-    ids = docs.select(key.alias("row_key"), F.col("doc_id").alias("id"))
-    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key"))
-    kept = classes.join(ids, "row_key").groupBy("component_id").agg(least.alias("least")).select(F.col("least.row_key").alias("row_key"))
-    return docs.withColumn("row_key", key).join(kept, "row_key", "left_semi").select(*names)
+    key = "row_key"
+    while any(x.lower().startswith(key) for x in names):
+        key = f"_{key}"
+    docs = with_row_key(docs, key)
+    classes = near_duplicates(docs.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    ids = docs.select(key, F.col("doc_id").alias("id"))
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", key))
+    kept = classes.join(ids, key).groupBy("component_id").agg(least.alias("least")).select(f"least.{key}")
+    # written, so that its size is known: texts are shuffled only where the list is too long to send to all
+    path = fresh_path(spark, "kept")
+    kept.write.parquet(path)
+    release(spark)
+    return docs.join(spark.read.parquet(path), key, "left_semi").select(*names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

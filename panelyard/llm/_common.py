@@ -59,6 +59,19 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Give back the disk of what is cut: files of the checkpoints ``done``, and shuffles that nothing refers to.
+
+    No plan that is still to run may read ``done``. Spark drops the files of a shuffle once the driver
+    has collected its plan, so a collection is asked for.
+    """
+    for df in done:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            delete(spark, file.get())
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

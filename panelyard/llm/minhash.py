@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_slices, cut, give_back, mix, string_bytes
+from ._common import byte_slices, cut, give_back, mix, release, string_bytes
 from .components import connected_components
 from .substring_dedup import RangeHash, Words
 
@@ -271,6 +271,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     # no id leads to sets that only rows with a null doc_id have; they meet by fingerprint
     null_sets = rows_in.where("doc_id is null").mapInArrow(unnamed, "set string, members binary").join(needed.where("doc_id is null").select("node", "set"), "set")
     sets = cut(named_sets.unionByName(null_sets.groupBy("node").agg(F.first("members").alias("members"))))
+    release(docs.sparkSession)
     linked = cut(with_both(likely_pairs, sets, "members").mapInArrow(sure, "u long, v long"))
     first = connected_components(linked)
 
@@ -278,12 +279,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     # pairs of blocks of one bucket; similar sets are of one size class or of neighbours
     labelled = banded.join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     parts = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
-    rest = cut(labelled.join(parts, "key").join(nodes.select("node", "n"), "node"))
-    sizes = rest.groupBy("key").agg(F.count("*").alias("many"))
+    parted = cut(labelled.join(parts, "key").join(nodes.select("node", "n"), "node"))
+    release(docs.sparkSession, banded, likely_pairs)
+    sizes = parted.groupBy("key").agg(F.count("*").alias("many"))
     # a bucket beyond a block is divided by set size: like sets are of one size class or of neighbours
     class_of = F.floor(F.log("n") / F.lit(-log(percent / 100)) + F.lit(1e-9))
     classes = F.when(F.col("many") > block, F.array(class_of, class_of - 1)).otherwise(F.array(F.lit(-2).cast("long")))
-    rest = rest.join(sizes, "key").select("key", "node", "label", "n", F.explode(classes).alias("class"))
+    rest = parted.join(sizes, "key").select("key", "node", "label", "n", F.explode(classes).alias("class"))
     blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (256 * block))).cast("int")
     mixed = rest.groupBy("key", "class").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks")).where("low <> high")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -301,6 +303,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
 
     met = dealt.join(signs, "node").join(sets, "node").groupBy("key", "class", "a", "b").applyInArrow(join_up, "u long, v long")
     more = cut(met.distinct())
+    release(docs.sparkSession, parted, sets)
     # what these add joins whole components of before
     ends = more.join(first.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
     joined = connected_components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
@@ -308,6 +311,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     named = nodes.select("set", "node", "doc_id").join(first, "node", "left").withColumn("old", F.coalesce("label", "node")).drop("label")
     named = named.join(joined.select(F.col("node").alias("old"), "label"), "old", "left").withColumn("label", F.coalesce("label", "old")).drop("old")
     named = cut(named.drop("node"))
+    release(docs.sparkSession, nodes, linked, more)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(smallest, "label").select("set", "component_id")
     out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set").join(classes, "set", "left")
