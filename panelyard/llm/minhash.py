@@ -92,32 +92,35 @@ def least_matches(hashes: int, threshold: float, miss: float) -> dict[int, int]:
     return out
 
 
-def links(nodes: list[int], label: list[int], matrix: np.ndarray, sets: list[np.ndarray], percent: int, fewest: dict[int, int], side: np.ndarray) -> list[tuple[int, int]]:
+def links(nodes: list[int], label: list[int], matrix: np.ndarray, sets: list[np.ndarray], percent: int, fewest: dict[int, int], side: np.ndarray, strip: int = 256) -> list[tuple[int, int]]:
     """Links that join the labels of some nodes, exactly verified: one for each join at most.
 
     Nodes of side 0 meet those of side 1 (all nodes meet where there is one side only). Signatures rule
-    pairs of two labels out in batches; of the others, intersections of full sets decide.
+    pairs of two labels out in batches; of the others, intersections of full sets decide. Memory is that
+    of ``strip`` nodes of side 0 against side 1.
     """
-    one = np.flatnonzero(side == side.min())
-    two = np.flatnonzero(side == side.max())
+    every, other = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
     part = np.unique(np.array(label), return_inverse=True)[1]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    small, large = (f.outer(sizes[one], sizes[two]) for f in (np.minimum, np.maximum))
-    open_ = (part[one][:, None] != part[two][None, :]) & (100 * small >= percent * large)
-    equal = np.zeros(open_.shape, np.int16)
-    for n, least in fewest.items():
-        if not open_.any():
-            return []
-        for c in range(n - BATCH, n):
-            equal += matrix[one, c][:, None] == matrix[two, c][None, :]
-        open_ &= equal >= least
-    one, two = one[open_.any(1)], two[open_.any(0)]
-    open_ = open_[open_.any(1)][:, open_.any(0)]
-    if not len(one):
-        return []
-    shared = intersections([sets[i] for i in one], [sets[i] for i in two])
-    open_ &= 100 * shared >= percent * (sizes[one][:, None] + sizes[two][None, :] - shared)
-    i, j = (x[y] for x, y in zip((one, two), np.nonzero(open_), strict=True))
+    sizes = np.fromiter(map(len, sets), np.int32, len(sets))
+    met = [np.zeros((2, 0), np.int64)]
+    for low in range(0, len(every), strip):
+        one, two = every[low : low + strip], other
+        small, large = (f.outer(sizes[one], sizes[two]) for f in (np.minimum, np.maximum))
+        open_ = (part[one][:, None] != part[two][None, :]) & (small >= large * (percent / 100) - 1e-6)
+        equal = np.zeros(open_.shape, np.int16)
+        for n, least in fewest.items():
+            if not open_.any():
+                break
+            for c in range(n - BATCH, n):
+                equal += matrix[one, c][:, None] == matrix[two, c][None, :]
+            open_ &= equal >= least
+        one, two = one[open_.any(1)], two[open_.any(0)]
+        open_ = open_[open_.any(1)][:, open_.any(0)]
+        if len(one):
+            shared = intersections([sets[i] for i in one], [sets[i] for i in two])
+            open_ &= 100 * shared >= percent * (sizes[one].astype(np.int64)[:, None] + sizes[two][None, :] - shared)
+            met.append(np.stack([x[y] for x, y in zip((one, two), np.nonzero(open_), strict=True)]))
+    i, j = np.concatenate(met, axis=1)
     _, first = np.unique(part[i] * len(part) + part[j], return_index=True)
     root, out = list(range(len(part))), []
 
@@ -168,7 +171,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, miss: float = 1e-9, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, miss: float = 1e-9, block: int = 2048) -> DataFrame:
     """Each document's class under links of similarity ``percent`` or more: doc_id, n_shingles, component_id, kept.
 
     Equal sets become one node before anything else, so copies cost one row each. In a band's
@@ -286,7 +289,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     class_of = F.floor(F.log("n") / F.lit(-log(percent / 100)) + F.lit(1e-9))
     classes = F.when(F.col("many") > block, F.array(class_of, class_of - 1)).otherwise(F.array(F.lit(-2).cast("long")))
     rest = parted.join(sizes, "key").select("key", "node", "label", "n", F.explode(classes).alias("class"))
-    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (256 * block))).cast("int")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (64 * block))).cast("int")
     mixed = rest.groupBy("key", "class").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks")).where("low <> high")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rest.join(mixed.select("key", "class", "blocks"), ["key", "class"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
