@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain, repeat
 
@@ -39,6 +40,8 @@ class CachedEncoder:
     def __init__(self, path: str, capacity: int = 450_000):
         from tokenizers import Tokenizer
 
+        # a task has one core; the library's threads would each keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         # each part comes here once while it is cached, so the library's own cache would only cost
