@@ -124,3 +124,27 @@ def test_stream_matches_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("daily").agg(F.sum("total") / F.sum("n")).collect()[0][0] == 3.0
+
+
+def test_boosting_equals_mllib(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, (300, 2)).astype(float)
+    y = x[:, 0] * 3 - (x[:, 1] > 7) * 11 + rng.normal(size=300)
+    rows = spark.createDataFrame([(*r, float(v), float(i % 3 + 1)) for i, (r, v) in enumerate(zip(x.tolist(), y, strict=True))], "a double, b double, target double, w double").coalesce(1)
+    one, two = (L.score(L.fit_trees(rows, ["a", "b"], "target", "w", rounds=4, depth=3, in_task=n), rows, ["a", "b"]).select("a", "b", "prediction").orderBy("a", "b").collect() for n in (0, 1000))
+    assert np.allclose([r.prediction for r in one], [r.prediction for r in two], atol=1e-6)
+
+
+def test_fits_take_few_jobs(spark):
+    """200 rounds of depth 8 as one task, in any order of the rows, with every row in the trees."""
+    rows = spark.range(600).select((F.col("id") * 7 % 601).cast("double").alias("a"), (F.col("id") % 2).alias("b"), (F.col("id") * 7 % 601 % 13).cast("double").alias("target"), F.lit(2.0).alias("w"))
+    options = {"rounds": 200, "depth": 8, "stepSize": 0.05, "maxBins": 127, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.9", "seed": 20260904}
+    spark.sparkContext.setJobGroup("few-jobs", "fits")
+    models = [L.fit_trees(df, ["a", "b"], "target", "w", **options) for df in (rows, rows.repartition(3, "target"))]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 20
+    assert [m.trees for m in models] == [200, 200]
+    one, two = ([r.prediction for r in L.score(m, rows, ["a", "b"]).orderBy("a").collect()] for m in models)
+    assert one == two
+    with pytest.raises(Exception, match="a feature is null"):
+        L.fit_trees(rows.withColumn("b", F.lit(None).cast("double")), ["a", "b"], "target", "w", **options)
