@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm._common import delete, fresh_path, release, table
+from panelyard.llm._common import among, delete, fresh_path, id_words, release, table
 from panelyard.llm.decontaminate import keep_clean as without_leaks
 from panelyard.llm.minhash import near_duplicates
 from panelyard.llm.packing import pack_documents
@@ -61,11 +61,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = docs.select(key, F.col("doc_id").alias("id"))
     least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", key))
     kept = classes.join(ids, key).groupBy("component_id").agg(least.alias("least")).select(f"least.{key}")
-    # written, so that its size is known: texts are shuffled only where the list is too long to send to all
-    path = fresh_path(spark, "kept")
-    kept.write.parquet(path)
+    # as bits, so that texts stay where they are read unless the list is too long to send to all
+    words = id_words(kept, key)
     release(spark)
-    return docs.join(spark.read.parquet(path), key, "left_semi").select(*names)
+    return among(docs, key, words).select(*names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +79,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and place; a null text has the end id alone."""
-    return pack_documents(docs)
+    # the executors' workers have run all stages before this one: it stays small beside them
+    return pack_documents(docs, cache=150_000, slice_bytes=1 << 20, forget=True)
 
 
 STAGES = [

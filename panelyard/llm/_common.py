@@ -72,6 +72,25 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+#: Words of ids that are sent to all executors, some 40 bytes each; more are joined by a shuffle.
+SENT_WORDS = 1 << 20
+
+
+def id_words(ids: DataFrame, name: str) -> DataFrame:
+    """The ids of a column as bits: a row for each 64 neighbours of which one or more is there. Null is none."""
+    words = ids.where(F.col(name).isNotNull()).select(F.shiftright(name, 6).alias("word"), F.col(name).bitwiseAND(63).cast("int").alias("bit"))
+    return cut(words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+
+
+def among(rows: DataFrame, name: str, words: DataFrame) -> DataFrame:
+    """Rows whose id is in ``words`` (of ``id_words``), where they are read; they are shuffled only where the words are too many to send."""
+    word, bits = f"{name}_word", f"{name}_bits"
+    words = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    sent = F.broadcast(words) if words.count() <= SENT_WORDS else words
+    met = rows.join(sent, F.shiftright(name, 6) == F.col(word))
+    return met.where(F.expr(f"bit_get(`{bits}`, cast(`{name}` & 63 as int)) = 1")).select(*rows.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -60,6 +60,11 @@ class CachedEncoder:
         #: The table before this one; what is found there comes over.
         self.old = {}, self.flat, self.starts, self.sizes
 
+    def forget(self) -> None:
+        """Empty the cache, the table before this one too."""
+        self._clear()
+        self._clear()
+
     def _add(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Rows of the table: ranges of ``ids``."""
         while self.used + len(ids) > len(self.flat):

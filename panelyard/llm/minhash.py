@@ -8,13 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_slices, cut, give_back, mix, release, string_bytes
+from ._common import among, byte_slices, cut, give_back, id_words, mix, release, string_bytes
 from .components import connected_components
 from .substring_dedup import RangeHash, Words
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 BATCH = 32
+#: Bytes of text that a worker takes at a time.
+SLICE = 1 << 20
 
 
 class _Part:
@@ -92,34 +94,41 @@ def least_matches(hashes: int, threshold: float, miss: float) -> dict[int, int]:
     return out
 
 
-def links(nodes: list[int], label: list[int], matrix: np.ndarray, sets: list[np.ndarray], percent: int, fewest: dict[int, int], side: np.ndarray, strip: int = 256) -> list[tuple[int, int]]:
-    """Links that join the labels of some nodes, exactly verified: one for each join at most.
-
-    Nodes of side 0 meet those of side 1 (all nodes meet where there is one side only). Signatures rule
-    pairs of two labels out in batches; of the others, intersections of full sets decide. Memory is that
-    of ``strip`` nodes of side 0 against side 1.
-    """
+def likely_blocks(part: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, percent: int, fewest: dict[int, int], side: np.ndarray, strip: int = 256):
+    """Pairs of different parts that sizes and signatures leave open: nodes of side 0, nodes of side 1, which are open; a strip at a time."""
     every, other = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-    part = np.unique(np.array(label), return_inverse=True)[1]
-    sizes = np.fromiter(map(len, sets), np.int32, len(sets))
-    met = [np.zeros((2, 0), np.int64)]
     for low in range(0, len(every), strip):
         one, two = every[low : low + strip], other
         small, large = (f.outer(sizes[one], sizes[two]) for f in (np.minimum, np.maximum))
         open_ = (part[one][:, None] != part[two][None, :]) & (small >= large * (percent / 100) - 1e-6)
         equal = np.zeros(open_.shape, np.int16)
         for n, least in fewest.items():
-            if not open_.any():
+            rows, columns = open_.any(1), open_.any(0)
+            one, two, open_, equal = one[rows], two[columns], open_[rows][:, columns], equal[rows][:, columns]
+            if not len(one):
                 break
             for c in range(n - BATCH, n):
                 equal += matrix[one, c][:, None] == matrix[two, c][None, :]
             open_ &= equal >= least
-        one, two = one[open_.any(1)], two[open_.any(0)]
-        open_ = open_[open_.any(1)][:, open_.any(0)]
-        if len(one):
-            shared = intersections([sets[i] for i in one], [sets[i] for i in two])
-            open_ &= 100 * shared >= percent * (sizes[one].astype(np.int64)[:, None] + sizes[two][None, :] - shared)
-            met.append(np.stack([x[y] for x, y in zip((one, two), np.nonzero(open_), strict=True)]))
+        rows, columns = open_.any(1), open_.any(0)
+        if rows.any():
+            yield one[rows], two[columns], open_[rows][:, columns]
+
+
+def links(nodes: list[int], label: list[int], matrix: np.ndarray, sets: list[np.ndarray], percent: int, fewest: dict[int, int], side: np.ndarray, strip: int = 256) -> list[tuple[int, int]]:
+    """Links that join the labels of some nodes, exactly verified: one for each join at most.
+
+    Nodes of side 0 meet those of side 1 (all nodes meet where there is one side only). Signatures rule
+    pairs of two labels out in batches; of the others, intersections of full sets decide. Memory is that
+    of ``strip`` nodes of side 0 against side 1.
+    """
+    part = np.unique(np.array(label), return_inverse=True)[1]
+    sizes = np.fromiter(map(len, sets), np.int32, len(sets))
+    met = [np.zeros((2, 0), np.int64)]
+    for one, two, open_ in likely_blocks(part, sizes, matrix, percent, fewest, side, strip):
+        shared = intersections([sets[i] for i in one], [sets[i] for i in two])
+        open_ &= 100 * shared >= percent * (sizes[one].astype(np.int64)[:, None] + sizes[two][None, :] - shared)
+        met.append(np.stack([x[y] for x, y in zip((one, two), np.nonzero(open_), strict=True)]))
     i, j = np.concatenate(met, axis=1)
     _, first = np.unique(part[i] * len(part) + part[j], return_index=True)
     root, out = list(range(len(part))), []
@@ -176,7 +185,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
 
     Equal sets become one node before anything else, so copies cost one row each. In a band's
     bucket each node is compared with the bucket's least node only; where the verified links leave a
-    bucket in several parts, its nodes of like set sizes meet in pairs of blocks of ``block`` nodes.
+    bucket in several parts, its nodes of like set sizes meet in pairs of blocks: signatures first (blocks of
+    four times ``block``), then, with full sets, the nodes that have a likely partner (twice ``block``).
     Candidates miss a pair at the threshold with probability (1 - s^rows)^bands
     (2.5e-7 as set), the Bayesian rule with ``miss``; links are confirmed on full sets.
 
@@ -198,7 +208,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         import pyarrow as pa
 
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in byte_slices(batch, SLICE):
                 h, offsets = shingle_sets(part.column("text"), size)
                 matrix = signatures(h, offsets, hashes)
                 raw = [m.tobytes() for m in matrix]
@@ -208,7 +218,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         import pyarrow as pa
 
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in byte_slices(batch, SLICE):
                 h, offsets = shingle_sets(part.column("text"), size)
                 keep = [i for i, (f, g) in enumerate(zip(fingerprints(h, offsets), part.column("set").to_pylist(), strict=True)) if f == g]
                 raw = [h[offsets[i] : offsets[i + 1]].tobytes() for i in keep]
@@ -218,7 +228,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         import pyarrow as pa
 
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in byte_slices(batch, SLICE):
                 h, offsets = shingle_sets(part.column("text"), size)
                 raw = [h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(fingerprints(h, offsets), pa.string()), pa.array(raw, pa.binary())], names=["set", "members"])
@@ -269,8 +279,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
 
     likely_pairs = cut(with_both(stars, signs, "signature").mapInArrow(likely, "u long, v long"))
     # full sets of all nodes that may be needed: those of shared buckets
-    needed = banded.select("node").distinct().join(nodes.select("node", "doc_id", "set"), "node")
-    named_sets = rows_in.join(needed, "doc_id").mapInArrow(full, "node long, members binary")
+    needed = cut(banded.select("node").distinct().join(nodes.select("node", "doc_id", "set"), "node"))
+    # most texts are not needed: they go where they are read
+    few = among(rows_in, "doc_id", id_words(needed, "doc_id"))
+    named_sets = few.join(needed, "doc_id").mapInArrow(full, "node long, members binary")
     # no id leads to sets that only rows with a null doc_id have; they meet by fingerprint
     null_sets = rows_in.where("doc_id is null").mapInArrow(unnamed, "set string, members binary").join(needed.where("doc_id is null").select("node", "set"), "set")
     sets = cut(named_sets.unionByName(null_sets.groupBy("node").agg(F.first("members").alias("members"))))
@@ -284,29 +296,51 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     parts = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
     parted = cut(labelled.join(parts, "key").join(nodes.select("node", "n"), "node"))
     release(docs.sparkSession, banded, likely_pairs)
-    sizes = parted.groupBy("key").agg(F.count("*").alias("many"))
     # a bucket beyond a block is divided by set size: like sets are of one size class or of neighbours
     class_of = F.floor(F.log("n") / F.lit(-log(percent / 100)) + F.lit(1e-9))
-    classes = F.when(F.col("many") > block, F.array(class_of, class_of - 1)).otherwise(F.array(F.lit(-2).cast("long")))
-    rest = parted.join(sizes, "key").select("key", "node", "label", "n", F.explode(classes).alias("class"))
-    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (64 * block))).cast("int")
-    mixed = rest.groupBy("key", "class").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks")).where("low <> high")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rest.join(mixed.select("key", "class", "blocks"), ["key", "class"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
-    dealt = dealt.select("node", "label", "key", "class", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+
+    def dealt(rows, most, members):
+        """Nodes of ``rows`` by pairs of blocks: at most about ``most`` nodes and ``members`` shingles in a block."""
+        sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.sum("n").alias("sum"))
+        classes = F.when((F.col("many") > most) | (F.col("sum") > members), F.array(class_of, class_of - 1)).otherwise(F.array(F.lit(-2).cast("long")))
+        rest = rows.join(sizes, "key").select("key", "node", "label", "n", F.explode(classes).alias("class"))
+        blocks = F.ceil(F.greatest(F.count("*") / most, F.sum("n") / members)).cast("int")
+        mixed = rest.groupBy("key", "class").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks")).where("low <> high")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        out = rest.join(mixed.select("key", "class", "blocks"), ["key", "class"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
+        return out.select("node", "label", "n", "key", "class", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+
+    def arrays(group):
+        matrix = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(group.num_rows, hashes)
+        return matrix, group.column("label").to_pylist(), group.column("side").to_numpy()
+
+    def partners(key, group):
+        """Nodes that signatures leave a partner in the bucket: sets are sent for these only."""
+        import pyarrow as pa
+
+        matrix, label, side = arrays(group)
+        some = np.zeros(group.num_rows, bool)
+        for one, two, _ in likely_blocks(np.array(label), group.column("n").to_numpy(), matrix, percent, fewest, side):
+            some[one] = some[two] = True
+        give_back()
+        return group.filter(pa.array(some)).select(["key", "node", "label", "n"])
+
+    seen = dealt(parted, 4 * block, 1 << 40).join(signs, "node").groupBy("key", "class", "a", "b")
+    close = cut(seen.applyInArrow(partners, "key long, node long, label long, n long").distinct())
+    release(docs.sparkSession, parted)
 
     def join_up(key, group):
         import pyarrow as pa
 
-        matrix = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(group.num_rows, hashes)
+        matrix, label, side = arrays(group)
         sets = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
-        found = links(group.column("node").to_pylist(), group.column("label").to_pylist(), matrix, sets, percent, fewest, group.column("side").to_numpy())
+        found = links(group.column("node").to_pylist(), label, matrix, sets, percent, fewest, side)
         give_back()
         return pa.Table.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    met = dealt.join(signs, "node").join(sets, "node").groupBy("key", "class", "a", "b").applyInArrow(join_up, "u long, v long")
+    met = dealt(close, 2 * block, 1024 * block).join(signs, "node").join(sets, "node").groupBy("key", "class", "a", "b").applyInArrow(join_up, "u long, v long")
     more = cut(met.distinct())
-    release(docs.sparkSession, parted, sets)
+    release(docs.sparkSession, close, sets)
     # what these add joins whole components of before
     ends = more.join(first.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
     joined = connected_components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))

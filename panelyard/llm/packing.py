@@ -8,19 +8,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_slices, cut
+from ._common import byte_slices, cut, give_back
 from .encoding import DEFAULT_VOCABULARY, encoder, vocabulary_path, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "bin long, size int, items array<long>, lengths array<int>"
 
 
-def token_pieces(docs: DataFrame, max_tokens: int = 2048, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, max_tokens: int = 2048, vocabulary: str | None = None, end_id: int = 0, cache: int = 450_000, slice_bytes: int = 4 << 20, forget: bool = False) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids of each document, its end id counted.
 
     Only longer documents are cut, and then into pieces of ``max_tokens``; the first may be shorter.
     Null texts are empty and give one piece with the end id alone; a null doc_id stays null.
-    Repeated rows are documents of their own. Other columns are not read.
+    Repeated rows are documents of their own. Other columns are not read. A worker encodes ``slice_bytes``
+    of text at a time, with ``cache`` parts remembered, which it forgets with ``forget`` after each task:
+    less memory, more time, the same pieces.
     """
     path = vocabulary or vocabulary_path(DEFAULT_VOCABULARY)
 
@@ -29,8 +31,8 @@ def token_pieces(docs: DataFrame, max_tokens: int = 2048, vocabulary: str | None
 
         names = ("doc_id", "piece", "start", "length", "ids_crc32")
         for batch in batches:
-            for part in byte_slices(batch):
-                ids, offsets = with_end(*encoder(path).encode(part.column("text")), end_id)
+            for part in byte_slices(batch, slice_bytes):
+                ids, offsets = with_end(*encoder(path, cache).encode(part.column("text")), end_id)
                 rows = []
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     first = (b - a - 1) % max_tokens + 1
@@ -38,6 +40,9 @@ def token_pieces(docs: DataFrame, max_tokens: int = 2048, vocabulary: str | None
                     rows += [(doc, k, x - a, y - x, zlib.crc32(ids[x:y].astype("<u4").tobytes())) for k, (x, y) in enumerate(zip(edges, edges[1:]))]  # noqa: B905
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+        if forget:
+            encoder(path, cache).forget()
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_up, PIECES)
 
@@ -137,14 +142,14 @@ def pack(items: DataFrame, capacity: int = 2048, slack: int = 8, fan_in: int = 8
     return packed.select(F.col("bin").alias("sequence_id"), F.explode(placed).alias("x")).select("x.item", "sequence_id", "x.offset")
 
 
-def pack_documents(docs: DataFrame, max_tokens: int = 2048, vocabulary: str | None = None, end_id: int = 0, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, max_tokens: int = 2048, vocabulary: str | None = None, end_id: int = 0, cache: int = 450_000, slice_bytes: int = 4 << 20, forget: bool = False, **options) -> DataFrame:
     """All documents as sequences of at most ``max_tokens`` ids: the pieces, each with its place.
 
     Returns ``token_pieces`` with ``sequence_id`` and ``offset``; places in a sequence are gapless
     from 0. Pieces of full length are sequences of their own and are not packed. See there and at
     ``pack`` for nulls, empty texts, repeated rows and empty tables.
     """
-    pieces = cut(token_pieces(docs, max_tokens, vocabulary, end_id).withColumn("item", F.monotonically_increasing_id()))
+    pieces = cut(token_pieces(docs, max_tokens, vocabulary, end_id, cache, slice_bytes, forget).withColumn("item", F.monotonically_increasing_id()))
     full = F.col("length") == max_tokens
     places = pack(pieces.where(~full).select("item", "length"), max_tokens, **options)
     alone = pieces.where(full).select("*", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -504,3 +504,26 @@ def test_odd_rows(spark, name):
     if name not in ("packing", "leaks"):
         assert len(out) == len(rows)
     assert operators()[name](clash.limit(0), {k: v.limit(0) for k, v in side.items()}).count() == 0
+
+
+def test_ids_as_bits(spark, monkeypatch):
+    from panelyard.llm import _common
+
+    ids = [0, 1, 63, 64, 65, -1, -64, -65, (5 << 40) + 7, 2**63 - 1, -(2**63)]
+    rows = frame(spark, [(i + d if -(2**63) <= i + d < 2**63 else i, "x") for i in ids for d in (0, 1, 2)] + [(None, "y")])
+    words = _common.id_words(frame(spark, [(i, "") for i in ids] + [(None, "")]).select("doc_id"), "doc_id")
+    wanted = sorted(r.doc_id for r in rows.collect() if r.doc_id in ids)
+    assert sorted(r.doc_id for r in _common.among(rows, "doc_id", words).collect()) == wanted
+    monkeypatch.setattr(_common, "SENT_WORDS", 0)
+    assert sorted(r.doc_id for r in _common.among(rows, "doc_id", words).collect()) == wanted
+
+
+def test_signatures_leave_likely_pairs():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 16, (6, 160), np.uint16)
+    matrix = np.concatenate([base, base])
+    matrix[6:, :8] = 0  # nearly equal signatures
+    label = np.array([0, 1, 2, 3, 4, 5, 0, 7, 8, 9, 10, 11])
+    for side, wanted in ((np.zeros(12, int), {(i, j) for i in range(12) for j in range(12) if abs(i - j) == 6 and i % 6}), (np.repeat([0, 1], 6), {(i, i + 6) for i in range(1, 6)})):
+        got = {(int(one[i]), int(two[j])) for one, two, o in minhash.likely_blocks(label, np.full(12, 9), matrix, 75, minhash.least_matches(160, 0.75, 1e-9), side, strip=4) for i, j in zip(*np.nonzero(o), strict=True)}
+        assert got == wanted

@@ -71,3 +71,18 @@ def test_empty(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_are_not_shuffled_for_what_stays(spark, folder):
+    """However long the list of kept rows: it goes to the texts as bits."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = pipeline.near_dedup(spark, docs, folder)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        ids = {r.doc_id for r in kept.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ids == {r.doc_id for r in pipeline.near_dedup(spark, docs, folder).collect()} and len(ids) < docs.count()
