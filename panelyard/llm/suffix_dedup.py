@@ -139,39 +139,44 @@ class ColumnwiseIndex:
             upto = int(np.searchsorted(sorted_, start + len(bwt)))
             here = sorted_[done:upto] - start
             order = np.argsort(bwt, kind="stable")
-            symbols = bwt[order]
+            count = np.bincount(bwt, minlength=257)
+            kinds = np.flatnonzero(count)
+            count = count[kinds]
+            edge = np.cumsum(count) - count
             fresh = np.zeros(len(bwt), bool)
             fresh[here] = True
             flag = fresh[order]
-            edge = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
-            kinds = symbols[edge].astype(np.int64)
-            count = np.diff(np.append(edge, len(symbols)))
-            to = np.arange(len(symbols)) + np.repeat(begin[kinds] + seen[kinds] - edge, count)
             mine = np.flatnonzero(flag)
-            turn = np.empty(len(bwt), np.int64)
-            turn[order[mine]] = to[mine]
-            new[by[done:upto]] = turn[here]
+            shift = begin[kinds] + seen[kinds] - edge  # from places by symbol to places of suffixes
+            kind_of = np.searchsorted(edge, mine, "right") - 1
+            # ``here`` ascends, so the places in order of the transform are the same
+            new[by[done:upto]] = (mine + shift[kind_of])[np.argsort(order[mine])]
             # new suffixes and those that follow one have new neighbours
-            after = np.concatenate([[False], flag[:-1]])
-            after[edge] = was_fresh[kinds]
-            at = np.flatnonzero((flag | after) & (symbols > 0))
-            head = np.zeros(len(symbols), bool)
-            head[edge] = True
+            flag[1:] |= flag[:-1].copy()
+            flag[edge] = fresh[order[edge]] | was_fresh[kinds]
+            if kinds[0] == 0:
+                flag[: count[0]] = False
+            at = np.flatnonzero(flag)
+            kind_of = np.searchsorted(edge, at, "right") - 1
             value = np.zeros(len(at), np.int64)
-            inside = ~head[at]
+            inside = at != edge[kind_of]
             if inside.any():
-                pairs = np.stack([order[at[inside] - 1] + 1, order[at[inside]] + 1], 1).ravel()
-                value[inside] = np.minimum.reduceat(np.append(lcp, np.iinfo(lcp.dtype).max), pairs)[::2].astype(np.int64) + 1
+                one, two = order[at[inside] - 1] + 1, order[at[inside]] + 1
+                # from the last range to the first: what lies between two of them is not gone through
+                back = np.argsort(-one, kind="stable")
+                least = np.empty(len(one), np.int64)
+                least[back] = np.minimum.reduceat(np.append(lcp, np.iinfo(lcp.dtype).max), np.stack([one[back], two[back]], 1).ravel())[::2]
+                value[inside] = least + 1
             least = np.minimum.accumulate(lcp)
             carried = at[~inside]
-            kind = symbols[carried].astype(np.int64)
+            kind = kinds[kind_of[~inside]]
             value[~inside] = np.where(seen[kind] > 0, np.minimum(low[kind], least[order[carried]]) + 1, 0)
-            places.append(to[at])
+            places.append(at + shift[kind_of])
             values.append(value)
             # for each symbol, the least prefix since its last place
             low = np.minimum(low, int(least[-1]))
             last = order[edge + count - 1]
-            tail = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.iinfo(lcp.dtype).max).astype(np.int64)
+            tail = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.iinfo(lcp.dtype).max)
             low[kinds], was_fresh[kinds] = tail[last + 1], fresh[last]
             seen[kinds] += count
             start, done = start + len(bwt), upto

@@ -527,3 +527,16 @@ def test_signatures_leave_likely_pairs():
     for side, wanted in ((np.zeros(12, int), {(i, j) for i in range(12) for j in range(12) if abs(i - j) == 6 and i % 6}), (np.repeat([0, 1], 6), {(i, i + 6) for i in range(1, 6)})):
         got = {(int(one[i]), int(two[j])) for one, two, o in minhash.likely_blocks(label, np.full(12, 9), matrix, 75, minhash.least_matches(160, 0.75, 1e-9), side, strip=4) for i, j in zip(*np.nonzero(o), strict=True)}
         assert got == wanted
+
+
+def test_bwt_time_does_not_rise_with_symbols():
+    """Only what lies between two places of a symbol is gone through, not all that lies between its places for each symbol."""
+    import time
+
+    rng, seconds = np.random.default_rng(5), []
+    for symbols in (4, 200):
+        strings = [x.tobytes() for x in rng.integers(1, symbols + 1, (20_000, 40), np.uint8)]
+        began = time.process_time()
+        suffix_dedup.ColumnwiseIndex(strings)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 1.6 * seconds[0]
