@@ -90,6 +90,18 @@ def test_registered_fits(spark, monkeypatch, name, fits):
     assert sorted(seen) == sorted((200, "sample_weight", (f,)) for f in ("F01", "F02") for _ in range(fits // 2))
 
 
+@pytest.mark.parametrize("name", ["gbdt_residual", "gbdt_specialists"])
+def test_registered_fits_compute_the_panel_once(spark, monkeypatch, name):
+    from panelyard.plans import registry
+
+    seen = []
+    monkeypatch.setattr(L, "fit_folds", lambda train, rows, *args, **options: seen.extend((train, rows)) or rows.withColumns({"specialist": F.lit("G1"), "prediction": F.lit(0.0)}))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2
+    for x in seen:
+        assert all("/panel-" in f for f in x.inputFiles()) and x.inputFiles()
+
+
 def test_files(spark, tmp_path):
     out = spark.createDataFrame([("b", 0.1, 2), ("a", 1e20, 1)], "ID string, Target double, ordinal int")
     path = str(tmp_path / "s.csv")
